@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +11,14 @@ from lumenrank.session import checkpoint_dir
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = C.BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; else leave it to a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` only when a count proves it small; else leave it to a shuffle join.
+
+    The side is persisted before counting so the count and the join share one
+    computation (a lost block is recomputed from lineage).
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
+    return F.broadcast(kept) if n <= max_rows else kept
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank import config as C
-from lumenrank.functions.text import tokens
-from lumenrank.operators import dense, evaluate, lexical, rank
+from lumenrank.functions import text as T
+from lumenrank.operators import dense, evaluate, lexical, mining, rank, training
+from lumenrank.operators.ids import row_ids_parquet
+from lumenrank.operators.plan import cut
+from lumenrank.plans import pipeline as P
+from lumenrank.session import work_path
 from lumenrank.sources import fixtures as fx
+from lumenrank.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -98,10 +103,8 @@ def q_bm25_topk(spark, sf):
 # ---------------------------------------------------------------- evaluation
 @register("answers_parse")
 def q_answers_parse(spark, sf):
-    from lumenrank.functions.text import answers_literal, parse_answers
-
-    q = fx.query_set(spark, sf).select("qid", answers_literal("answers").alias("literal"))
-    parsed = q.select("qid", parse_answers("literal").alias("answers"))
+    q = fx.query_set(spark, sf).select("qid", T.answers_literal("answers").alias("literal"))
+    parsed = q.select("qid", T.parse_answers("literal").alias("answers"))
     return parsed.select("qid", F.posexplode("answers").alias("pos", "answer")).select(
         "qid", F.col("pos").cast("bigint").alias("pos"), "answer"
     )
@@ -142,8 +145,274 @@ def q_rrf_fusion(spark, sf):
     return out_run(rank.rrf_fuse(_dense_run(spark, sf, q), _bm25_run(spark, sf, q)))
 
 
-def queries() -> dict[str, Query]:
-    return dict(REGISTRY)
 
 
-__all__ = ["queries", "tokens"]
+@register("rrf_no_bm25")
+def q_rrf_no_bm25(spark, sf):
+    return out_run(rank.rrf_fuse(_dense_run(spark, sf), None))
+
+
+# ---------------------------------------------------------------- pool
+@register("pool_build")
+def q_pool_build(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("text")
+    return row_ids_parquet(docs, "id").select("id", "text")
+
+
+@register("pool_distinct")
+def q_pool_distinct(spark, sf):
+    return mining.number_corpus(mining.corpus_from_pool(fx.corpus(spark, sf)))
+
+
+# ---------------------------------------------------------------- vectors
+def _components(df: DataFrame, key: str, vec: str) -> DataFrame:
+    return df.select(key, F.posexplode(vec).alias("i", "value")).select(
+        key, F.col("i").cast("bigint").alias("i"), F.round(F.col("value").cast("double"), C.SCORE_DIGITS).alias("value")
+    )
+
+
+@register("l2_normalise")
+def q_l2_normalise(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    return _components(e.select("vec_id", dense.l2_normalize("embedding").alias("v")), "vec_id", "v")
+
+
+@register("mean_pool")
+def q_mean_pool(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    m = dense.group_mean_vectors(e, "label")
+    return m.select(F.col("label").cast("bigint").alias("label"), F.col("i").cast("bigint").alias("i"),
+                    F.round("value", C.SCORE_DIGITS).alias("value"))
+
+
+def _embeddings(spark, sf) -> DataFrame:
+    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+@register("knn_exact")
+def q_knn_exact(spark, sf):
+    e = _embeddings(spark, sf)
+    return out_run(dense.knn_search(e.withColumnRenamed("doc_id", "qid"), e))
+
+
+@register("knn_single")
+def q_knn_single(spark, sf):
+    """R2: one query, the centroid of every vector in the table."""
+    e = _embeddings(spark, sf)
+    comps = dense.group_mean_vectors(e.withColumn("g", F.lit(0)), "g")
+    centroid = comps.groupBy("g").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("embedding")
+    ).select(F.lit(0).cast("bigint").alias("qid"), "embedding")
+    return out_run(dense.knn_search(centroid, e))
+
+
+@register("encode_hash")
+def q_encode_hash(spark, sf):
+    v = _doc_vectors(spark, sf)
+    return _components(v, "doc_id", "embedding").where(F.col("value") != 0)
+
+
+# ---------------------------------------------------------------- rerank
+def _fused(spark, sf, q):
+    return cut(rank.rrf_fuse(cut(_dense_run(spark, sf, q)), cut(_bm25_run(spark, sf, q))))
+
+
+@register("pair_score")
+def q_pair_score(spark, sf):
+    q = fx.query_set(spark, sf)
+    pairs = rank.attach_text(_fused(spark, sf, q), fx.corpus(spark, sf)).join(q.select("qid", "query"), "qid")
+    return rank.coverage_scores(pairs).select("qid", "doc_id", F.round("pair_score", C.SCORE_DIGITS).alias("score"))
+
+
+@register("pointwise_rerank")
+def q_pointwise_rerank(spark, sf):
+    q = fx.query_set(spark, sf)
+    return out_run(rank.pointwise_rerank(_fused(spark, sf, q), q, fx.corpus(spark, sf)))
+
+
+@register("listwise_prompt")
+def q_listwise_prompt(spark, sf):
+    q = fx.query_set(spark, sf)
+    return rank.listwise_prompts(_fused(spark, sf, q), q, fx.corpus(spark, sf))
+
+
+@register("parse_indices")
+def q_parse_indices(spark, sf):
+    comp = fx.listwise_completions(fx.query_set(spark, sf))
+    return comp.select("qid", F.posexplode(T.extract_indices("completion", C.LISTWISE_TOP_N)).alias("pick", "rank")) \
+        .select("qid", F.col("pick").cast("bigint").alias("pick"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("listwise_rerank")
+def q_listwise_rerank(spark, sf):
+    q = fx.query_set(spark, sf)
+    return out_run(rank.listwise_rerank(_fused(spark, sf, q), fx.listwise_completions(q)))
+
+
+# ---------------------------------------------------------------- HyDE
+@register("hyde_prompt")
+def q_hyde_prompt(spark, sf):
+    return fx.query_set(spark, sf).select("qid", T.hyde_prompt("query").alias("prompt"))
+
+
+@register("hyde_query")
+def q_hyde_query(spark, sf):
+    q = fx.query_set(spark, sf)
+    inp = P.Inputs(queries=q, docs=fx.corpus(spark, sf), hyde_completions=fx.hyde_completions(q))
+    return P.search_queries(inp, {"hyde"}).select("qid", "search")
+
+
+# ---------------------------------------------------------------- alignment
+@register("run_alignment")
+def q_run_alignment(spark, sf):
+    q = fx.query_set(spark, sf)
+    return evaluate.alignment(_bm25_run(spark, sf, q), q)
+
+
+# ---------------------------------------------------------------- training rows and mining
+def _explode_rows(rows: DataFrame) -> DataFrame:
+    parts = [
+        rows.select("qid", F.lit("query").alias("kind"), F.lit(0).cast("bigint").alias("pos"), F.col("query").alias("text")),
+        rows.select("qid", F.lit("pos").alias("kind"), F.posexplode("pos").alias("pos", "text")),
+        rows.select("qid", F.lit("neg").alias("kind"), F.posexplode("neg").alias("pos", "text")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p.select("qid", "kind", F.col("pos").cast("bigint").alias("pos"), "text"))
+    return out
+
+
+def _training(spark, sf, strategy="both") -> DataFrame:
+    return training.training_rows(fx.training_source(spark, sf), strategy)
+
+
+@register("training_rows_both")
+def q_training_rows_both(spark, sf):
+    return _explode_rows(_training(spark, sf, "both"))
+
+
+@register("training_rows_only_pos")
+def q_training_rows_only_pos(spark, sf):
+    return _explode_rows(_training(spark, sf, "only_pos"))
+
+
+@register("mining_union_corpus")
+def q_mining_union_corpus(spark, sf):
+    return mining.number_corpus(mining.corpus_from_rows(_training(spark, sf)))
+
+
+def _mine(spark, sf) -> mining.MiningResult:
+    rows = cut(_training(spark, sf))
+    corpus = mining.number_corpus(mining.corpus_from_pool(fx.corpus(spark, sf)))
+    lo, hi = mining.parse_range(C.MINING_RANGE_SCRIPT)
+    return mining.mine(rows, corpus, lo=lo, hi=hi, n=C.NEGATIVE_NUMBER)
+
+
+@register("mine_window")
+def q_mine_window(spark, sf):
+    w = _mine(spark, sf).window
+    return w.select("qid", F.col("rank").cast("bigint").alias("rank"), "idx", F.round("score", C.SCORE_DIGITS).alias("score"))
+
+
+@register("mine_filtered")
+def q_mine_filtered(spark, sf):
+    f = _mine(spark, sf).filtered
+    return f.select("qid", F.col("rank").cast("bigint").alias("rank"), "idx")
+
+
+@register("mine_sampled")
+def q_mine_sampled(spark, sf):
+    return _mine(spark, sf).sampled.select("qid", "draw", "idx")
+
+
+@register("mine_backfilled")
+def q_mine_backfilled(spark, sf):
+    """N7 + K4 + S6: mined rows written as JSON lines and read back."""
+    rows = _mine(spark, sf).rows
+    path = work_path(spark, "mined")
+    io.write_jsonl(rows.select("qid", "query", "pos", "neg", "short"), path)
+    back = spark.read.schema("qid long, query string, pos array<string>, neg array<string>, short int").json(path)
+    return back.select("qid", F.posexplode("neg").alias("slot", "text"), F.col("short").cast("bigint").alias("short")) \
+        .select("qid", F.col("slot").cast("bigint").alias("slot"), "text", "short")
+
+
+# ---------------------------------------------------------------- sources and sinks
+@register("roundtrip_tsv")
+def q_roundtrip_tsv(spark, sf):
+    """S1 + C1 + C2 via K1-style writing: a 4-file header TSV with an extra column, read back."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "text")
+    path = work_path(spark, "corpus-tsv")
+    io.write_corpus_tsv(docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("source", "text"), path)
+    return io.read_corpus_tsv(spark, path)
+
+
+@register("roundtrip_jsonl")
+def q_roundtrip_jsonl(spark, sf):
+    """K1 + S2: the pool as JSON lines, read back with its schema."""
+    path = work_path(spark, "pool-jsonl")
+    io.write_jsonl(fx.corpus(spark, sf).select(F.col("doc_id").alias("id"), "text"), path)
+    return io.read_pool_jsonl(spark, path)
+
+
+@register("roundtrip_queries")
+def q_roundtrip_queries(spark, sf):
+    """S4 + C3: the query set as a headerless TSV with list literals, read back and parsed."""
+    q = fx.query_set(spark, sf)
+    path = work_path(spark, "queries-tsv")
+    io.write_query_tsv(q.orderBy("qid").coalesce(1).select("query", T.answers_literal("answers")), path)
+    back = io.read_query_tsv(spark, path)
+    return back.select("qid", "query", F.array_join("answers", "|").alias("answers"))
+
+
+@register("roundtrip_run")
+def q_roundtrip_run(spark, sf):
+    """K2 + S7: a run written as Parquet under its method tag and read back."""
+    path = io.run_path(work_path(spark, "runs"), set())
+    io.write_run(_bm25_run(spark, sf), path)
+    return out_run(io.read_run(spark, path))
+
+
+@register("hit_files")
+def q_hit_files(spark, sf):
+    """K3: one TSV per k with ``id, hit``; read back with k from the folder name."""
+    q = fx.query_set(spark, sf)
+    per_q = evaluate.hit_at_k(evaluate.hit_flags(_bm25_run(spark, sf, q), q, fx.corpus(spark, sf)), q)
+    path = work_path(spark, "hits")
+    io.write_hits(per_q, path)
+    back = spark.read.schema("id long, hit long, k long").options(sep="\t", header="true").csv(path)
+    return back.select("k", "id", "hit")
+
+
+# ---------------------------------------------------------------- composed pipeline
+def _pipeline(spark, sf, methods: set[str], rerank_on: bool) -> DataFrame:
+    q = fx.query_set(spark, sf)
+    docs = fx.corpus(spark, sf)
+    inp = P.Inputs(
+        queries=q, docs=docs,
+        bm25=lexical.build_index(docs) if "mixed" in methods else None,
+        hyde_completions=fx.hyde_completions(q),
+        listwise_completions=fx.listwise_completions(q),
+        reranker=rank.coverage_scores if rerank_on else None,
+    )
+    run = P.retrieve(inp, methods)
+    flags, _, _ = P.evaluate_run(run, inp)
+    return out_run(flags).join(flags.select("qid", "doc_id", F.col("hit").cast("bigint").alias("hit")), ["qid", "doc_id"])
+
+
+@register("pipeline_dense")
+def q_pipeline_dense(spark, sf):
+    return _pipeline(spark, sf, set(), False)
+
+
+@register("pipeline_mixed")
+def q_pipeline_mixed(spark, sf):
+    return _pipeline(spark, sf, P.parse_methods("mixed"), False)
+
+
+@register("pipeline_full")
+def q_pipeline_full(spark, sf):
+    return _pipeline(spark, sf, P.parse_methods("mixed,hyde,listwise_rerank"), True)
+
+
+def queries() -> dict[str, Query]:
+    return dict(REGISTRY)

@@ -1,0 +1,80 @@
+"""The retrieval-and-evaluation job composed from the operators.
+
+encode -> dense top-k -> (BM25 + RRF) -> (pointwise) -> (listwise) -> evaluate.
+Retrieval uses the HyDE text when asked; both rerankers use the raw query.
+Each finished run is written to the shared checkpoint folder before the next
+step reads it, so a lost executor never re-runs the whole chain.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumenrank import config as C
+from lumenrank.functions.text import hyde_query
+from lumenrank.operators import dense, evaluate, lexical, rank
+from lumenrank.operators.plan import bounded_broadcast, cut
+
+KNOWN_METHODS = ("mixed", "hyde", "listwise_rerank")
+
+
+def parse_methods(raw: str | None) -> set[str]:
+    """Comma list to a set; blanks dropped; unknown names are kept but do nothing."""
+    return {m.strip() for m in (raw or "").split(",") if m.strip()}
+
+
+def parse_k_list(raw: str | None) -> list[int]:
+    """Comma list of ints; blanks dropped; default 1, 10, 100."""
+    if raw is None:
+        return list(C.HIT_KS)
+    return [int(x.strip()) for x in raw.split(",") if x.strip()]
+
+
+@dataclass
+class Inputs:
+    queries: DataFrame                      # (qid, query, answers)
+    docs: DataFrame                         # (doc_id, text)
+    doc_vectors: DataFrame | None = None    # (doc_id, embedding); encoded from docs when None
+    bm25: lexical.Bm25Index | None = None   # None: "mixed" falls back to dense only
+    hyde_completions: DataFrame | None = None      # (qid, completion)
+    listwise_completions: DataFrame | None = None  # (qid, completion)
+    reranker: Callable[[DataFrame], DataFrame] | None = None  # pairs -> pairs + pair_score
+
+
+def search_queries(inp: Inputs, methods: set[str]) -> DataFrame:
+    """``(qid, query, search)``: the HyDE text where asked and available, else the raw query."""
+    q = inp.queries.select("qid", "query")
+    if "hyde" in methods and inp.hyde_completions is not None:
+        comp = bounded_broadcast(inp.hyde_completions.select("qid", "completion"))
+        return q.join(comp, "qid", "left").select("qid", "query", hyde_query("query", "completion").alias("search"))
+    return q.withColumn("search", F.col("query"))
+
+
+def retrieve(inp: Inputs, methods: set[str], depth: int = C.DEPTH, encode=dense.hash_encode) -> DataFrame:
+    """The run for one method set."""
+    sq = cut(search_queries(inp, methods))
+    vecs = inp.doc_vectors
+    if vecs is None:
+        vecs = encode(lexical.doc_tokens(inp.docs).select("doc_id", "text"))
+    qv = encode(sq.select("qid", "search"), text_col="search")
+    run = cut(dense.knn_search(qv, vecs, k=depth))                       # R1 / R6
+    if "mixed" in methods and inp.bm25 is not None:
+        bm = cut(lexical.bm25_search(inp.bm25, sq, k=depth, text_col="search"))
+        run = cut(rank.rrf_fuse(run, bm))                               # R5
+    if inp.reranker is not None:
+        run = cut(rank.pointwise_rerank(run, inp.queries, inp.docs, inp.reranker))   # R7, raw query
+    if "listwise_rerank" in methods:
+        run = cut(rank.listwise_rerank(run, inp.listwise_completions))  # R8
+    return run
+
+
+def evaluate_run(run: DataFrame, inp: Inputs, ks=C.HIT_KS):
+    """V1-V3: ``(flags, per_query, means)``."""
+    evaluate.check_alignment(run, inp.queries)                            # V4
+    flags = evaluate.hit_flags(run, inp.queries, inp.docs)
+    per_q = evaluate.hit_at_k(flags, inp.queries, ks)
+    return flags, per_q, evaluate.hit_mean(per_q)
