@@ -9,51 +9,57 @@ scatter-add into a dense vector runs in numpy, one Arrow batch at a time.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenrank import config as C
 
 
-def token_bucket(tok: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
+def signed_codes(toks: Column, dim: int = C.HASH_DIM) -> Column:
+    """array<int> of ``bucket * 2 + odd`` per token, computed in the JVM.
 
+    ``x`` = the first 9 hex digits of md5 as a number: ``x >> 4`` is the first 8
+    digits (the bucket before ``mod dim``), ``x & 1`` is the 9th digit's parity.
+    """
+    def code(t):
+        x = F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("bigint")
+        return (F.pmod(F.shiftright(x, 4), F.lit(dim)) * 2 + F.pmod(x, F.lit(2))).cast("int")
 
-def token_sign(tok: Column) -> Column:
-    odd = F.pmod(F.conv(F.substring(F.md5(tok), 9, 1), 16, 10).cast("int"), F.lit(2))
-    return F.lit(1) - odd * 2
+    return F.transform(toks, code)
 
 
-def signed_codes(toks: Column, dim: int = C.HASH_DIM) -> Column:
-    """array<int> of ``bucket * 2 + odd``: the encoder input, computed in the JVM."""
-    return F.transform(
-        toks,
-        lambda t: (token_bucket(t, dim) * 2
-                   + F.pmod(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int"), F.lit(2))
-                   ).cast("int"),
-    )
-
-
-def _codes_to_vectors(codes: pd.Series, dim: int) -> pd.Series:
-    n = len(codes)
-    lengths = np.fromiter((0 if c is None else len(c) for c in codes), dtype=np.int64, count=n)
-    mat = np.zeros((n, dim), dtype=np.float64)
-    if lengths.sum():
-        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes if c is not None and len(c)])
-        rows = np.repeat(np.arange(n), lengths)
-        np.add.at(mat, (rows, flat >> 1), 1.0 - 2.0 * (flat & 1))
+def codes_matrix(values: np.ndarray, lengths: np.ndarray, dim: int) -> np.ndarray:
+    """Dense (rows x dim) signed counts, L2-normalised per row (zero rows stay zero)."""
+    n = len(lengths)
+    rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+    flat = rows * dim + (values >> 1)
+    mat = np.bincount(flat, weights=1.0 - 2.0 * (values & 1), minlength=n * dim).reshape(n, dim)
     norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
     nz = norms > 0
     mat[nz] /= norms[nz, None]
-    return pd.Series(list(mat))
-
-
-def codes_to_unit_vector(dim: int = C.HASH_DIM):
-    """pandas UDF: signed codes to an L2-normalised ``array<double>`` of width dim."""
-
-    @F.pandas_udf("array<double>")
-    def _udf(codes: pd.Series) -> pd.Series:
-        return _codes_to_vectors(codes, dim)
-
-    return _udf
+    return mat
+
+
+def arrow_encoder(dim: int, codes_col: str, out_col: str):
+    """``mapInArrow`` function: replace the codes list column by the unit vector column.
+
+    Works on the Arrow buffers directly (no per-row Python objects).
+    """
+
+    def run(batches):
+        for b in batches:
+            codes = b.column(codes_col)
+            if isinstance(codes, pa.ChunkedArray):
+                codes = codes.combine_chunks()
+            lengths = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            mat = codes_matrix(values, lengths, dim)
+            offsets = pa.array(np.arange(0, (len(lengths) + 1) * dim, dim, dtype=np.int32))
+            vec = pa.ListArray.from_arrays(offsets, pa.array(mat.ravel(), type=pa.float64()))
+            keep = [i for i, f in enumerate(b.schema) if f.name != codes_col]
+            cols = [b.column(i) for i in keep] + [vec]
+            names = [b.schema.field(i).name for i in keep] + [out_col]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run

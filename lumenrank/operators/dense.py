@@ -16,9 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lumenrank import config as C
-from lumenrank.functions.hashing import codes_to_unit_vector, signed_codes
+from lumenrank.functions.hashing import arrow_encoder, signed_codes
 from lumenrank.functions.text import format_instruction, tokens
 from lumenrank.operators.lexical import rank_top_k
 from lumenrank.operators.plan import spread
@@ -71,10 +72,16 @@ def hash_encode(
     instruction: str | None = None,
     instruction_format: str = "{}{}",
 ) -> DataFrame:
-    """D1 / D2 default encoder: hashing vectors, L2-normalised (see functions.hashing)."""
+    """D1 / D2 default encoder: hashing vectors, L2-normalised (see functions.hashing).
+
+    Tokens and md5 codes are JVM expressions; the scatter-add into dense vectors
+    runs on whole Arrow batches in ``mapInArrow`` (one pass, no per-row objects).
+    """
     text = format_instruction(text_col, instruction, instruction_format)
-    codes = signed_codes(tokens(text), dim)
-    return df.withColumn(out_col, codes_to_unit_vector(dim)(codes))
+    base = df.drop(out_col) if out_col in df.columns else df
+    with_codes = base.withColumn("_codes", signed_codes(tokens(text), dim))
+    schema = StructType(base.schema.fields + [StructField(out_col, ArrayType(DoubleType()), True)])
+    return with_codes.mapInArrow(arrow_encoder(dim, "_codes", out_col), schema)
 
 
 def batch_encoder(fn, dim: int):

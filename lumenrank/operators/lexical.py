@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenrank import config as C
 from lumenrank.functions.text import tokens
-from lumenrank.operators.plan import bounded_broadcast, spread
+from lumenrank.operators.plan import bounded_broadcast, bucketed, spread
 
 
 @dataclass
@@ -47,17 +47,30 @@ def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return d.withColumn("tokens", tokens("text"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
-    """Term frequencies, positions, lengths, document frequencies, raw text."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                with_positions: bool = True, materialize: bool = False) -> Bm25Index:
+    """Term frequencies, positions, lengths, document frequencies, raw text.
+
+    Documents are hash-partitioned by ``doc_id`` once (only when the scan is
+    narrower than the cluster); the ``(doc_id, term)`` aggregation then reuses
+    that partitioning, so the postings come out partitioned by ``doc_id`` with
+    no second exchange. ``materialize`` writes postings and document lengths as
+    tables bucketed by ``doc_id`` in the shared checkpoint folder, so searches
+    read them (still partitioned by ``doc_id``) instead of re-tokenising.
+    """
     dt = doc_tokens(docs, id_col, text_col)
     doc_stats = dt.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), "text")
+    # outer explode + explicit filter: a plain explode lets the optimizer infer
+    # size(tokens) > 0 and push it under the exchange, tokenising twice
     occ = dt.select("doc_id", F.size("tokens").cast("bigint").alias("dl"),
-                    F.posexplode("tokens").alias("pos", "term"))
-    postings = occ.groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.first("dl").alias("dl"),
-        F.array_sort(F.collect_list("pos")).alias("positions"),
-    )
+                    F.posexplode_outer("tokens").alias("pos", "term")).where(F.col("term").isNotNull())
+    aggs = [F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")]
+    if with_positions:
+        aggs.append(F.array_sort(F.collect_list("pos")).alias("positions"))
+    postings = occ.groupBy("doc_id", "term").agg(*aggs)
+    if materialize:
+        postings = bucketed(postings, "doc_id", "postings")
+        doc_stats = bucketed(doc_stats.select("doc_id", "dl"), "doc_id", "doc-stats")
     term_stats = postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
     )
@@ -70,7 +83,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def query_terms(queries: DataFrame, qid_col: str = "qid", text_col: str = "query") -> DataFrame:
     """``(qid, term, qtf)``: a query term counts as often as it occurs."""
     return (
-        queries.select(F.col(qid_col).alias("qid"), F.explode(tokens(text_col)).alias("term"))
+        queries.select(F.col(qid_col).alias("qid"), F.explode_outer(tokens(text_col)).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("qid", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank import config as C
-from lumenrank.session import checkpoint_dir
+from lumenrank.session import checkpoint_dir, work_path
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = C.BROADCAST_MAX_ROWS) -> DataFrame:
@@ -39,6 +39,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table bucketed and sorted by ``key`` in the shared
+    checkpoint folder, and read it back. Unlike ``checkpoint()``, the scan then
+    reports its hash partitioning on ``key``, so joins and aggregations keyed by
+    it run without an exchange. Bucket count = ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = work_path(spark, name)
+    table = "lumenrank_" + path.rstrip("/").rsplit("-", 1)[-1] + "_" + name.replace("-", "_")
+    df.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def literal_table(df_like: DataFrame, values, name: str, dtype: str = "bigint") -> DataFrame:
     """A one-column table of literal values (e.g. the k list), built without the driver data path."""
     arr = F.array(*[F.lit(v).cast(dtype) for v in values])

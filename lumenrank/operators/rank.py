@@ -15,22 +15,27 @@ from pyspark.sql import functions as F
 
 from lumenrank import config as C
 from lumenrank.functions.text import extract_indices, tokens
-from lumenrank.operators.plan import bounded_broadcast
+from lumenrank.operators.plan import bounded_broadcast, spread
 
 RUN_COLS = ["qid", "rank", "doc_id", "score"]
 
 
-def attach_text(run: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def attach_text(run: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Left-join passage text onto a run by id (not by position).
 
     The run's distinct doc ids (bounded by queries x depth) are broadcast after a
     count, so the corpus is only scanned (``doc_id, text``), never shuffled; the
     few matching passages then meet the run in a join of two bounded sides.
-    Run rows whose id is not in the pool keep a null text.
+    ``prepare`` may turn each distinct passage into features once (e.g. terms)
+    before that join. Run rows whose id is not in the pool keep nulls.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids = bounded_broadcast(run.select("doc_id").distinct())
     texts = d.join(ids, "doc_id", "left_semi")
+    if prepare is not None:  # per-passage work: use every core even on a one-split scan
+        texts = spread(d, "doc_id").join(ids, "doc_id", "left_semi")
+        texts = prepare(texts)
     return run.join(texts, "doc_id", "left")
 
 
@@ -60,12 +65,29 @@ def rrf_fuse(dense: DataFrame, bm25: DataFrame | None, rrf_k: int = C.RRF_K) ->
     return fused.withColumn("rank", F.row_number().over(w)).select(*RUN_COLS)
 
 
-def coverage_scores(pairs: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:
-    """D3 default scorer: share of distinct query terms found in the passage (JVM only)."""
-    q = F.array_distinct(tokens(query_col))
-    d = tokens(text_col)
-    score = F.when(F.size(q) > 0, F.size(F.array_intersect(q, d)) / F.size(q)).otherwise(F.lit(0.0))
-    return pairs.withColumn("pair_score", score.cast("double"))
+class CoverageScorer:
+    """D3 default scorer: share of distinct query terms found in the passage (JVM only).
+
+    Terms are computed once per distinct passage and once per query, not per pair.
+    """
+
+    def prepare_docs(self, texts: DataFrame) -> DataFrame:
+        return texts.select("doc_id", F.array_distinct(tokens("text")).alias("d_terms"))
+
+    def prepare_queries(self, queries: DataFrame) -> DataFrame:
+        return queries.select("qid", F.array_distinct(tokens("query")).alias("q_terms"))
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        if "q_terms" not in pairs.columns:
+            pairs = pairs.withColumn("q_terms", F.array_distinct(tokens("query")))
+        if "d_terms" not in pairs.columns:
+            pairs = pairs.withColumn("d_terms", F.array_distinct(tokens("text")))
+        q, d = F.col("q_terms"), F.coalesce(F.col("d_terms"), F.array().cast("array<string>"))
+        score = F.when(F.size(q) > 0, F.size(F.array_intersect(q, d)) / F.size(q)).otherwise(F.lit(0.0))
+        return pairs.withColumn("pair_score", score.cast("double"))
+
+
+coverage_scores = CoverageScorer()
 
 
 def batch_pair_scorer(fn: Callable[[list[str], list[str]], list[float]]):
@@ -97,15 +119,26 @@ def pointwise_rerank(
     """Score every (raw query, passage) pair; sort by score desc, old rank asc.
 
     The new scores replace the retrieval scores. ``queries`` holds ``(qid, query)``.
+    A scorer may offer ``prepare_docs`` / ``prepare_queries`` to compute its
+    inputs once per passage and per query.
     """
-    pairs = attach_text(run, docs).join(bounded_broadcast(queries.select("qid", "query")), "qid")
-    scored = scorer(pairs)
+    scored = score_pairs(run, queries, docs, scorer)
     w = Window.partitionBy("qid").orderBy(F.col("pair_score").desc(), F.col("rank").asc())
     return scored.select(
         "qid", "doc_id", F.col("pair_score").alias("score"), F.row_number().over(w).alias("rank")
     ).select(*RUN_COLS)
 
 
+def score_pairs(run: DataFrame, queries: DataFrame, docs: DataFrame, scorer=coverage_scores) -> DataFrame:
+    """``run`` rows with ``pair_score`` from (raw query, passage)."""
+    prep_d = getattr(scorer, "prepare_docs", None)
+    prep_q = getattr(scorer, "prepare_queries", None)
+    q = queries.select("qid", "query")
+    q = prep_q(q) if prep_q is not None else q
+    pairs = attach_text(run, docs, prepare=prep_d).join(bounded_broadcast(q), "qid")
+    return scorer(pairs)
+
+
 def listwise_prompts(run: DataFrame, queries: DataFrame, docs: DataFrame, top_n: int = C.LISTWISE_TOP_N) -> DataFrame:
     """``(qid, prompt)`` with the first ``top_n`` passages as ``[i] text``, newline-joined."""
     top = attach_text(run.where(F.col("rank") <= top_n), docs)

@@ -47,7 +47,8 @@ def _index(spark, sf) -> lexical.Bm25Index:
 
 def _bm25_run(spark, sf, queries=None) -> DataFrame:
     q = queries if queries is not None else fx.query_set(spark, sf)
-    return lexical.bm25_search(_index(spark, sf), q)
+    index = lexical.build_index(fx.corpus(spark, sf), with_positions=False, materialize=True)
+    return lexical.bm25_search(index, q)
 
 
 def _doc_vectors(spark, sf) -> DataFrame:
@@ -64,7 +65,7 @@ def _dense_run(spark, sf, queries=None) -> DataFrame:
 @register("tokens")
 def q_tokens(spark, sf):
     d = lexical.doc_tokens(fx.corpus(spark, sf))
-    return d.select("doc_id", F.posexplode("tokens").alias("pos", "term")).select(
+    return d.select("doc_id", F.posexplode_outer("tokens").alias("pos", "term")).where(F.col("term").isNotNull()).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "term"
     )
 
@@ -220,8 +221,8 @@ def _fused(spark, sf, q):
 @register("pair_score")
 def q_pair_score(spark, sf):
     q = fx.query_set(spark, sf)
-    pairs = rank.attach_text(_fused(spark, sf, q), fx.corpus(spark, sf)).join(q.select("qid", "query"), "qid")
-    return rank.coverage_scores(pairs).select("qid", "doc_id", F.round("pair_score", C.SCORE_DIGITS).alias("score"))
+    pairs = rank.score_pairs(_fused(spark, sf, q), q, fx.corpus(spark, sf))
+    return pairs.select("qid", "doc_id", F.round("pair_score", C.SCORE_DIGITS).alias("score"))
 
 
 @register("pointwise_rerank")
@@ -389,7 +390,7 @@ def _pipeline(spark, sf, methods: set[str], rerank_on: bool) -> DataFrame:
     docs = fx.corpus(spark, sf)
     inp = P.Inputs(
         queries=q, docs=docs,
-        bm25=lexical.build_index(docs) if "mixed" in methods else None,
+        bm25=lexical.build_index(docs, with_positions=False, materialize=True) if "mixed" in methods else None,
         hyde_completions=fx.hyde_completions(q),
         listwise_completions=fx.listwise_completions(q),
         reranker=rank.coverage_scores if rerank_on else None,
