@@ -34,7 +34,7 @@ def codes_matrix(values: np.ndarray, lengths: np.ndarray, dim: int) -> np.ndarra
     n = len(lengths)
     rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
     flat = rows * dim + (values >> 1)
-    mat = np.bincount(flat, weights=1.0 - 2.0 * (values & 1), minlength=n * dim).reshape(n, dim)
+    mat = np.bincount(flat, weights=1.0 - 2.0 * (values & 1), minlength=n * dim).astype(np.float64).reshape(n, dim)
     norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
     nz = norms > 0
     mat[nz] /= norms[nz, None]

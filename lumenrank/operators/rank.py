@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumenrank import config as C
 from lumenrank.functions.text import extract_indices, tokens
@@ -98,7 +99,7 @@ def batch_pair_scorer(fn: Callable[[list[str], list[str]], list[float]]):
     """
 
     def apply(pairs: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:
-        schema = pairs.schema.add("pair_score", "double")
+        schema = StructType(list(pairs.schema.fields) + [StructField("pair_score", DoubleType(), True)])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
