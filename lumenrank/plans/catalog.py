@@ -415,5 +415,24 @@ def q_pipeline_full(spark, sf):
     return _pipeline(spark, sf, P.parse_methods("mixed,hyde,listwise_rerank"), True)
 
 
+@register("stream_bm25_topk")
+def q_stream_bm25_topk(spark, sf):
+    """R4 over the benchmark file as a stream source: each micro-batch of query
+    rows is searched against the BM25 index built once; runs land in a sink."""
+    from lumenrank.streaming import query_stream
+
+    index = lexical.build_index(fx.corpus(spark, sf), with_positions=False, materialize=True)
+    sink, ckpt = work_path(spark, "stream-sink"), work_path(spark, "stream-ckpt")
+    src = f"{sf.rstrip('/')}/[b]enchmark.parquet"  # a glob: the file source watches a folder
+
+    def retrieve(batch: DataFrame) -> DataFrame:
+        q = batch.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+        return lexical.bm25_search(index, q)
+
+    handle = query_stream.start(spark, src, retrieve, sink, ckpt, schema="item_id long, text string")
+    handle.awaitTermination()
+    return out_run(query_stream.read_sink(spark, sink))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -78,3 +78,20 @@ def evaluate_run(run: DataFrame, inp: Inputs, ks=C.HIT_KS):
     flags = evaluate.hit_flags(run, inp.queries, inp.docs)
     per_q = evaluate.hit_at_k(flags, inp.queries, ks)
     return flags, per_q, evaluate.hit_mean(per_q)
+
+
+def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = False,
+            ks=C.HIT_KS, depth: int = C.DEPTH, encode=dense.hash_encode):
+    """K2 / K3 / V8: retrieve, save the run under its method tag, and unless
+    ``skip_eval`` write one hit table per k. Returns ``(run_path, means or None)``."""
+    from lumenrank.sources import io
+
+    run = retrieve(inp, methods, depth=depth, encode=encode)
+    path = io.run_path(out_dir, methods)
+    io.write_run(run, f"{path}/run")
+    if skip_eval:
+        return path, None
+    _, per_q, means = evaluate_run(run, inp, ks)
+    per_q = cut(per_q)
+    io.write_hits(per_q, f"{path}/hits")
+    return path, evaluate.hit_mean(per_q)
