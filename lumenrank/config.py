@@ -44,6 +44,6 @@ HASH_DIM = 256                   # hashing-encoder width
 SCORE_DIGITS = 6                 # rounding of output scores
 SEED = "lumenrank"               # seed for hash-ordered sampling
 # Largest query block shipped to executors as one broadcast (bytes).
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 # Largest row count we let a join broadcast after counting it.
 BROADCAST_MAX_ROWS = 2_000_000

@@ -10,10 +10,9 @@ per query (exact, ties resolved by doc_id), so the only shuffle moves
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -22,9 +21,9 @@ from lumenrank import config as C
 from lumenrank.functions.hashing import arrow_encoder, signed_codes
 from lumenrank.functions.text import format_instruction, tokens
 from lumenrank.operators.lexical import rank_top_k
-from lumenrank.operators.plan import spread
 
 SCORE_CELLS = 8_000_000
+ARROW_BATCH_ROWS = 10_000  # spark.sql.execution.arrow.maxRecordsPerBatch default
 
 
 def l2_normalize(vec: Column | str) -> Column:
@@ -98,46 +97,101 @@ def batch_encoder(fn, dim: int):
     return _enc
 
 
-def _topk_block(ids: np.ndarray, scores: np.ndarray, k: int):
-    """Exact top-k rows of ``scores`` (docs x queries) by (score desc, id asc)."""
-    m, q = scores.shape
+def _select(r: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Row indices (min(k, m) x q) of the exact top-k per column by (r desc, id asc).
+
+    ``r``: (m, q) rounded scores; ``ids``: (m, q) ids. ``argpartition`` finds the
+    k-th score per column; only columns with ties at that score are resolved
+    one by one (smaller id wins), so the common case stays vectorised.
+    """
+    m, q = r.shape
     if m <= k:
-        return [np.arange(m)] * q
-    rounded = np.round(scores, C.SCORE_DIGITS)
-    part = np.argpartition(-rounded, k - 1, axis=0)[:k]
-    thr = rounded[part, np.arange(q)].min(axis=0)
-    out = []
-    for j in range(q):
-        col = rounded[:, j]
+        return np.broadcast_to(np.arange(m)[:, None], (m, q)).copy()
+    cols = np.arange(q)
+    part = np.argpartition(-r, k - 1, axis=0)[:k]
+    thr = r[part, cols].min(axis=0)
+    tied = (r >= thr).sum(axis=0) > k
+    for j in np.nonzero(tied)[0]:
+        col = r[:, j]
         above = np.nonzero(col > thr[j])[0]
         ties = np.nonzero(col == thr[j])[0]
-        need = k - len(above)
-        if len(ties) > need:
-            ties = ties[np.argsort(ids[ties], kind="stable")[:need]]
-        out.append(np.concatenate([above, ties]))
-    return out
+        ties = ties[np.argsort(ids[ties, j], kind="stable")[: k - len(above)]]
+        part[:, j] = np.concatenate([above, ties])
+    return part
+
+
+class _RunningTopK:
+    """Exact top-k per query over all batches of one partition (k x q state)."""
+
+    def __init__(self, q: int, k: int):
+        self.k = k
+        self.r = np.full((0, q), -np.inf)
+        self.raw = np.zeros((0, q))
+        self.ids = np.zeros((0, q), dtype=np.int64)
+
+    def add(self, ids: np.ndarray, raw: np.ndarray) -> None:
+        r = np.round(raw, C.SCORE_DIGITS)
+        ids2 = np.broadcast_to(ids[:, None], raw.shape)
+        pick = _select(r, ids2, self.k)
+        r_all = np.vstack([self.r, np.take_along_axis(r, pick, 0)])
+        raw_all = np.vstack([self.raw, np.take_along_axis(raw, pick, 0)])
+        ids_all = np.vstack([self.ids, np.take_along_axis(ids2, pick, 0)])
+        keep = _select(r_all, ids_all, self.k)
+        self.r = np.take_along_axis(r_all, keep, 0)
+        self.raw = np.take_along_axis(raw_all, keep, 0)
+        self.ids = np.take_along_axis(ids_all, keep, 0)
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    """A list<float|double> Arrow column of equal-length vectors to an (n, dim) float64 matrix."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(n, -1) if n else np.zeros((0, 0))
+
 
+def _search_with_broadcast(bq, k: int):
+    """``mapInArrow`` body: score every corpus batch against the broadcast query
+    block, keep a running exact top-k, emit once per partition."""
 
-def _search_partition(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
+    def run(batches):
+        qids, qmat = bq.value
+        nq = len(qids)
+        step = max(1, SCORE_CELLS // ARROW_BATCH_ROWS)  # queries per chunk: bounded score matrices
+        chunks = [(lo, min(nq, lo + step)) for lo in range(0, nq, step)]
+        state = {lo: _RunningTopK(hi - lo, k) for lo, hi in chunks}
+        for b in batches:
+            if b.num_rows == 0:
                 continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            dmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            # keep each score matrix near 8M cells whatever the block sizes
-            step = max(1, SCORE_CELLS // len(ids))
-            for lo in range(0, len(qids), step):
-                scores = dmat @ qmat[lo:lo + step].T
-                picks = _topk_block(ids, scores, k)
-                q_out = np.concatenate([np.full(len(p), qids[lo + j], dtype=np.int64) for j, p in enumerate(picks)])
-                rows = np.concatenate(picks)
-                cols = np.concatenate([np.full(len(p), j) for j, p in enumerate(picks)])
-                yield pd.DataFrame({"qid": q_out, "doc_id": ids[rows], "score": scores[rows, cols]})
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            dmat = _matrix(b.column("v"))
+            for lo, hi in chunks:
+                state[lo].add(ids, dmat @ qmat[lo:hi].T)
+        for lo, hi in chunks:
+            st = state[lo]
+            if st.r.shape[0] == 0:
+                continue
+            qcol = np.broadcast_to(qids[lo:hi][None, :], st.r.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qcol.ravel()), pa.array(st.ids.ravel()), pa.array(st.raw.ravel())],
+                names=["qid", "doc_id", "score"],
+            )
 
     return run
 
 
+def _shards(docs: DataFrame) -> DataFrame:
+    """One search shard per core: every shard returns k rows per query, so the merge
+    shuffle grows with the shard count; fewer, larger shards keep it small while
+    every core still works. A narrow scan is spread, a wide one coalesced (no shuffle)."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n = docs.rdd.getNumPartitions()
+    if n < cores:
+        return docs.repartition(cores, "doc_id")
+    return docs.coalesce(cores) if n > cores else docs
+
+
 def knn_search(
     queries: DataFrame,
     corpus: DataFrame,
@@ -152,14 +206,15 @@ def knn_search(
 
     Queries are shipped in blocks of at most ``block_bytes``; a larger query set
     takes several passes over the corpus, one block at a time, never all at once.
-    Each Arrow batch of a corpus partition keeps its own exact top-k per query.
+    Each corpus partition keeps a running exact top-k per query across its Arrow
+    batches and emits it once, so the merge moves ``shards * k`` rows per query.
     """
     spark = corpus.sparkSession
     sc = spark.sparkContext
     q = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("v"))
     dim_row = q.select(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     n_q, dim = int(dim_row["n"]), int(dim_row["d"] or 0)
-    docs = spread(corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v")), "doc_id")
+    docs = _shards(corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v")))
     if n_q == 0 or dim == 0:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
     per_block = max(1, block_bytes // (8 * dim + 16))
@@ -176,8 +231,7 @@ def knn_search(
         qids = pdf["qid"].to_numpy(dtype=np.int64)
         qmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
         bq = sc.broadcast((qids, qmat))
-        fn = _search_with_broadcast(bq, k)
-        parts.append(docs.mapInPandas(fn, "qid long, doc_id long, score double"))
+        parts.append(docs.mapInArrow(_search_with_broadcast(bq, k), "qid long, doc_id long, score double"))
     if not parts:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
     cand = parts[0]
@@ -185,11 +239,3 @@ def knn_search(
         cand = cand.unionByName(p)
     cand = cand.withColumn("score", F.round("score", C.SCORE_DIGITS))
     return rank_top_k(cand, k)
-
-
-def _search_with_broadcast(bq, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat = bq.value
-        yield from _search_partition(qids, qmat, k, "doc_id", "v")(batches)
-
-    return run

@@ -69,21 +69,39 @@ def rrf_fuse(dense: DataFrame, bm25: DataFrame | None, rrf_k: int = C.RRF_K) ->
 class CoverageScorer:
     """D3 default scorer: share of distinct query terms found in the passage (JVM only).
 
-    Terms are computed once per distinct passage and once per query, not per pair.
+    On a whole run it works relationally: (query, passage) pairs x the query's
+    distinct terms, semi-joined on ``(doc_id, term)`` with the distinct terms of
+    the run's passages, counted per pair. No per-pair arrays are built, and each
+    passage and query is tokenised once. ``__call__`` scores a pairs table with
+    ``query`` and ``text`` columns directly (same result).
     """
 
-    def prepare_docs(self, texts: DataFrame) -> DataFrame:
-        return texts.select("doc_id", F.array_distinct(tokens("text")).alias("d_terms"))
-
-    def prepare_queries(self, queries: DataFrame) -> DataFrame:
-        return queries.select("qid", F.array_distinct(tokens("query")).alias("q_terms"))
+    def score_run(self, run: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+        ids = bounded_broadcast(run.select("doc_id").distinct())
+        d = spread(docs.select("doc_id", "text"), "doc_id").join(ids, "doc_id", "left_semi")
+        d_terms = d.select("doc_id", F.explode_outer(F.array_distinct(tokens("text"))).alias("term")) \
+            .where(F.col("term").isNotNull())
+        q_terms = queries.select("qid", F.explode_outer(F.array_distinct(tokens("query"))).alias("term")) \
+            .where(F.col("term").isNotNull())
+        q_terms = bounded_broadcast(q_terms)
+        n_terms = q_terms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
+        found = (
+            run.select("qid", "doc_id").join(q_terms, "qid")
+            .join(d_terms, ["doc_id", "term"], "left_semi")
+            .groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("found"))
+        )
+        score = F.when(F.col("n_terms") > 0, F.coalesce(F.col("found"), F.lit(0)) / F.col("n_terms")) \
+            .otherwise(F.lit(0.0))
+        return (
+            run.join(found, ["qid", "doc_id"], "left")
+            .join(n_terms, "qid", "left")
+            .withColumn("pair_score", score.cast("double"))
+            .drop("found", "n_terms")
+        )
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        if "q_terms" not in pairs.columns:
-            pairs = pairs.withColumn("q_terms", F.array_distinct(tokens("query")))
-        if "d_terms" not in pairs.columns:
-            pairs = pairs.withColumn("d_terms", F.array_distinct(tokens("text")))
-        q, d = F.col("q_terms"), F.coalesce(F.col("d_terms"), F.array().cast("array<string>"))
+        q = F.array_distinct(tokens("query"))
+        d = tokens("text")
         score = F.when(F.size(q) > 0, F.size(F.array_intersect(q, d)) / F.size(q)).otherwise(F.lit(0.0))
         return pairs.withColumn("pair_score", score.cast("double"))
 
@@ -120,8 +138,6 @@ def pointwise_rerank(
     """Score every (raw query, passage) pair; sort by score desc, old rank asc.
 
     The new scores replace the retrieval scores. ``queries`` holds ``(qid, query)``.
-    A scorer may offer ``prepare_docs`` / ``prepare_queries`` to compute its
-    inputs once per passage and per query.
     """
     scored = score_pairs(run, queries, docs, scorer)
     w = Window.partitionBy("qid").orderBy(F.col("pair_score").desc(), F.col("rank").asc())
@@ -131,12 +147,14 @@ def pointwise_rerank(
 
 
 def score_pairs(run: DataFrame, queries: DataFrame, docs: DataFrame, scorer=coverage_scores) -> DataFrame:
-    """``run`` rows with ``pair_score`` from (raw query, passage)."""
-    prep_d = getattr(scorer, "prepare_docs", None)
-    prep_q = getattr(scorer, "prepare_queries", None)
-    q = queries.select("qid", "query")
-    q = prep_q(q) if prep_q is not None else q
-    pairs = attach_text(run, docs, prepare=prep_d).join(bounded_broadcast(q), "qid")
+    """``run`` rows with ``pair_score`` from (raw query, passage).
+
+    A scorer with ``score_run`` works on the whole run (relational); any other
+    callable gets a pairs table with ``query`` and ``text`` columns.
+    """
+    if hasattr(scorer, "score_run"):
+        return scorer.score_run(run, queries.select("qid", "query"), docs)
+    pairs = attach_text(run, docs).join(bounded_broadcast(queries.select("qid", "query")), "qid")
     return scorer(pairs)
 
 

@@ -63,3 +63,16 @@ def test_batch_encoder_callable(spark):
     enc = dense.batch_encoder(lambda texts: [[len(t), 1.0] for t in texts], 2)
     df = spark.createDataFrame([("ab",), ("abcd",)], "t string")
     assert [r[0] for r in df.select(enc("t")).collect()] == [[2.0, 1.0], [4.0, 1.0]]
+
+
+def test_knn_running_topk_across_many_batches(spark):
+    rng = np.random.default_rng(11)
+    d = {i: np.round(rng.normal(size=4), 1) for i in range(400)}  # rounded: many exact ties
+    q = {i: np.round(rng.normal(size=4), 1) for i in range(5)}
+    want = brute(q, d, 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = dense.knn_search(vec_df(spark, q, "qid"), vec_df(spark, d, "doc_id"), k=30)
+        assert sorted(rows(got, "qid", "rank", "doc_id", "score")) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -33,7 +33,7 @@ def test_knn_plan_has_no_pair_join(spark):
     run.collect()
     text = plan_text(run)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "MapInPandas" in text
+    assert "MapInArrow" in text
 
 
 def test_results_do_not_depend_on_partitioning(spark):

@@ -102,3 +102,13 @@ def test_attach_text_missing_id_keeps_row(spark):
     got = sorted(rows(rank.attach_text(run, docs), "doc_id", "text"))
     assert got == [(10, "x"), (99, None)]
     assert rows(rank.unmatched_ids(run, docs), "doc_id") == [(99,)]
+
+
+def test_coverage_relational_equals_pairwise(spark):
+    run = run_df(spark, [(1, 1, 0, .5), (1, 2, 1, .4), (2, 1, 2, .3), (2, 2, 9, .1)])
+    q = spark.createDataFrame([(1, "red apple red"), (2, "")], "qid long, query string")
+    docs = spark.createDataFrame([(0, "blue"), (1, "an Apple, red"), (2, "x")], "doc_id long, text string")
+    rel = dict(((r["qid"], r["doc_id"]), r["pair_score"]) for r in rank.coverage_scores.score_run(run, q, docs).collect())
+    pairs = rank.attach_text(run, docs).join(q, "qid")
+    pw = dict(((r["qid"], r["doc_id"]), r["pair_score"]) for r in rank.coverage_scores(pairs).collect())
+    assert rel == pw == {(1, 0): 0.0, (1, 1): 1.0, (2, 2): 0.0, (2, 9): 0.0}
