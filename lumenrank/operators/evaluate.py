@@ -38,9 +38,12 @@ def hit_at_k(flags: DataFrame, queries: DataFrame, ks=C.HIT_KS) -> DataFrame:
     )
 
 
-def hit_mean(per_query: DataFrame) -> DataFrame:
-    """V3: ``(k, hit_rate)`` averaged over all queries; 0 when there are none."""
-    return per_query.groupBy("k").agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("hit_rate"))
+def hit_mean(per_query: DataFrame, ks=C.HIT_KS) -> DataFrame:
+    """V3: ``(k, hit_rate)`` averaged over all queries; 0.0 for every k when there are none."""
+    means = per_query.groupBy("k").agg(F.avg("hit").alias("hit_rate"))
+    k_tab = per_query.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(int(k)).cast("bigint") for k in ks])).alias("k"))
+    return k_tab.join(means, "k", "left").select("k", F.coalesce("hit_rate", F.lit(0.0)).alias("hit_rate"))
 
 
 def hit_table(per_query: DataFrame) -> DataFrame:

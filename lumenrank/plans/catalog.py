@@ -302,10 +302,10 @@ def q_mining_union_corpus(spark, sf):
     return mining.number_corpus(mining.corpus_from_rows(_training(spark, sf)))
 
 
-def _mine(spark, sf) -> mining.MiningResult:
+def _mine(spark, sf, window: str = C.MINING_RANGE_SCRIPT) -> mining.MiningResult:
     rows = cut(_training(spark, sf))
     corpus = mining.number_corpus(mining.corpus_from_pool(fx.corpus(spark, sf)))
-    lo, hi = mining.parse_range(C.MINING_RANGE_SCRIPT)
+    lo, hi = mining.parse_range(window)
     return mining.mine(rows, corpus, lo=lo, hi=hi, n=C.NEGATIVE_NUMBER)
 
 
@@ -337,6 +337,15 @@ def q_mine_backfilled(spark, sf):
         .select("qid", F.col("slot").cast("bigint").alias("slot"), "text", "short")
 
 
+@register("mine_backfill_narrow")
+def q_mine_backfill_narrow(spark, sf):
+    """N7 on every row: a ``2-12`` window leaves at most 10 mined negatives, so each
+    training row is topped up from the corpus (distinct draws, exclusions)."""
+    rows = _mine(spark, sf, "2-12").rows
+    return rows.select("qid", F.posexplode("neg").alias("slot", "text"), F.col("short").cast("bigint").alias("short")) \
+        .select("qid", F.col("slot").cast("bigint").alias("slot"), "text", "short")
+
+
 # ---------------------------------------------------------------- sources and sinks
 @register("roundtrip_tsv")
 def q_roundtrip_tsv(spark, sf):

@@ -77,7 +77,7 @@ def evaluate_run(run: DataFrame, inp: Inputs, ks=C.HIT_KS):
     evaluate.check_alignment(run, inp.queries)                            # V4
     flags = evaluate.hit_flags(run, inp.queries, inp.docs)
     per_q = evaluate.hit_at_k(flags, inp.queries, ks)
-    return flags, per_q, evaluate.hit_mean(per_q)
+    return flags, per_q, evaluate.hit_mean(per_q, ks)
 
 
 def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = False,
@@ -94,4 +94,4 @@ def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = Fals
     _, per_q, means = evaluate_run(run, inp, ks)
     per_q = cut(per_q)
     io.write_hits(per_q, f"{path}/hits")
-    return path, evaluate.hit_mean(per_q)
+    return path, evaluate.hit_mean(per_q, ks)

@@ -164,8 +164,8 @@ SELECT (row_number() OVER (ORDER BY md5(text), text) - 1)::BIGINT AS idx, text
 FROM (SELECT DISTINCT text FROM txt WHERE text IS NOT NULL)""")
 
 _MINE = f"""{_TR}, tr AS (SELECT qid, query, pos, hn AS neg FROM tr_src), {_CORPUS},
-{O.dense_text_ctes('tr', 'qid', 'query', 'corp', 'idx', 'text', k=200, name='mk')},
-win AS (SELECT qid, rank, doc_id AS idx, score FROM mk WHERE rank > 2 AND rank <= 200),
+{O.dense_text_ctes('tr', 'qid', 'query', 'corp', 'idx', 'text', k='{hi}', name='mk')},
+win AS (SELECT qid, rank, doc_id AS idx, score FROM mk WHERE rank > {{lo}} AND rank <= {{hi}}),
 filt AS (
   SELECT w.qid, w.rank, w.idx, c.text FROM win w JOIN corp c USING (idx) JOIN tr t USING (qid)
   WHERE NOT coalesce(list_contains(t.pos, c.text), false) AND c.text <> t.query),
@@ -198,16 +198,17 @@ final AS (
   FROM mined m)"""
 
 
-def _mine_sql(select: str) -> str:
-    return "__MINE__" + select
+def _mine_sql(select: str, window: str = "2-200") -> str:
+    return f"__MINE__{window}__" + select
 
 
 sql("mine_window", _mine_sql("SELECT qid, CAST(rank AS BIGINT) AS rank, idx, round(score, 6) AS score FROM win"))
 sql("mine_filtered", _mine_sql("SELECT qid, CAST(rank AS BIGINT) AS rank, idx FROM filt"))
 sql("mine_sampled", _mine_sql("SELECT qid, draw::BIGINT AS draw, idx FROM samp"))
-sql("mine_backfilled", _mine_sql(
-    "SELECT qid, (t.i - 1)::BIGINT AS slot, t.x AS text, CASE WHEN len(neg) < 15 THEN 1 ELSE 0 END::BIGINT AS short "
-    "FROM final, unnest(neg) WITH ORDINALITY AS t(x, i)"))
+_FINAL_ROWS = ("SELECT qid, (t.i - 1)::BIGINT AS slot, t.x AS text, CASE WHEN len(neg) < 15 THEN 1 ELSE 0 END::BIGINT "
+               "AS short FROM final, unnest(neg) WITH ORDINALITY AS t(x, i)")
+sql("mine_backfilled", _mine_sql(_FINAL_ROWS))
+sql("mine_backfill_narrow", _mine_sql(_FINAL_ROWS, "2-12"))
 
 # ---------------------------------------------------------------- sources and sinks
 sql("roundtrip_tsv", "SELECT doc_id AS id, text FROM documents")
@@ -238,7 +239,10 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for k, v in SQL.items():
         if v.startswith("__MINE__"):
-            v = f"WITH {_MINE.replace('{stride}', STRIDE_SQL)} " + v[len("__MINE__"):]
+            window, body = v[len("__MINE__"):].split("__", 1)
+            lo, hi = window.split("-")
+            mine = _MINE.replace("{stride}", STRIDE_SQL).replace("{lo}", lo).replace("{hi}", hi)
+            v = f"WITH {mine} " + body
         out[k] = v
     return out
 
