@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenrank import config as C
 from lumenrank.functions.text import tokens
-from lumenrank.operators.plan import bounded_broadcast, bucketed, spread
+from lumenrank.operators.plan import bounded_broadcast, bucketed, cut, spread
 
 
 @dataclass
@@ -32,6 +32,7 @@ class Bm25Index:
     term_stats: DataFrame
     doc_vectors: DataFrame
     _stats: tuple | None = None
+    materialized: bool = False
 
     def collection_stats(self) -> tuple[int, float]:
         """(N, avgdl): one aggregate row, computed once per index."""
@@ -54,9 +55,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are hash-partitioned by ``doc_id`` once (only when the scan is
     narrower than the cluster); the ``(doc_id, term)`` aggregation then reuses
     that partitioning, so the postings come out partitioned by ``doc_id`` with
-    no second exchange. ``materialize`` writes postings and document lengths as
-    tables bucketed by ``doc_id`` in the shared checkpoint folder, so searches
-    read them (still partitioned by ``doc_id``) instead of re-tokenising.
+    no second exchange. ``materialize`` writes the postings as a table bucketed
+    by ``doc_id`` in the shared checkpoint folder (one tokenising pass) and
+    derives the term table and (N, avgdl) from it, so searches read them (still
+    partitioned by ``doc_id``) instead of re-tokenising.
     """
     dt = doc_tokens(docs, id_col, text_col)
     doc_stats = dt.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), "text")
@@ -68,16 +70,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if with_positions:
         aggs.append(F.array_sort(F.collect_list("pos")).alias("positions"))
     postings = occ.groupBy("doc_id", "term").agg(*aggs)
+    stats = None
     if materialize:
+        # one tokenising pass: everything else is derived from the written postings
         postings = bucketed(postings, "doc_id", "postings")
-        doc_stats = bucketed(doc_stats.select("doc_id", "dl"), "doc_id", "doc-stats")
+        n_docs = docs.count()  # a plain scan: documents without tokens still count
+        total = postings.agg(F.sum("tf").alias("t")).first()["t"] or 0
+        stats = (int(n_docs), float(total) / n_docs if n_docs else 0.0)
     term_stats = postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
     )
+    if materialize:
+        term_stats = cut(term_stats)
     doc_vectors = postings.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("vector")
     )
-    return Bm25Index(postings, doc_stats, term_stats, doc_vectors)
+    return Bm25Index(postings, doc_stats, term_stats, doc_vectors, stats, materialize)
 
 
 def query_terms(queries: DataFrame, qid_col: str = "qid", text_col: str = "query") -> DataFrame:
@@ -107,9 +115,11 @@ def bm25_search(
     """
     qt = bounded_broadcast(query_terms(queries, qid_col, text_col))
     n_docs, avgdl = index.collection_stats()
-    # document frequency of the query terms only: a tiny aggregate over the postings
     qterms = F.broadcast(qt.select("term").distinct())
-    dfs = index.postings.join(qterms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if index.materialized:  # written term table: a scan of the vocabulary, not the postings
+        dfs = index.term_stats.select("term", "df").join(qterms, "term")
+    else:  # document frequency of the query terms only: a filtered aggregate over the postings
+        dfs = index.postings.join(qterms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = qt.join(dfs, "term").select(
         "qid", "term",
         (F.col("qtf") * F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("wq"),
