@@ -51,9 +51,3 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) ->
     table = "lumenrank_" + path.rstrip("/").rsplit("-", 1)[-1] + "_" + name.replace("-", "_")
     df.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
     return spark.table(table)
-
-
-def literal_table(df_like: DataFrame, values, name: str, dtype: str = "bigint") -> DataFrame:
-    """A one-column table of literal values (e.g. the k list), built without the driver data path."""
-    arr = F.array(*[F.lit(v).cast(dtype) for v in values])
-    return df_like.sparkSession.range(1).select(F.explode(arr).alias(name))

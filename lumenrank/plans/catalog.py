@@ -374,6 +374,15 @@ def q_roundtrip_queries(spark, sf):
     return back.select("qid", "query", F.array_join("answers", "|").alias("answers"))
 
 
+@register("roundtrip_vectors")
+def q_roundtrip_vectors(spark, sf):
+    """K5 + S8: the dense index (hashing vectors of the pool) written and opened again."""
+    path = work_path(spark, "vectors")
+    io.write_vectors(_doc_vectors(spark, sf).select(F.col("doc_id").alias("id"), "embedding"), path)
+    back = io.read_vectors(spark, path)
+    return _components(back.withColumnRenamed("id", "doc_id"), "doc_id", "embedding").where(F.col("value") != 0)
+
+
 @register("roundtrip_run")
 def q_roundtrip_run(spark, sf):
     """K2 + S7: a run written as Parquet under its method tag and read back."""

@@ -214,6 +214,7 @@ sql("mine_backfill_narrow", _mine_sql(_FINAL_ROWS, "2-12"))
 sql("roundtrip_tsv", "SELECT doc_id AS id, text FROM documents")
 sql("roundtrip_jsonl", "SELECT doc_id AS id, text FROM documents")
 sql("roundtrip_queries", f"""WITH {O.QS} SELECT qid, query, array_to_string(answers, '|') AS answers FROM qs""")
+sql("roundtrip_vectors", SQL["encode_hash"])
 sql("stream_bm25_topk", f"""WITH {O.QS}, {O.bm25_ctes()} {O.run_select('bm25')}""")
 sql("roundtrip_run", f"""WITH {O.QS}, {O.bm25_ctes()} {O.run_select('bm25')}""")
 sql("hit_files", f"""WITH {O.QS}, {O.bm25_ctes()}, {O.hits_ctes('bm25')}

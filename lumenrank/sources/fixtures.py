@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrank import config as C
 
 # qid of a training row: conv_id * 2^31 + turn of the user turn.
 TRAIN_QID_SHIFT = 2**31
@@ -108,7 +107,3 @@ def training_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.col("s1").alias("text"))).alias("positive_ctxs"),
         negs.alias("hard_negative_ctxs"),
     )
-
-
-def seed() -> str:
-    return C.SEED

@@ -75,3 +75,12 @@ def test_bm25_index_sink_and_source(spark, tmp_path):
     back = io.read_bm25_index(spark, str(tmp_path / "bm25"))
     assert back.postings.count() == 4 and back.term_stats.count() == 3
     assert io.read_bm25_index(spark, None) is None
+
+
+def test_pool_texts_and_vectors(spark, tmp_path):
+    pool = spark.createDataFrame([(0, "x"), (1, "y")], "id long, text string")
+    io.write_jsonl(pool, str(tmp_path / "pool"))
+    assert sorted(rows(io.read_pool_texts(spark, str(tmp_path / "pool")))) == [("x",), ("y",)]
+    vec = spark.createDataFrame([(0, [0.5, 0.5])], "id long, embedding array<float>")
+    io.write_vectors(vec, str(tmp_path / "vec"))
+    assert rows(io.read_vectors(spark, str(tmp_path / "vec"))) == [(0, [0.5, 0.5])]
