@@ -21,6 +21,7 @@ from lumenrank import config as C
 from lumenrank.functions.hashing import arrow_encoder, signed_codes
 from lumenrank.functions.text import format_instruction, tokens
 from lumenrank.operators.lexical import rank_top_k
+from lumenrank.operators.plan import cut
 
 SCORE_CELLS = 8_000_000
 ARROW_BATCH_ROWS = 10_000  # spark.sql.execution.arrow.maxRecordsPerBatch default
@@ -221,9 +222,10 @@ def knn_search(
     parts = []
     if n_q <= per_block:
         blocks = [q]
-    else:  # block by qid order: each block is a bounded broadcast
+    else:  # several passes: each block is a bounded broadcast
         nb = 2 * ((n_q + per_block - 1) // per_block)  # hash blocks: headroom for uneven sizes
         blocks = [q.where(F.pmod(F.xxhash64("qid"), F.lit(nb)) == b) for b in range(nb)]
+        docs = cut(docs)  # encode the corpus once, not once per pass
     for block in blocks:
         pdf = block.toPandas()  # bounded: at most block_bytes of vectors
         if pdf.empty:
