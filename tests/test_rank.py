@@ -112,3 +112,25 @@ def test_coverage_relational_equals_pairwise(spark):
     pairs = rank.attach_text(run, docs).join(q, "qid")
     pw = dict(((r["qid"], r["doc_id"]), r["pair_score"]) for r in rank.coverage_scores(pairs).collect())
     assert rel == pw == {(1, 0): 0.0, (1, 1): 1.0, (2, 2): 0.0, (2, 9): 0.0}
+
+
+def test_listwise_is_a_permutation_keeping_scores(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=1, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 15), st.text(alphabet="0123456789 ,[]().x", max_size=25)),
+                    min_size=30, max_size=30))
+    def check(cases):
+        data, comps = [], []
+        for qid, (n, comp) in enumerate(cases):
+            data += [(qid, r, 1000 * qid + r, float(n - r)) for r in range(1, n + 1)]
+            comps.append((qid, comp))
+        run = run_df(spark, data)
+        out = rank.listwise_rerank(run, spark.createDataFrame(comps, "qid long, completion string"))
+        got = sorted(rows(out, "qid", "doc_id", "score"))
+        assert got == sorted((q, d, s) for q, _, d, s in data)
+        ranks = sorted(rows(out, "qid", "rank"))
+        assert ranks == sorted((q, r) for q, r, _, _ in data)
+
+    check()
