@@ -115,7 +115,7 @@ def bm25_search(
     """
     qt = bounded_broadcast(query_terms(queries, qid_col, text_col))
     n_docs, avgdl = index.collection_stats()
-    qterms = F.broadcast(qt.select("term").distinct())
+    qterms = F.broadcast(qt.select("term").distinct())  # a subset of the checked ``qt``
     if index.materialized:  # written term table: a scan of the vocabulary, not the postings
         dfs = index.term_stats.select("term", "df").join(qterms, "term")
     else:  # document frequency of the query terms only: a filtered aggregate over the postings
@@ -124,6 +124,7 @@ def bm25_search(
         "qid", "term",
         (F.col("qtf") * F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("wq"),
     )
+    # weights has one row per (query, term) of the checked ``qt``
     matches = index.postings.select("doc_id", "term", "tf", "dl").join(F.broadcast(weights), "term")
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
     part = F.col("wq") * F.col("tf") / (F.col("tf") + norm)
