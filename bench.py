@@ -29,7 +29,7 @@ HEADLINE = [
     "listwise_rerank",   # R8
     "hit_at_k",          # V1-V3
     "mine_backfilled",   # N1-N8
-    "pipeline_full",     # R11
+    "composed_full",     # R11
 ]
 
 

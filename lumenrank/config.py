@@ -7,7 +7,7 @@ described by its arguments; callers override per call, never by mutation.
 from __future__ import annotations
 
 # ---------------------------------------------------------------------------
-# These must equal the original pipeline's for the same results.
+# These must equal the original's for the same results.
 # ---------------------------------------------------------------------------
 DEPTH = 200                      # top-k per retriever (dense and BM25)
 RRF_K = 60                       # reciprocal-rank-fusion constant

@@ -1 +1 @@
-"""Composed jobs: the retrieval pipeline and the registered queries."""
+"""Composed jobs: the retrieval-and-evaluation job and the registered queries."""

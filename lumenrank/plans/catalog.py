@@ -17,7 +17,7 @@ from lumenrank.functions import text as T
 from lumenrank.operators import dense, evaluate, lexical, mining, rank, training
 from lumenrank.operators.ids import row_ids_parquet
 from lumenrank.operators.plan import cut
-from lumenrank.plans import pipeline as P
+from lumenrank.plans import compose as P
 from lumenrank.session import work_path
 from lumenrank.sources import fixtures as fx
 from lumenrank.sources import io
@@ -402,8 +402,8 @@ def q_hit_files(spark, sf):
     return back.select("k", "id", "hit")
 
 
-# ---------------------------------------------------------------- composed pipeline
-def _pipeline(spark, sf, methods: set[str], rerank_on: bool) -> DataFrame:
+# ---------------------------------------------------------------- composed retrieval job
+def _composed(spark, sf, methods: set[str], rerank_on: bool) -> DataFrame:
     q = fx.query_set(spark, sf)
     docs = fx.corpus(spark, sf)
     inp = P.Inputs(
@@ -418,19 +418,19 @@ def _pipeline(spark, sf, methods: set[str], rerank_on: bool) -> DataFrame:
     return out_run(flags).join(flags.select("qid", "doc_id", F.col("hit").cast("bigint").alias("hit")), ["qid", "doc_id"])
 
 
-@register("pipeline_dense")
-def q_pipeline_dense(spark, sf):
-    return _pipeline(spark, sf, set(), False)
+@register("composed_dense")
+def q_composed_dense(spark, sf):
+    return _composed(spark, sf, set(), False)
 
 
-@register("pipeline_mixed")
-def q_pipeline_mixed(spark, sf):
-    return _pipeline(spark, sf, P.parse_methods("mixed"), False)
+@register("composed_mixed")
+def q_composed_mixed(spark, sf):
+    return _composed(spark, sf, P.parse_methods("mixed"), False)
 
 
-@register("pipeline_full")
-def q_pipeline_full(spark, sf):
-    return _pipeline(spark, sf, P.parse_methods("mixed,hyde,listwise_rerank"), True)
+@register("composed_full")
+def q_composed_full(spark, sf):
+    return _composed(spark, sf, P.parse_methods("mixed,hyde,listwise_rerank"), True)
 
 
 @register("stream_bm25_topk")

@@ -220,15 +220,15 @@ sql("roundtrip_run", f"""WITH {O.QS}, {O.bm25_ctes()} {O.run_select('bm25')}""")
 sql("hit_files", f"""WITH {O.QS}, {O.bm25_ctes()}, {O.hits_ctes('bm25')}
 SELECT k, qid + 1 AS id, hit FROM hits_k""")
 
-# ---------------------------------------------------------------- composed pipeline
+# ---------------------------------------------------------------- composed retrieval job
 _PIPE_HITS = """SELECT h.qid, CAST(h.rank AS BIGINT) AS rank, h.doc_id, round(h.score, 6) AS score, h.hit::BIGINT AS hit
 FROM hits_f h"""
 
-sql("pipeline_dense", f"""WITH {O.QS}, {_DENSE}, {O.hits_ctes('dense')} {_PIPE_HITS}""")
+sql("composed_dense", f"""WITH {O.QS}, {_DENSE}, {O.hits_ctes('dense')} {_PIPE_HITS}""")
 
-sql("pipeline_mixed", f"""WITH {_FUSED}, {O.hits_ctes('rrf')} {_PIPE_HITS}""")
+sql("composed_mixed", f"""WITH {_FUSED}, {O.hits_ctes('rrf')} {_PIPE_HITS}""")
 
-sql("pipeline_full", f"""WITH {O.QS}, {_SQ},
+sql("composed_full", f"""WITH {O.QS}, {_SQ},
 {O.bm25_ctes(query_table='sq', qtext='search')},
 {O.dense_text_ctes('sq', 'qid', 'search', 'documents', 'doc_id', 'text')},
 {O.rrf_ctes('dense', 'bm25')}, {O.coverage_ctes('rrf')}, {O.LIST_COMP}, {O.listwise_ctes('pw')},

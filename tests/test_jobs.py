@@ -1,7 +1,7 @@
 import os
 
 from lumenrank.operators import generate, lexical, rank
-from lumenrank.plans import pipeline as P
+from lumenrank.plans import compose as P
 from lumenrank.sources import fixtures as fx
 
 from .conftest import SF001, rows
