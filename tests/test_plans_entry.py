@@ -72,3 +72,25 @@ def test_oracle_sample_sf0001(spark, name):
         return sorted(out, key=str)
 
     assert norm(sdf) == norm(ddf)
+
+
+def test_bm25_sum_needs_no_exchange_on_bucketed_postings(spark):
+    import re
+
+    q = fx.query_set(spark, SF001)
+    idx = lexical.build_index(fx.corpus(spark, SF001), with_positions=False, materialize=True)
+    run = lexical.bm25_search(idx, q)
+    run.collect()
+    text = plan_text(run)
+    assert re.search(r"hashpartitioning\(qid#\d+L?, \d+", text)          # the final top-k shuffle
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, doc_id", text)   # none for the sum
+
+
+def test_passage_lookup_scans_corpus_without_shuffling_it(spark):
+    from lumenrank.operators import rank
+
+    run = spark.createDataFrame([(1, 1, 3, 1.0), (1, 2, 7, .5)], "qid long, rank int, doc_id long, score double")
+    out = rank.attach_text(run, fx.corpus(spark, SF001))
+    out.collect()
+    text = plan_text(out)
+    assert "LeftSemi" in text and "BroadcastHashJoin" in text
