@@ -37,7 +37,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")))
+    extra = {}
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")  # stage / task times for later reading
+    if log_dir:
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")), extra=extra)
     qs = queries()
     # warm the JIT and the Python workers once on the smallest tables (not timed)
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
