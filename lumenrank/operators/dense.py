@@ -212,7 +212,8 @@ def knn_search(
     """
     spark = corpus.sparkSession
     sc = spark.sparkContext
-    q = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("v"))
+    # query vectors are written once: a model runs once per query, not per pass
+    q = cut(queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("v")))
     dim_row = q.select(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     n_q, dim = int(dim_row["n"]), int(dim_row["d"] or 0)
     docs = _shards(corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v")))
