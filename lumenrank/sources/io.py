@@ -7,6 +7,8 @@ Parquet. Readers never collect; writers write from the executors.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,17 +76,29 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bm25_index(spark: SparkSession, path: str | None):
-    """BM25 tables, or ``None`` when no path is given (dense only)."""
+    """BM25 tables, or ``None`` when no path is given (dense only).
+
+    The postings are declared as a table bucketed by ``doc_id`` over the written
+    files (bucket count from the index's own metadata), so a search in this
+    session keeps the per-document aggregation free of exchanges.
+    """
     if path is None:
         return None
     from lumenrank.operators.lexical import Bm25Index
 
     base = path.rstrip("/")
+    meta = spark.read.json(f"{base}/_index").first()
+    name = f"lumenrank_postings_{uuid.uuid4().hex[:12]}"
+    spark.sql(
+        f"CREATE TABLE {name} ({meta['postings_ddl']}) USING parquet "
+        f"CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO {int(meta['buckets'])} BUCKETS LOCATION '{base}/postings'"
+    )
     return Bm25Index(
-        postings=spark.read.parquet(f"{base}/postings"),
+        postings=spark.table(name),
         doc_stats=spark.read.parquet(f"{base}/doc_stats"),
         term_stats=spark.read.parquet(f"{base}/term_stats"),
         doc_vectors=spark.read.parquet(f"{base}/doc_vectors"),
+        materialized=True,
     )
 
 
@@ -128,10 +142,20 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)
 
 
-def write_bm25_index(index, path: str) -> None:
-    """K6: the four BM25 tables as Parquet folders."""
+def write_bm25_index(index, path: str, buckets: int | None = None) -> None:
+    """K6: the four BM25 tables; postings bucketed and sorted by ``doc_id``.
+
+    A small ``_index`` record keeps the bucket count and the postings schema so
+    that ``read_bm25_index`` can declare the same bucketing in another session.
+    """
+    spark = index.postings.sparkSession
     base = path.rstrip("/")
-    index.postings.write.mode("overwrite").parquet(f"{base}/postings")
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index.postings.write.mode("overwrite").bucketBy(n, "doc_id").sortBy("doc_id").format("parquet") \
+        .option("path", f"{base}/postings").saveAsTable(f"lumenrank_postings_w_{uuid.uuid4().hex[:12]}")
     index.doc_stats.write.mode("overwrite").parquet(f"{base}/doc_stats")
     index.term_stats.write.mode("overwrite").parquet(f"{base}/term_stats")
     index.doc_vectors.write.mode("overwrite").parquet(f"{base}/doc_vectors")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.postings.schema.fields)
+    spark.createDataFrame([(n, ddl)], "buckets int, postings_ddl string").coalesce(1) \
+        .write.mode("overwrite").json(f"{base}/_index")

@@ -69,12 +69,18 @@ def test_run_and_hits_sinks(spark, tmp_path):
 def test_bm25_index_sink_and_source(spark, tmp_path):
     from lumenrank.operators import lexical
 
-    docs = spark.createDataFrame([(0, "a b"), (1, "b c")], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, "a b"), (1, "b c"), (2, ""), (3, "c c d")], "doc_id long, text string")
     idx = lexical.build_index(docs)
     io.write_bm25_index(idx, str(tmp_path / "bm25"))
     back = io.read_bm25_index(spark, str(tmp_path / "bm25"))
-    assert back.postings.count() == 4 and back.term_stats.count() == 3
+    assert back.postings.count() == 6 and back.term_stats.count() == 4
     assert io.read_bm25_index(spark, None) is None
+    q = spark.createDataFrame([(1, "c b"), (2, "d")], "qid long, query string")
+    fresh = lexical.bm25_search(back, q)
+    assert sorted(rows(fresh)) == sorted(rows(lexical.bm25_search(idx, q)))
+    fresh.collect()
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
 
 
 def test_pool_texts_and_vectors(spark, tmp_path):
