@@ -3,9 +3,10 @@
 Exact search is a block product. The query side is the one that may be
 broadcast: it is shipped to executors in blocks whose byte size is checked
 (``QUERY_BLOCK_BYTES``); the corpus is never collected or shuffled whole.
-Each corpus partition computes ``Q @ D^T`` with numpy and keeps at most k rows
-per query (exact, ties resolved by doc_id), so the only shuffle moves
-``|Q| * k * partitions`` rows on ``qid`` to the final ``row_number``.
+Each corpus partition (one per core) computes ``Q @ D^T`` with numpy batch by
+batch and keeps a running exact top-k per query (ties resolved by doc_id),
+emitted once, so the only shuffle moves ``|Q| * k * partitions`` rows on
+``qid`` to the final ``row_number``.
 """
 
 from __future__ import annotations
@@ -36,11 +37,8 @@ def l2_normalize(vec: Column | str) -> Column:
 
 
 def mean_pool(multi: Column | str) -> Column:
-    """C6 / V6 for one row: ``array<array<float>>`` (m x dim) to its component mean.
-
-    An ``array<float>`` input (already single-vector) is not accepted here; call
-    it only on multi-vector columns. m is bounded by the row itself.
-    """
+    """C6 / V6 for one row: a multi-vector ``array<array<float>>`` (m x dim) to
+    its component mean (m is bounded by the row itself)."""
     mv = F.col(multi) if isinstance(multi, str) else multi
     first = F.element_at(mv, 1)
     return F.transform(
