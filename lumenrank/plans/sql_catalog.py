@@ -171,8 +171,11 @@ filt AS (
   WHERE NOT coalesce(list_contains(t.pos, c.text), false) AND c.text <> t.query),
 samp AS (
   SELECT * FROM (
-    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY
-             md5('lumenrank' || '|' || CAST(qid AS VARCHAR) || '|' || CAST(idx AS VARCHAR)), idx) AS draw, idx, text
+    SELECT qid, CASE WHEN count(*) OVER (PARTITION BY qid) <= 15
+                     THEN row_number() OVER (PARTITION BY qid ORDER BY rank)
+                     ELSE row_number() OVER (PARTITION BY qid ORDER BY
+                          md5('lumenrank' || '|' || CAST(qid AS VARCHAR) || '|' || CAST(idx AS VARCHAR)), idx)
+                END AS draw, idx, text
     FROM filt) WHERE draw <= 15),
 mined AS (
   SELECT t.qid, t.query, t.pos,
