@@ -22,15 +22,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = C.BROADCAST_MAX_ROWS) -> Da
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` when the scan gives fewer partitions than the cluster has
-    cores (one row group read by one task). Large inputs already arrive in many splits
-    and are left alone, so no extra shuffle is paid at scale."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    """Hash-partition by ``key`` over every core when the scan gives fewer
+    partitions than the cluster has cores (one row group read by one task).
+    Large inputs already arrive in many splits and are left alone, so no extra
+    shuffle is paid at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, cores), key)
+    return df.repartition(cores, key)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,10 +42,11 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) ->
     """Write ``df`` as a Parquet table bucketed and sorted by ``key`` in the shared
     checkpoint folder, and read it back. Unlike ``checkpoint()``, the scan then
     reports its hash partitioning on ``key``, so joins and aggregations keyed by
-    it run without an exchange. Bucket count = ``spark.sql.shuffle.partitions``.
+    it run without an exchange. Bucket count defaults to the partition count of
+    ``df`` (already hash-partitioned by ``key``: one file per bucket).
     """
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or df.rdd.getNumPartitions()
     path = work_path(spark, name)
     table = "lumenrank_" + path.rstrip("/").rsplit("-", 1)[-1] + "_" + name.replace("-", "_")
     df.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)

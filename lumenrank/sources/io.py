@@ -150,7 +150,7 @@ def write_bm25_index(index, path: str, buckets: int | None = None) -> None:
     """
     spark = index.postings.sparkSession
     base = path.rstrip("/")
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or index.postings.rdd.getNumPartitions()
     index.postings.write.mode("overwrite").bucketBy(n, "doc_id").sortBy("doc_id").format("parquet") \
         .option("path", f"{base}/postings").saveAsTable(f"lumenrank_postings_w_{uuid.uuid4().hex[:12]}")
     index.doc_stats.write.mode("overwrite").parquet(f"{base}/doc_stats")
