@@ -22,14 +22,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = C.BROADCAST_MAX_ROWS) -> Da
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` over every core when the scan gives fewer
-    partitions than the cluster has cores (one row group read by one task).
-    Large inputs already arrive in many splits and are left alone, so no extra
-    shuffle is paid at scale."""
+    """Hash-partition by ``key`` into two tasks per core (uneven row sizes still
+    balance) when the scan gives fewer partitions than the cluster has cores (one
+    row group read by one task). Large inputs already arrive in many splits and
+    are left alone, so no extra shuffle is paid at scale."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(2 * cores, key)
 
 
 def cut(df: DataFrame) -> DataFrame:
