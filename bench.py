@@ -15,6 +15,7 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
+from lumenrank.operators.plan import release_checked  # noqa: E402
 from lumenrank.session import local_session  # noqa: E402
 from lumenrank.plans.catalog import queries  # noqa: E402
 
@@ -53,7 +54,7 @@ def main() -> None:
         t0 = time.time()
         qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t0, 3)
-        spark.catalog.clearCache()
+        release_checked()
     spark.stop()
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({

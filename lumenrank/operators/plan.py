@@ -10,17 +10,28 @@ from lumenrank import config as C
 from lumenrank.session import checkpoint_dir, work_path
 
 
+_KEPT: list[DataFrame] = []
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = C.BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only when a count proves it small; else leave it to a shuffle join.
 
     The side is persisted before counting so the count and the join share one
-    computation (a lost block is recomputed from lineage).
+    computation (a lost block is recomputed from lineage); ``release_checked``
+    frees these once the jobs that use them have run.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(kept)
     n = kept.count()
     return F.broadcast(kept) if n <= max_rows else kept
 
 
+def release_checked() -> None:
+    """Unpersist every side kept by ``bounded_broadcast`` (call after the consuming jobs)."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition by ``key`` into two tasks per core (uneven row sizes still
     balance) when the scan gives fewer partitions than the cluster has cores (one

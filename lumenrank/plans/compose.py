@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lumenrank import config as C
 from lumenrank.functions.text import hyde_query
 from lumenrank.operators import dense, evaluate, lexical, rank
-from lumenrank.operators.plan import bounded_broadcast, cut
+from lumenrank.operators.plan import bounded_broadcast, cut, release_checked
 
 KNOWN_METHODS = ("mixed", "hyde", "listwise_rerank")
 
@@ -90,8 +90,10 @@ def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = Fals
     path = io.run_path(out_dir, methods)
     io.write_run(run, f"{path}/run")
     if skip_eval:
+        release_checked()
         return path, None
     _, per_q, means = evaluate_run(run, inp, ks)
     per_q = cut(per_q)
     io.write_hits(per_q, f"{path}/hits")
+    release_checked()
     return path, evaluate.hit_mean(per_q, ks)
