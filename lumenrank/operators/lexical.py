@@ -33,6 +33,7 @@ class Bm25Index:
     doc_vectors: DataFrame
     _stats: tuple | None = None
     materialized: bool = False
+    term_buckets: int | None = None
 
     def collection_stats(self) -> tuple[int, float]:
         """(N, avgdl): one aggregate row, computed once per index."""
@@ -48,8 +49,14 @@ def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return d.withColumn("tokens", tokens("text"))
 
 
+def term_bucket(term, buckets: int):
+    """Folder key of a term in term-partitioned postings."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                with_positions: bool = True, materialize: bool = False) -> Bm25Index:
+                with_positions: bool = True, materialize: bool = False,
+                term_buckets: int | None = None) -> Bm25Index:
     """Term frequencies, positions, lengths, document frequencies, raw text.
 
     Documents are hash-partitioned by ``doc_id`` once (only when the scan is
@@ -58,7 +65,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no second exchange. ``materialize`` writes the postings as a table bucketed
     by ``doc_id`` in the shared checkpoint folder (one tokenising pass) and
     derives the term table and (N, avgdl) from it, so searches read them (still
-    partitioned by ``doc_id``) instead of re-tokenising.
+    partitioned by ``doc_id``) instead of re-tokenising. ``term_buckets`` also
+    splits the written postings into folders by term hash, so a search reads
+    only the folders of its query terms (static partition pruning).
     """
     dt = doc_tokens(docs, id_col, text_col)
     doc_stats = dt.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), "text")
@@ -73,7 +82,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = None
     if materialize:
         # one tokenising pass: everything else is derived from the written postings
-        postings = bucketed(postings, "doc_id", "postings")
+        if term_buckets:
+            postings = bucketed(postings.withColumn("tb", term_bucket("term", term_buckets)),
+                                "doc_id", "postings", partition_by="tb")
+        else:
+            postings = bucketed(postings, "doc_id", "postings")
         n_docs = docs.count()  # a plain scan: documents without tokens still count
         total = postings.agg(F.sum("tf").alias("t")).first()["t"] or 0
         stats = (int(n_docs), float(total) / n_docs if n_docs else 0.0)
@@ -85,7 +98,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_vectors = postings.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("vector")
     )
-    return Bm25Index(postings, doc_stats, term_stats, doc_vectors, stats, materialize)
+    return Bm25Index(postings, doc_stats, term_stats, doc_vectors, stats, materialize,
+                     term_buckets if materialize else None)
 
 
 def query_terms(queries: DataFrame, qid_col: str = "qid", text_col: str = "query") -> DataFrame:
@@ -124,8 +138,12 @@ def bm25_search(
         "qid", "term",
         (F.col("qtf") * F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("wq"),
     )
+    postings = index.postings
+    if index.term_buckets:  # read only the folders holding a query term (at most term_buckets values)
+        folders = [r[0] for r in qt.select(term_bucket("term", index.term_buckets).alias("tb")).distinct().collect()]
+        postings = postings.where(F.col("tb").isin(folders))
     # weights has one row per (query, term) of the checked ``qt``
-    matches = index.postings.select("doc_id", "term", "tf", "dl").join(F.broadcast(weights), "term")
+    matches = postings.select("doc_id", "term", "tf", "dl").join(F.broadcast(weights), "term")
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
     part = F.col("wq") * F.col("tf") / (F.col("tf") + norm)
     scored = matches.groupBy("qid", "doc_id").agg(F.round(F.sum(part), C.SCORE_DIGITS).alias("score"))

@@ -49,16 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None,
+             partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table bucketed and sorted by ``key`` in the shared
     checkpoint folder, and read it back. Unlike ``checkpoint()``, the scan then
     reports its hash partitioning on ``key``, so joins and aggregations keyed by
     it run without an exchange. Bucket count defaults to the partition count of
     ``df`` (already hash-partitioned by ``key``: one file per bucket).
+    ``partition_by`` adds a folder level above the buckets (e.g. a term hash), so
+    a filter on it prunes whole folders while the bucketing still holds.
     """
     spark = df.sparkSession
     n = buckets or df.rdd.getNumPartitions()
     path = work_path(spark, name)
     table = "lumenrank_" + path.rstrip("/").rsplit("-", 1)[-1] + "_" + name.replace("-", "_")
-    df.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
     return spark.table(table)

@@ -87,3 +87,16 @@ def test_alignment(spark):
     with pytest.raises(evaluate.AlignmentError):
         evaluate.check_alignment(run, q)
     evaluate.check_alignment(run.where("qid = 1"), q)
+
+
+def test_term_partitioned_postings_prune_and_agree(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "apple"), (2, "sky")], "qid long, query string")
+    plain = lexical.build_index(docs, with_positions=False, materialize=True)
+    split = lexical.build_index(docs, with_positions=False, materialize=True, term_buckets=32)
+    run = lexical.bm25_search(split, q)
+    assert sorted(rows(run)) == sorted(rows(lexical.bm25_search(plain, q)))
+    run.collect()
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[tb#\d+L IN \(", plan)
+    assert "Bucketed: true" in plan
