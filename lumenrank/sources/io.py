@@ -89,16 +89,21 @@ def read_bm25_index(spark: SparkSession, path: str | None):
     base = path.rstrip("/")
     meta = spark.read.json(f"{base}/_index").first()
     name = f"lumenrank_postings_{uuid.uuid4().hex[:12]}"
+    term_buckets = meta.asDict().get("term_buckets")
+    parts = "PARTITIONED BY (tb) " if term_buckets else ""
     spark.sql(
-        f"CREATE TABLE {name} ({meta['postings_ddl']}) USING parquet "
+        f"CREATE TABLE {name} ({meta['postings_ddl']}) USING parquet {parts}"
         f"CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO {int(meta['buckets'])} BUCKETS LOCATION '{base}/postings'"
     )
+    if term_buckets:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return Bm25Index(
         postings=spark.table(name),
         doc_stats=spark.read.parquet(f"{base}/doc_stats"),
         term_stats=spark.read.parquet(f"{base}/term_stats"),
         doc_vectors=spark.read.parquet(f"{base}/doc_vectors"),
         materialized=True,
+        term_buckets=int(term_buckets) if term_buckets else None,
     )
 
 
@@ -151,11 +156,15 @@ def write_bm25_index(index, path: str, buckets: int | None = None) -> None:
     spark = index.postings.sparkSession
     base = path.rstrip("/")
     n = buckets or index.postings.rdd.getNumPartitions()
-    index.postings.write.mode("overwrite").bucketBy(n, "doc_id").sortBy("doc_id").format("parquet") \
+    tb = getattr(index, "term_buckets", None)
+    writer = index.postings.write.mode("overwrite")
+    if tb:  # term-hash folders (see lexical.build_index(term_buckets=...))
+        writer = writer.partitionBy("tb")
+    writer.bucketBy(n, "doc_id").sortBy("doc_id").format("parquet") \
         .option("path", f"{base}/postings").saveAsTable(f"lumenrank_postings_w_{uuid.uuid4().hex[:12]}")
     index.doc_stats.write.mode("overwrite").parquet(f"{base}/doc_stats")
     index.term_stats.write.mode("overwrite").parquet(f"{base}/term_stats")
     index.doc_vectors.write.mode("overwrite").parquet(f"{base}/doc_vectors")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.postings.schema.fields)
-    spark.createDataFrame([(n, ddl)], "buckets int, postings_ddl string").coalesce(1) \
-        .write.mode("overwrite").json(f"{base}/_index")
+    spark.createDataFrame([(n, ddl, tb)], "buckets int, postings_ddl string, term_buckets int").coalesce(1) \
+        .write.mode("overwrite").option("ignoreNullFields", "false").json(f"{base}/_index")

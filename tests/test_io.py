@@ -90,3 +90,21 @@ def test_pool_texts_and_vectors(spark, tmp_path):
     vec = spark.createDataFrame([(0, [0.5, 0.5])], "id long, embedding array<float>")
     io.write_vectors(vec, str(tmp_path / "vec"))
     assert rows(io.read_vectors(spark, str(tmp_path / "vec"))) == [(0, [0.5, 0.5])]
+
+
+def test_term_partitioned_index_sink_and_source(spark, tmp_path):
+    import re
+
+    from lumenrank.operators import lexical
+
+    docs = spark.createDataFrame([(0, "a b"), (1, "b c"), (2, ""), (3, "c c d")], "doc_id long, text string")
+    idx = lexical.build_index(docs, with_positions=False, materialize=True, term_buckets=16)
+    io.write_bm25_index(idx, str(tmp_path / "bm25tb"))
+    back = io.read_bm25_index(spark, str(tmp_path / "bm25tb"))
+    assert back.term_buckets == 16 and back.postings.count() == 6
+    q = spark.createDataFrame([(1, "c b"), (2, "d")], "qid long, query string")
+    fresh = lexical.bm25_search(back, q)
+    assert sorted(rows(fresh)) == sorted(rows(lexical.bm25_search(idx, q)))
+    fresh.collect()
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*tb#\d+L? IN \(", plan) and "Bucketed: true" in plan
