@@ -134,3 +134,68 @@ def test_listwise_is_a_permutation_keeping_scores(spark):
         assert ranks == sorted((q, r) for q, r, _, _ in data)
 
     check()
+
+
+def py_rrf(dense_ids, bm25_ids, k=60):
+    # independent statement: scores accumulated in dense-then-BM25 insertion order,
+    # then a stable sort by score descending
+    scores = {}
+    for r, d in enumerate(dense_ids, start=1):
+        scores[d] = scores.get(d, 0) + 1 / (k + r)
+    for r, d in enumerate(bm25_ids, start=1):
+        scores[d] = scores.get(d, 0) + 1 / (k + r)
+    return [d for d, _ in sorted(scores.items(), key=lambda x: x[1], reverse=True)]
+
+
+def test_rrf_matches_stable_sort_semantics(spark):
+    import random
+
+    rnd = random.Random(5)
+    dense_rows, bm25_rows, want = [], [], {}
+    for qid in range(40):
+        pool = list(range(30))
+        d = rnd.sample(pool, rnd.randint(0, 12))
+        b = rnd.sample(pool, rnd.randint(0, 12))
+        dense_rows += [(qid, r, doc, 1.0) for r, doc in enumerate(d, start=1)]
+        bm25_rows += [(qid, r, doc, 1.0) for r, doc in enumerate(b, start=1)]
+        want[qid] = py_rrf(d, b)
+    fused = rank.rrf_fuse(run_df(spark, dense_rows), run_df(spark, bm25_rows))
+    got = {}
+    for qid, _, doc in sorted(rows(fused, "qid", "rank", "doc_id")):
+        got.setdefault(qid, []).append(doc)
+    assert {q: v for q, v in want.items() if v} == got
+
+
+def py_listwise(doc_ids, scores, completion, top_n=10):
+    # independent statement of the reference rule
+    from .test_text import py_extract
+
+    if completion is None or not doc_ids:
+        return doc_ids, scores
+    top = doc_ids[:top_n]
+    ordered = [top[i - 1] for i in py_extract(completion, len(top))]
+    seen = set(ordered)
+    rest = [d for d in doc_ids if d not in seen]
+    out = ordered + rest
+    return out, [scores[doc_ids.index(d)] for d in out]
+
+
+def test_listwise_matches_reference_rule(spark):
+    import random
+
+    rnd = random.Random(9)
+    data, comps, want = [], [], {}
+    for qid in range(40):
+        n = rnd.randint(0, 14)
+        ids = [100 * qid + r for r in range(1, n + 1)]
+        sc = [round(rnd.random(), 3) for _ in ids]
+        comp = " ".join(rnd.choice(["[3]", "1,", "(2).", "12", "0", "5", "x", "01", "7", "9]"]) for _ in range(rnd.randint(0, 6)))
+        data += [(qid, r, d, s) for r, (d, s) in enumerate(zip(ids, sc), start=1)]
+        comps.append((qid, comp))
+        if ids:
+            want[qid] = list(zip(*py_listwise(ids, sc, comp)))
+    out = rank.listwise_rerank(run_df(spark, data), spark.createDataFrame(comps, "qid long, completion string"))
+    got = {}
+    for qid, _, doc, s in sorted(rows(out, "qid", "rank", "doc_id", "score")):
+        got.setdefault(qid, []).append((doc, s))
+    assert got == want
