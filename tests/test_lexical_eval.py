@@ -100,3 +100,29 @@ def test_term_partitioned_postings_prune_and_agree(spark):
     plan = run._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[tb#\d+L IN \(", plan)
     assert "Bucketed: true" in plan
+
+
+def test_hit_at_k_matches_reference_rule(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = ["ab", "cd", "ef", "gh", "ij"]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(3))) for i in range(40)]
+    text = dict(docs)
+    queries, run = [], []
+    for qid in range(30):
+        answers = rnd.sample(words + ["zz", ""], rnd.randint(0, 2))
+        queries.append((qid, "q", answers))
+        ids = rnd.sample(range(40), rnd.randint(0, 15))
+        run += [(qid, r, d, 1.0) for r, d in enumerate(ids, start=1)]
+    want = set()
+    for qid, _, answers in queries:
+        ids = [d for q, _, d, _ in sorted(run) if q == qid]
+        for k in (1, 10, 100):
+            hit = 1 if any(any(a in text[d] for a in answers) for d in ids[:k]) else 0
+            want.add((k, qid, hit))
+    q = spark.createDataFrame(queries, "qid long, query string, answers array<string>")
+    r = spark.createDataFrame(run, "qid long, rank int, doc_id long, score double")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = set(rows(evaluate.hit_at_k(evaluate.hit_flags(r, q, d), q), "k", "qid", "hit"))
+    assert got == want
