@@ -54,8 +54,24 @@ def search_queries(inp: Inputs, methods: set[str]) -> DataFrame:
     return q.withColumn("search", F.col("query"))
 
 
-def retrieve(inp: Inputs, methods: set[str], depth: int = C.DEPTH, encode=dense.hash_encode) -> DataFrame:
-    """The run for one method set."""
+class MissingInputError(ValueError):
+    pass
+
+
+def retrieve(inp: Inputs, methods: set[str], depth: int = C.DEPTH, encode=dense.hash_encode,
+             missing_ok: bool = True) -> DataFrame:
+    """The run for one method set.
+
+    A method whose input is absent (no BM25 index for ``mixed``, no completions
+    for ``hyde`` / ``listwise_rerank``) degrades to the step without it, as the
+    original does when a searcher or generator fails to load; with
+    ``missing_ok=False`` it raises instead.
+    """
+    if not missing_ok:
+        needs = {"mixed": inp.bm25, "hyde": inp.hyde_completions, "listwise_rerank": inp.listwise_completions}
+        absent = sorted(m for m, v in needs.items() if m in methods and v is None)
+        if absent:
+            raise MissingInputError(f"no input for method(s): {', '.join(absent)}")
     sq = cut(search_queries(inp, methods))
     vecs = inp.doc_vectors
     if vecs is None:

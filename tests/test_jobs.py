@@ -46,3 +46,14 @@ def test_run_job_writes_run_and_hits(spark, tmp_path):
     assert m[1] <= m[10] <= m[100]
     path2, none = P.run_job(inp, set(), str(tmp_path), skip_eval=True)
     assert none is None and path2.endswith("/none") and not os.path.exists(os.path.join(path2, "hits"))
+
+
+def test_missing_inputs_degrade_or_raise(spark):
+    import pytest
+
+    q = fx.query_set(spark, SF001)
+    inp = P.Inputs(queries=q, docs=fx.corpus(spark, SF001))
+    dense_only = sorted(rows(P.retrieve(inp, set())))
+    assert sorted(rows(P.retrieve(inp, {"mixed", "hyde"}))) == dense_only
+    with pytest.raises(P.MissingInputError):
+        P.retrieve(inp, {"mixed"}, missing_ok=False)
