@@ -56,13 +56,15 @@ def read_query_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_training_source(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of ``{question, positive_ctxs, hard_negative_ctxs}``."""
-    return spark.read.schema(TRAINING_SOURCE_SCHEMA).option("multiLine", "true").json(path)
+    """One JSON array of ``{question, positive_ctxs, hard_negative_ctxs}``;
+    ``qid`` is the 0-based record position in file order."""
+    raw = spark.read.schema(TRAINING_SOURCE_SCHEMA).option("multiLine", "true").json(path)
+    return row_ids_text(raw, "qid")
 
 
 def read_training_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Training JSONL; ``neg`` may be absent (null)."""
-    return spark.read.schema(TRAINING_ROWS_SCHEMA).json(path)
+    """Training JSONL; ``neg`` may be absent (null); ``qid`` = line position."""
+    return row_ids_text(spark.read.schema(TRAINING_ROWS_SCHEMA).json(path), "qid")
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:

@@ -108,3 +108,16 @@ def test_term_partitioned_index_sink_and_source(spark, tmp_path):
     fresh.collect()
     plan = fresh._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[.*tb#\d+L? IN \(", plan) and "Bucketed: true" in plan
+
+
+def test_training_file_to_training_rows(spark, tmp_path):
+    from lumenrank.operators import training
+
+    p = tmp_path / "train.json"
+    data = [{"question": f"q{i}", "positive_ctxs": [{"text": f"p{i}"}], "hard_negative_ctxs": []} for i in range(5)]
+    p.write_text(json.dumps(data), encoding="utf-8")
+    tr = training.training_rows(io.read_training_source(spark, str(p)))
+    assert sorted(rows(tr, "qid", "query", "pos")) == [(i, f"q{i}", [f"p{i}"]) for i in range(5)]
+    io.write_jsonl(tr.drop("qid"), str(tmp_path / "rows"))
+    back = io.read_training_rows(spark, str(tmp_path / "rows"))
+    assert sorted(rows(back, "query")) == [(f"q{i}",) for i in range(5)] and back.select("qid").distinct().count() == 5
