@@ -91,7 +91,7 @@ def _fingerprint_batches(id_col: str, owners: int):
             })
             sent = [o for o in range(owners) if bounds[o] < bounds[o + 1]]
             parts = [slice(bounds[o], bounds[o + 1]) for o in sent]
-            size = [p.stop - p.start for p in parts]
+            size = [int(p.stop - p.start) for p in parts]
             ks = [rice_parameter(span, s) for s in size]
             blobs = [rice_encode(distinct[p] - np.uint64(o * span), k) for o, p, k in zip(sent, parts, ks)]
             again = [np.packbits(here[p] > 1).tobytes() for p in parts]
