@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenrank.llm import bpe, exact_dedup
+from lumenrank.llm import bpe, decontaminate, exact_dedup
 
 QUERIES: dict[str, Callable] = {
     "op2_byte_bpe": bpe.op2,
     "op3_exact_dedup": exact_dedup.op3,
+    "op10_decontaminate": decontaminate.op10,
 }
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
