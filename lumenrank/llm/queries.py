@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenrank.llm import bpe, decontaminate, exact_dedup
+from lumenrank.llm import bpe, decontaminate, exact_dedup, sharding
 
 QUERIES: dict[str, Callable] = {
     "op2_byte_bpe": bpe.op2,
     "op3_exact_dedup": exact_dedup.op3,
+    "op5_sharding": sharding.op5,
     "op10_decontaminate": decontaminate.op10,
 }
 
