@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenrank.llm import bpe, decontaminate, exact_dedup, sharding
+from lumenrank.llm import bpe, decontaminate, exact_dedup, pii, secrets, sharding
 
 QUERIES: dict[str, Callable] = {
     "op2_byte_bpe": bpe.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op5_sharding": sharding.op5,
+    "op7_pii": pii.op7,
+    "op9_secrets": secrets.op9,
     "op10_decontaminate": decontaminate.op10,
 }
 
