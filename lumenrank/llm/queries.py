@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenrank.llm import bpe, decontaminate, exact_dedup, pii, secrets, sharding
+from lumenrank.llm import bpe, decontaminate, exact_dedup, pii, quality, secrets, sharding
 
 QUERIES: dict[str, Callable] = {
     "op2_byte_bpe": bpe.op2,
     "op3_exact_dedup": exact_dedup.op3,
+    "op4_quality": quality.op4,
     "op5_sharding": sharding.op5,
     "op7_pii": pii.op7,
     "op9_secrets": secrets.op9,

@@ -7,8 +7,9 @@ equal bytes:
 1. A size-weighted sample of the keys (a row enters with a probability proportional to
    its size, decided by a hash of the row) gives quantile boundaries for ``ranges`` ranges.
 2. Every row finds its range by binary search in the boundaries. Ranges are measured
-   exactly, and one with more rows than ``max_rows`` is subdivided by a second hash, so a
-   group of equal texts that holds a third of all rows is spread over many tasks.
+   exactly, and an overfull one (more rows than ``OVERFULL`` mean ranges, or ``max_rows``) is
+   subdivided by a second hash: of the key, or of the row in a group of equal texts that is
+   overfull by itself. So a group with a third of all rows is spread over many tasks.
 3. The few range totals are summed up in order; inside a range a window gives each row
    its place and the bytes before it. Place and bytes decide shard and slot.
 
@@ -35,6 +36,8 @@ RANGES = 256
 SAMPLE_PER_RANGE = 64
 #: Rows that one window task orders at most, by expectation.
 MAX_ROWS = 500_000
+#: A range is overfull from so many mean ranges on.
+OVERFULL = 2
 #: Groups of equal texts up to this share of a shard's bytes are never cut.
 GROUP_SHARE = 0.02
 
@@ -79,11 +82,14 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     quota = total / shards
 
     placed = keyed.withColumn("range", range_of(F.col("key"), splitters(keyed, total, ranges)))
-    parts = placed.groupBy("range").agg(F.ceil(F.count("*") / max_rows).cast("int").alias("parts"))
-    # At most `ranges` rows: a proven bound for the broadcast.
-    placed = placed.join(F.broadcast(parts), "range").withColumn(
-        "sub", F.pmod(F.xxhash64(F.lit("sub"), "doc_id", "key"), F.col("parts").cast("long")).cast("int"))
-    rows = written(placed.drop("parts"), "shard-ranges")
+    limit = max(1, min(max_rows, OVERFULL * (sums["rows"] or 0) // ranges))
+    parts = placed.groupBy("range").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    heavy = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key", F.lit(True).alias("heavy"))
+    # At most `ranges` rows, and at most rows / limit keys: proven bounds for the broadcasts.
+    placed = placed.join(F.broadcast(parts), "range").join(F.broadcast(heavy), "key", "left")
+    spread = F.when(F.col("heavy"), F.xxhash64(F.lit("sub"), "doc_id", "key")).otherwise(F.xxhash64(F.lit("sub"), "key"))
+    placed = placed.withColumn("sub", F.pmod(spread, F.col("parts").cast("long")).cast("int"))
+    rows = written(placed.drop("parts", "heavy"), "shard-ranges")
 
     totals = rows.groupBy("range", "sub").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     before = Window.orderBy("range", "sub").rowsBetween(Window.unboundedPreceding, -1)
