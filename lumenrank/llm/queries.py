@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenrank.llm import bpe, decontaminate, exact_dedup, pii, quality, secrets, sharding
+from lumenrank.llm import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, sharding
 
 QUERIES: dict[str, Callable] = {
     "op2_byte_bpe": bpe.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_quality": quality.op4,
     "op5_sharding": sharding.op5,
+    "op6_line_dedup": line_dedup.op6,
     "op7_pii": pii.op7,
     "op9_secrets": secrets.op9,
     "op10_decontaminate": decontaminate.op10,
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable] = {
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
