@@ -37,7 +37,7 @@ def _hash(*parts: Column) -> Column:
 def doc_key(id_col: str, text_col: str) -> Column:
     """A 128-bit key of id and text; rows that agree in both are one document."""
     return _hash(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), "UTF-8"), F.encode(F.lit("\0"), "UTF-8"),
-                 F.encode(F.col(text_col), "UTF-8"))
+                 F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenrank.llm import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, sharding
+from lumenrank.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dup, pii, quality, secrets, sharding
 
 QUERIES: dict[str, Callable] = {
     "op2_byte_bpe": bpe.op2,
@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable] = {
     "op5_sharding": sharding.op5,
     "op6_line_dedup": line_dedup.op6,
     "op7_pii": pii.op7,
+    "op8_near_dup": near_dup.op8,
     "op9_secrets": secrets.op9,
     "op10_decontaminate": decontaminate.op10,
 }
