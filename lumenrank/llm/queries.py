@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenrank.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dup, pii, quality, secrets, sharding
+from lumenrank.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dup, pii, quality, secrets, sharding, suffix_tree
 
 QUERIES: dict[str, Callable] = {
+    "op1_suffix_tree": suffix_tree.op1,
     "op2_byte_bpe": bpe.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_quality": quality.op4,
