@@ -42,6 +42,8 @@ MAX_LABELS = 20_000
 #: likelihood-ratio statistic of at least MIN_STRENGTH (p about 1e-5), the strongest.
 MIN_DOCS, MIN_STRENGTH, MAX_FEATURES = 5, 20.0, 4096
 PREFIXES = (4, 5)
+#: Tasks of one step of the fit, over at most MAX_LABELS sparse vectors.
+FIT_TASKS = 4
 REGULARISATION = 1e-5
 ACCEPT = 0.5
 #: Bounds of the estimated prior weights, in documents.
@@ -109,9 +111,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vectors = vectors.setBinary(True)
     # Signs of a bad document may only lower the evidence: fluent words never outweigh them.
     model = LogisticRegression(
-        featuresCol="__features", labelCol="label", regParam=REGULARISATION, maxIter=100, standardization=False,
+        featuresCol="__features", labelCol="label", regParam=REGULARISATION, maxIter=40, standardization=False,
         family="binomial", upperBoundsOnCoefficients=DenseMatrix(1, len(vocabulary), [0.0] * len(vocabulary)))
-    fitted = model.fit(vectors.transform(train.select("label", tokens(F.col(_TEXT)).alias("__tokens"))))
+    # The bounded sample's vectors are small: computed once, in few tasks for the many steps.
+    points = written(vectors.transform(train.select("label", tokens(F.col(_TEXT)).alias("__tokens"))).drop("__tokens"), "points")
+    fitted = model.fit(points.coalesce(FIT_TASKS))
     return PipelineModel([vectors, fitted])
 
 
