@@ -26,10 +26,6 @@ LISTWISE_PROMPT_SUFFIX = (
     "\nReturn the indices of the most relevant documents in order, "
     "separated by spaces or commas."
 )
-# Characters stripped from both ends of a listwise token before the digit test.
-INDEX_STRIP_CHARS = "[]()."
-# Separator between listwise tokens: runs of commas and whitespace.
-INDEX_SPLIT_PATTERN = r"[,\s]+"
 
 # ---------------------------------------------------------------------------
 # Our own choices (not taken from the original).
@@ -45,5 +41,5 @@ SCORE_DIGITS = 6                 # rounding of output scores
 SEED = "lumenrank"               # seed for hash-ordered sampling
 # Largest query block shipped to executors as one broadcast (bytes).
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
-# Largest row count we let a join broadcast after counting it.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest measured size of a side that a join may broadcast (bytes).
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024

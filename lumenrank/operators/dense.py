@@ -1,12 +1,11 @@
 """Dense vectors: normalise, pool, encode (D1 / D2) and exact top-k search.
 
-Exact search is a block product. The query side is the one that may be
-broadcast: it is shipped to executors in blocks whose byte size is checked
-(``QUERY_BLOCK_BYTES``); the corpus is never collected or shuffled whole.
-Each corpus partition (one per core) computes ``Q @ D^T`` with numpy batch by
-batch and keeps a running exact top-k per query (ties resolved by doc_id),
-emitted once, so the only shuffle moves ``|Q| * k * partitions`` rows on
-``qid`` to the final ``row_number``.
+Exact search is a block product, one job per block of queries: a block of at most
+``QUERY_BLOCK_BYTES`` is broadcast, each corpus partition computes ``Q @ D^T`` with
+numpy batch by batch and keeps a running exact top-k per query (ties resolved by
+doc_id), the block's top-k is written, and its broadcast destroyed before the next.
+So one block at most is alive whatever the number of queries, and the result is a
+plain scan of the written runs. The corpus is never collected or shuffled whole.
 """
 
 from __future__ import annotations
@@ -23,9 +22,10 @@ from lumenrank.functions.hashing import arrow_encoder, signed_codes
 from lumenrank.functions.text import format_instruction, tokens
 from lumenrank.operators.lexical import rank_top_k
 from lumenrank.operators.plan import cut
+from lumenrank.session import work_path
 
 SCORE_CELLS = 8_000_000
-ARROW_BATCH_ROWS = 10_000  # spark.sql.execution.arrow.maxRecordsPerBatch default
+QUERY_STEP = 512  # queries scored at once; with SCORE_CELLS it bounds a score matrix
 
 
 def l2_normalize(vec: Column | str) -> Column:
@@ -71,12 +71,13 @@ def hash_encode(
     instruction_format: str = "{}{}",
 ) -> DataFrame:
     """D1 / D2 default encoder: hashing vectors, L2-normalised (see functions.hashing).
+    Rows with a null text are skipped.
 
     Tokens and md5 codes are JVM expressions; the scatter-add into dense vectors
     runs on whole Arrow batches in ``mapInArrow`` (one pass, no per-row objects).
     """
     text = format_instruction(text_col, instruction, instruction_format)
-    base = df.drop(out_col) if out_col in df.columns else df
+    base = (df.drop(out_col) if out_col in df.columns else df).where(F.col(text_col).isNotNull())
     with_codes = base.withColumn("_codes", signed_codes(tokens(text), dim))
     schema = StructType(base.schema.fields + [StructField(out_col, ArrayType(DoubleType()), True)])
     return with_codes.mapInArrow(arrow_encoder(dim, "_codes", out_col), schema)
@@ -90,12 +91,29 @@ def batch_encoder(fn, dim: int):
 
     @F.pandas_udf("array<double>")
     def _enc(texts: pd.Series) -> pd.Series:
-        mat = np.asarray(fn(texts.fillna("").tolist()), dtype=np.float64).reshape(len(texts), dim)
-        return pd.Series(list(mat))
+        mat = np.asarray(fn(texts.fillna("").tolist()), dtype=np.float64)
+        if mat.ndim == 3:  # several vectors per text
+            mat = mat.mean(axis=1)
+        return pd.Series(list(mat.reshape(len(texts), dim)))
 
     return _enc
 
 
+def model_encoder(fn, dim: int, instruction: str | None = None, instruction_format: str = "{}{}",
+                  normalize: bool = True):
+    """A model callable as ``encode(df, text_col, out_col)``, as ``mine`` and ``retrieve``
+    take it: null texts skipped, instruction put before the text, several vectors per
+    text averaged, unit length (C5, C6, C15)."""
+    vectors = batch_encoder(fn, dim)
+
+    def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
+        rows = (df.drop(out_col) if out_col in df.columns else df).where(F.col(text_col).isNotNull())
+        rows = rows.withColumn(out_col, vectors(format_instruction(text_col, instruction, instruction_format)))
+        return rows.withColumn(out_col, l2_normalize(out_col)) if normalize else rows
+
+    return encode
+
+
 def _select(r: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Row indices (min(k, m) x q) of the exact top-k per column by (r desc, id asc).
 
@@ -125,7 +143,6 @@ class _RunningTopK:
     def __init__(self, q: int, k: int):
         self.k = k
         self.r = np.full((0, q), -np.inf)
-        self.raw = np.zeros((0, q))
         self.ids = np.zeros((0, q), dtype=np.int64)
 
     def add(self, ids: np.ndarray, raw: np.ndarray) -> None:
@@ -133,21 +150,23 @@ class _RunningTopK:
         ids2 = np.broadcast_to(ids[:, None], raw.shape)
         pick = _select(r, ids2, self.k)
         r_all = np.vstack([self.r, np.take_along_axis(r, pick, 0)])
-        raw_all = np.vstack([self.raw, np.take_along_axis(raw, pick, 0)])
         ids_all = np.vstack([self.ids, np.take_along_axis(ids2, pick, 0)])
         keep = _select(r_all, ids_all, self.k)
         self.r = np.take_along_axis(r_all, keep, 0)
-        self.raw = np.take_along_axis(raw_all, keep, 0)
         self.ids = np.take_along_axis(ids_all, keep, 0)
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
+def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     """A list<float|double> Arrow column of equal-length vectors to an (n, dim) float64 matrix."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(n, -1) if n else np.zeros((0, 0))
+    if not n:
+        return np.zeros((0, dim))
+    lengths = col.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != dim).any():
+        raise ValueError(f"vectors of length {sorted(set(lengths[lengths != dim].tolist()))[:5]}, the queries have {dim}")
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, dim)
 
 
 def _search_with_broadcast(bq, k: int):
@@ -157,40 +176,29 @@ def _search_with_broadcast(bq, k: int):
     def run(batches):
         qids, qmat = bq.value
         nq = len(qids)
-        step = max(1, SCORE_CELLS // ARROW_BATCH_ROWS)  # queries per chunk: bounded score matrices
-        chunks = [(lo, min(nq, lo + step)) for lo in range(0, nq, step)]
+        chunks = [(lo, min(nq, lo + QUERY_STEP)) for lo in range(0, nq, QUERY_STEP)]
         state = {lo: _RunningTopK(hi - lo, k) for lo, hi in chunks}
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            dmat = _matrix(b.column("v"))
-            for lo, hi in chunks:
-                state[lo].add(ids, dmat @ qmat[lo:hi].T)
+        rows = SCORE_CELLS // QUERY_STEP
+        for batch in batches:
+            for b in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                dmat = _matrix(b.column("v"), qmat.shape[1])
+                for lo, hi in chunks:
+                    state[lo].add(ids, dmat @ qmat[lo:hi].T)
         for lo, hi in chunks:
             st = state[lo]
             if st.r.shape[0] == 0:
                 continue
             qcol = np.broadcast_to(qids[lo:hi][None, :], st.r.shape)
+            # the rounded score decides here, so it is the one that decides the merge
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qcol.ravel()), pa.array(st.ids.ravel()), pa.array(st.raw.ravel())],
+                [pa.array(qcol.ravel()), pa.array(st.ids.ravel()), pa.array(st.r.ravel())],
                 names=["qid", "doc_id", "score"],
             )
 
     return run
 
 
-def _shards(docs: DataFrame) -> DataFrame:
-    """One search shard per core: every shard returns k rows per query, so the merge
-    shuffle grows with the shard count; fewer, larger shards keep it small while
-    every core still works. A narrow scan is spread, a wide one coalesced (no shuffle)."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    n = docs.rdd.getNumPartitions()
-    if n < cores:
-        return docs.repartition(cores, "doc_id")
-    return docs.coalesce(cores) if n > cores else docs
-
-
 def knn_search(
     queries: DataFrame,
     corpus: DataFrame,
@@ -201,42 +209,34 @@ def knn_search(
     vec_col: str = "embedding",
     block_bytes: int = C.QUERY_BLOCK_BYTES,
 ) -> DataFrame:
-    """Exact inner-product top-k run ``(qid, rank, doc_id, score)``.
+    """Exact inner-product top-k run ``(qid, rank, doc_id, score)``, written.
 
-    Queries are shipped in blocks of at most ``block_bytes``; a larger query set
-    takes several passes over the corpus, one block at a time, never all at once.
-    Each corpus partition keeps a running exact top-k per query across its Arrow
-    batches and emits it once, so the merge moves ``shards * k`` rows per query.
+    One job per query block (see the module); scores are rounded to 6 places, once,
+    before anything is ranked. Rows with a null vector take no part; a vector of
+    another length than the queries' is an error.
     """
     spark = corpus.sparkSession
     sc = spark.sparkContext
     # query vectors are written once: a model runs once per query, not per pass
-    q = cut(queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("v")))
+    q = cut(queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("v")).where(F.col(qvec_col).isNotNull()))
     dim_row = q.select(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     n_q, dim = int(dim_row["n"]), int(dim_row["d"] or 0)
-    docs = _shards(corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v")))
     if n_q == 0 or dim == 0:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
-    per_block = max(1, block_bytes // (8 * dim + 16))
-    parts = []
-    if n_q <= per_block:
-        blocks = [q]
-    else:  # several passes: each block is a bounded broadcast
-        nb = 2 * ((n_q + per_block - 1) // per_block)  # hash blocks: headroom for uneven sizes
-        blocks = [q.where(F.pmod(F.xxhash64("qid"), F.lit(nb)) == b) for b in range(nb)]
+    docs = corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v")).where(F.col(vec_col).isNotNull())
+    nb = -(-n_q * (8 * dim + 16) // block_bytes)
+    if nb > 1:
+        nb *= 2  # hash blocks: headroom for uneven sizes
         docs = cut(docs)  # encode the corpus once, not once per pass
-    for block in blocks:
-        pdf = block.toPandas()  # bounded: at most block_bytes of vectors
-        if pdf.empty:
+    runs = work_path(spark, "knn")
+    for b in range(nb):
+        block = q.where(F.pmod(F.xxhash64("qid"), F.lit(nb)) == b) if nb > 1 else q
+        table = block.toArrow()  # one block, at most block_bytes of vectors
+        if not table.num_rows:
             continue
-        qids = pdf["qid"].to_numpy(dtype=np.int64)
-        qmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
-        bq = sc.broadcast((qids, qmat))
-        parts.append(docs.mapInArrow(_search_with_broadcast(bq, k), "qid long, doc_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    cand = cand.withColumn("score", F.round("score", C.SCORE_DIGITS))
-    return rank_top_k(cand, k)
+        qids = table.column("qid").to_numpy().astype(np.int64)
+        bq = sc.broadcast((qids, _matrix(table.column("v"), dim)))
+        cand = docs.mapInArrow(_search_with_broadcast(bq, k), "qid long, doc_id long, score double")
+        rank_top_k(cand, k).write.mode("append").parquet(runs)
+        bq.destroy()
+    return spark.read.schema("qid long, rank int, doc_id long, score double").parquet(runs)

@@ -46,16 +46,8 @@ def hit_mean(per_query: DataFrame, ks=C.HIT_KS) -> DataFrame:
     return k_tab.join(means, "k", "left").select("k", F.coalesce("hit_rate", F.lit(0.0)).alias("hit_rate"))
 
 
-def hit_table(per_query: DataFrame) -> DataFrame:
-    """K3 layout: ``(k, id, hit)`` with 1-based ``id`` = qid + 1 (query file position)."""
-    return per_query.select("k", (F.col("qid") + 1).alias("id"), "hit")
-
-
 def alignment(run: DataFrame, queries: DataFrame) -> DataFrame:
-    """V4: ``(run_qids_unknown, queries_without_rows)`` counts in one row.
-
-    Only the first is an error: a query with no results simply has no rows.
-    """
+    """V4: ``(run_qids_unknown, queries_without_rows)`` counts in one row."""
     rq = run.select("qid").distinct()
     qq = queries.select("qid")
     unknown = rq.join(qq, "qid", "left_anti").agg(F.count(F.lit(1)).alias("run_qids_unknown"))
@@ -68,8 +60,11 @@ def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("*", key).join(b.select("*", key), "_one").drop("_one")
 
 
-def check_alignment(run: DataFrame, queries: DataFrame) -> None:
-    """Raise when the run names queries that are not in the query set."""
+def check_alignment(run: DataFrame, queries: DataFrame, allow_empty: bool = False) -> None:
+    """Raise when the run names queries that are not in the query set, or lacks some that
+    are. ``allow_empty`` accepts the latter: a query that matched nothing has no rows."""
     row = alignment(run, queries).first()
     if row["run_qids_unknown"]:
         raise AlignmentError(f"run has {row['run_qids_unknown']} query ids not in the query set")
+    if row["queries_without_rows"] and not allow_empty:
+        raise AlignmentError(f"run has no rows for {row['queries_without_rows']} queries")

@@ -7,7 +7,7 @@ Index tables (all hash-partitioned by ``doc_id``):
 * ``term_stats`` ``(term, df, cf)``
 * ``doc_vectors`` ``(doc_id, vector map<term, tf>)``
 
-Search joins the (small, broadcast) query-term weights to the postings. As the
+Search joins the query-term weights (broadcast when their measured size allows) to the postings. As the
 postings are partitioned by ``doc_id``, the per-(query, doc) sum needs no
 shuffle; each partition keeps at most k rows per query (partial
 ``WindowGroupLimit``) before the only exchange, on ``qid``.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenrank import config as C
 from lumenrank.functions.text import tokens
-from lumenrank.operators.plan import bounded_broadcast, bucketed, cut, spread
+from lumenrank.operators.plan import bucket_count, bucketed, by_key, checked, cut
 
 
 @dataclass
@@ -34,6 +34,7 @@ class Bm25Index:
     _stats: tuple | None = None
     materialized: bool = False
     term_buckets: int | None = None
+    buckets: int | None = None
 
     def collection_stats(self) -> tuple[int, float]:
         """(N, avgdl): one aggregate row, computed once per index."""
@@ -43,9 +44,10 @@ class Bm25Index:
         return self._stats
 
 
-def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, tokens)`` spread by ``doc_id``."""
-    d = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               buckets: int | None = None) -> DataFrame:
+    """``(doc_id, text, tokens)`` hash-partitioned by ``doc_id``, whatever the input's splits."""
+    d = by_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", buckets)
     return d.withColumn("tokens", tokens("text"))
 
 
@@ -56,20 +58,21 @@ def term_bucket(term, buckets: int):
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 with_positions: bool = True, materialize: bool = False,
-                term_buckets: int | None = None) -> Bm25Index:
+                term_buckets: int | None = None, buckets: int | None = None) -> Bm25Index:
     """Term frequencies, positions, lengths, document frequencies, raw text.
 
-    Documents are hash-partitioned by ``doc_id`` once (only when the scan is
-    narrower than the cluster); the ``(doc_id, term)`` aggregation then reuses
+    Documents are always hash-partitioned by ``doc_id`` into ``buckets`` partitions
+    before their tokens are exploded; the ``(doc_id, term)`` aggregation then reuses
     that partitioning, so the postings come out partitioned by ``doc_id`` with
-    no second exchange. ``materialize`` writes the postings as a table bucketed
+    no second exchange, and one file per bucket is written. ``materialize`` writes the postings as a table bucketed
     by ``doc_id`` in the shared checkpoint folder (one tokenising pass) and
     derives the term table and (N, avgdl) from it, so searches read them (still
     partitioned by ``doc_id``) instead of re-tokenising. ``term_buckets`` also
     splits the written postings into folders by term hash, so a search reads
     only the folders of its query terms (static partition pruning).
     """
-    dt = doc_tokens(docs, id_col, text_col)
+    buckets = buckets or bucket_count(docs.sparkSession)
+    dt = doc_tokens(docs, id_col, text_col, buckets)
     doc_stats = dt.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), "text")
     # outer explode + explicit filter: a plain explode lets the optimizer infer
     # size(tokens) > 0 and push it under the exchange, tokenising twice
@@ -84,9 +87,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # one tokenising pass: everything else is derived from the written postings
         if term_buckets:
             postings = bucketed(postings.withColumn("tb", term_bucket("term", term_buckets)),
-                                "doc_id", "postings", partition_by="tb")
+                                "doc_id", "postings", buckets, partition_by="tb")
         else:
-            postings = bucketed(postings, "doc_id", "postings")
+            postings = bucketed(postings, "doc_id", "postings", buckets)
         n_docs = docs.count()  # a plain scan: documents without tokens still count
         total = postings.agg(F.sum("tf").alias("t")).first()["t"] or 0
         stats = (int(n_docs), float(total) / n_docs if n_docs else 0.0)
@@ -99,7 +102,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("vector")
     )
     return Bm25Index(postings, doc_stats, term_stats, doc_vectors, stats, materialize,
-                     term_buckets if materialize else None)
+                     term_buckets if materialize else None, buckets)
 
 
 def query_terms(queries: DataFrame, qid_col: str = "qid", text_col: str = "query") -> DataFrame:
@@ -127,14 +130,15 @@ def bm25_search(
     tf / (tf + k1 * (1 - b + b * dl / avgdl)). Scores are rounded to 6 places
     before ranking; ties go to the smaller doc_id. A doc needs one shared term.
     """
-    qt = bounded_broadcast(query_terms(queries, qid_col, text_col))
+    qt, small = checked(query_terms(queries, qid_col, text_col))
+    hint = F.broadcast if small else (lambda side: side)  # holds for what is no larger than ``qt``
     n_docs, avgdl = index.collection_stats()
-    qterms = F.broadcast(qt.select("term").distinct())  # a subset of the checked ``qt``
+    qterms = hint(qt.select("term").distinct())
     if index.materialized:  # written term table: a scan of the vocabulary, not the postings
         dfs = index.term_stats.select("term", "df").join(qterms, "term")
     else:  # document frequency of the query terms only: a filtered aggregate over the postings
         dfs = index.postings.join(qterms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = qt.join(dfs, "term").select(
+    weights = hint(qt).join(dfs, "term").select(
         "qid", "term",
         (F.col("qtf") * F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("wq"),
     )
@@ -142,8 +146,7 @@ def bm25_search(
     if index.term_buckets:  # read only the folders holding a query term (at most term_buckets values)
         folders = [r[0] for r in qt.select(term_bucket("term", index.term_buckets).alias("tb")).distinct().collect()]
         postings = postings.where(F.col("tb").isin(folders))
-    # weights has one row per (query, term) of the checked ``qt``
-    matches = postings.select("doc_id", "term", "tf", "dl").join(F.broadcast(weights), "term")
+    matches = postings.select("doc_id", "term", "tf", "dl").join(hint(weights), "term")  # one row per row of ``qt``
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
     part = F.col("wq") * F.col("tf") / (F.col("tf") + norm)
     scored = matches.groupBy("qid", "doc_id").agg(F.round(F.sum(part), C.SCORE_DIGITS).alias("score"))

@@ -1,9 +1,9 @@
-"""Plan helpers shared by the operators: checked broadcast, spreading, lineage cuts."""
+"""Plan helpers shared by the operators: checked broadcast, explicit partitioning, lineage cuts."""
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank import config as C
@@ -13,34 +13,43 @@ from lumenrank.session import checkpoint_dir, work_path
 _KEPT: list[DataFrame] = []
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = C.BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; else leave it to a shuffle join.
+def checked(df: DataFrame, max_bytes: int = C.BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """``df``, kept, and whether its measured size allows a broadcast.
 
-    The side is persisted before counting so the count and the join share one
-    computation (a lost block is recomputed from lineage); ``release_checked``
-    frees these once the jobs that use them have run.
+    The side is persisted and materialised first, so the size is that of its actual
+    rows and the joins share one computation (a lost block is recomputed from lineage);
+    ``release_checked`` frees these once the jobs that use them have run.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     _KEPT.append(kept)
-    n = kept.count()
-    return F.broadcast(kept) if n <= max_rows else kept
+    kept.count()
+    size = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return kept, size <= max_bytes
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = C.BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its measured size allows it; else leave it to a shuffle join."""
+    kept, small = checked(df, max_bytes)
+    return F.broadcast(kept) if small else kept
 
 
 def release_checked() -> None:
-    """Unpersist every side kept by ``bounded_broadcast`` (call after the consuming jobs)."""
+    """Unpersist every side kept by ``checked`` (call after the consuming jobs)."""
     while _KEPT:
         _KEPT.pop().unpersist()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` into two tasks per core (uneven row sizes still
-    balance) when the scan gives fewer partitions than the cluster has cores (one
-    row group read by one task). Large inputs already arrive in many splits and
-    are left alone, so no extra shuffle is paid at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(2 * cores, key)
+def bucket_count(spark: SparkSession) -> int:
+    """The default number of buckets: the session's shuffle partitions. It never depends
+    on how many splits an input happens to have."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_key(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` into an explicit number of partitions, at any input
+    width. Aggregations by ``key`` and more, and a table bucketed into as many buckets,
+    then need no further exchange; each task writes one bucket file."""
+    return df.repartition(buckets or bucket_count(df.sparkSession), key)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,15 +63,14 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None,
     """Write ``df`` as a Parquet table bucketed and sorted by ``key`` in the shared
     checkpoint folder, and read it back. Unlike ``checkpoint()``, the scan then
     reports its hash partitioning on ``key``, so joins and aggregations keyed by
-    it run without an exchange. Bucket count defaults to the partition count of
-    ``df`` (already hash-partitioned by ``key``: one file per bucket).
+    it run without an exchange. ``df`` should come from ``by_key`` with the same
+    number of buckets: then every task writes the one file of its bucket.
     ``partition_by`` adds a folder level above the buckets (e.g. a term hash), so
     a filter on it prunes whole folders while the bucketing still holds.
     """
     spark = df.sparkSession
-    n = buckets or df.rdd.getNumPartitions()
     path = work_path(spark, name)
     table = "lumenrank_" + path.rstrip("/").rsplit("-", 1)[-1] + "_" + name.replace("-", "_")
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    writer.bucketBy(buckets or bucket_count(spark), key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
     return spark.table(table)

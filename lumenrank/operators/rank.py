@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumenrank import config as C
 from lumenrank.functions.text import extract_indices, tokens
-from lumenrank.operators.plan import bounded_broadcast, spread
+from lumenrank.operators.plan import bounded_broadcast, by_key
 
 RUN_COLS = ["qid", "rank", "doc_id", "score"]
 
@@ -73,7 +73,7 @@ class CoverageScorer:
 
     def score_run(self, run: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
         ids = bounded_broadcast(run.select("doc_id").distinct())
-        d = spread(docs.select("doc_id", "text"), "doc_id").join(ids, "doc_id", "left_semi")
+        d = by_key(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "doc_id")
         d_terms = d.select("doc_id", F.explode_outer(F.array_distinct(tokens("text"))).alias("term")) \
             .where(F.col("term").isNotNull())
         q_terms = queries.select("qid", F.explode_outer(F.array_distinct(tokens("query"))).alias("term")) \

@@ -16,7 +16,7 @@ from lumenrank import config as C
 from lumenrank.functions import text as T
 from lumenrank.operators import dense, evaluate, lexical, mining, rank, training
 from lumenrank.operators.ids import row_ids_parquet
-from lumenrank.operators.plan import cut
+from lumenrank.operators.plan import by_key, cut
 from lumenrank.plans import compose as P
 from lumenrank.session import work_path
 from lumenrank.sources import fixtures as fx
@@ -40,6 +40,11 @@ def out_run(run: DataFrame) -> DataFrame:
     )
 
 
+def _flagged(flags: DataFrame) -> DataFrame:
+    return flags.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id",
+                        F.round("score", C.SCORE_DIGITS).alias("score"), F.col("hit").cast("bigint").alias("hit"))
+
+
 # ---------------------------------------------------------------- shared pieces
 def _index(spark, sf) -> lexical.Bm25Index:
     return lexical.build_index(fx.corpus(spark, sf))
@@ -48,7 +53,7 @@ def _index(spark, sf) -> lexical.Bm25Index:
 def _bm25_run(spark, sf, queries=None) -> DataFrame:
     q = queries if queries is not None else fx.query_set(spark, sf)
     index = lexical.build_index(fx.corpus(spark, sf), with_positions=False, materialize=True)
-    return lexical.bm25_search(index, q)
+    return cut(lexical.bm25_search(index, q))  # written: evaluation reads it more than once
 
 
 def _doc_vectors(spark, sf) -> DataFrame:
@@ -115,8 +120,7 @@ def q_answers_parse(spark, sf):
 def q_answer_hits(spark, sf):
     q = fx.query_set(spark, sf)
     flags = evaluate.hit_flags(_bm25_run(spark, sf, q), q, fx.corpus(spark, sf))
-    return out_run(flags).join(flags.select("qid", "doc_id", F.col("hit").cast("bigint").alias("hit")),
-                               ["qid", "doc_id"])
+    return _flagged(flags)
 
 
 @register("hit_at_k")
@@ -187,7 +191,8 @@ def q_mean_pool(spark, sf):
 
 
 def _embeddings(spark, sf) -> DataFrame:
-    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return by_key(e, "doc_id")  # one search shard per bucket, whatever the table's splits
 
 
 @register("knn_exact")
@@ -415,7 +420,7 @@ def _composed(spark, sf, methods: set[str], rerank_on: bool) -> DataFrame:
     )
     run = P.retrieve(inp, methods)
     flags, _, _ = P.evaluate_run(run, inp)
-    return out_run(flags).join(flags.select("qid", "doc_id", F.col("hit").cast("bigint").alias("hit")), ["qid", "doc_id"])
+    return _flagged(flags)
 
 
 @register("composed_dense")

@@ -15,13 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank import config as C
-from lumenrank.functions.text import hyde_query
-from lumenrank.operators import dense, evaluate, lexical, rank
+from lumenrank.functions.text import hyde_prompt, hyde_query
+from lumenrank.operators import dense, evaluate, lexical, mining, rank
+from lumenrank.operators.generate import Generator, generate
 from lumenrank.operators.plan import bounded_broadcast, cut, release_checked
 
-KNOWN_METHODS = ("mixed", "hyde", "listwise_rerank")
-
-
 def parse_methods(raw: str | None) -> set[str]:
     """Comma list to a set; blanks dropped; unknown names are kept but do nothing."""
     return {m.strip() for m in (raw or "").split(",") if m.strip()}
@@ -43,13 +41,18 @@ class Inputs:
     hyde_completions: DataFrame | None = None      # (qid, completion)
     listwise_completions: DataFrame | None = None  # (qid, completion)
     reranker: Callable[[DataFrame], DataFrame] | None = None  # pairs -> pairs + pair_score
+    generator: Generator | None = None      # makes the completions that are not given
 
 
 def search_queries(inp: Inputs, methods: set[str]) -> DataFrame:
     """``(qid, query, search)``: the HyDE text where asked and available, else the raw query."""
     q = inp.queries.select("qid", "query")
-    if "hyde" in methods and inp.hyde_completions is not None:
-        comp = bounded_broadcast(inp.hyde_completions.select("qid", "completion"))
+    completions = inp.hyde_completions
+    if completions is None and inp.generator is not None:
+        prompts = q.select("qid", hyde_prompt("query").alias("prompt"))
+        completions = generate(prompts, inp.generator, C.HYDE_MAX_NEW_TOKENS)
+    if "hyde" in methods and completions is not None:
+        comp = bounded_broadcast(completions.select("qid", "completion"))
         return q.join(comp, "qid", "left").select("qid", "query", hyde_query("query", "completion").alias("search"))
     return q.withColumn("search", F.col("query"))
 
@@ -59,16 +62,16 @@ class MissingInputError(ValueError):
 
 
 def retrieve(inp: Inputs, methods: set[str], depth: int = C.DEPTH, encode=dense.hash_encode,
-             missing_ok: bool = True) -> DataFrame:
+             missing_ok: bool = False) -> DataFrame:
     """The run for one method set.
 
-    A method whose input is absent (no BM25 index for ``mixed``, no completions
-    for ``hyde`` / ``listwise_rerank``) degrades to the step without it, as the
-    original does when a searcher or generator fails to load; with
-    ``missing_ok=False`` it raises instead.
+    A method whose input is absent (no BM25 index for ``mixed``, neither completions
+    nor a generator for ``hyde`` / ``listwise_rerank``) is an error; with
+    ``missing_ok=True`` the job does without that step.
     """
     if not missing_ok:
-        needs = {"mixed": inp.bm25, "hyde": inp.hyde_completions, "listwise_rerank": inp.listwise_completions}
+        needs = {"mixed": inp.bm25, "hyde": inp.generator if inp.hyde_completions is None else inp.hyde_completions,
+                 "listwise_rerank": inp.generator if inp.listwise_completions is None else inp.listwise_completions}
         absent = sorted(m for m, v in needs.items() if m in methods and v is None)
         if absent:
             raise MissingInputError(f"no input for method(s): {', '.join(absent)}")
@@ -84,25 +87,28 @@ def retrieve(inp: Inputs, methods: set[str], depth: int = C.DEPTH, encode=dense.
     if inp.reranker is not None:
         run = cut(rank.pointwise_rerank(run, inp.queries, inp.docs, inp.reranker))   # R7, raw query
     if "listwise_rerank" in methods:
-        run = cut(rank.listwise_rerank(run, inp.listwise_completions))  # R8
+        completions = inp.listwise_completions
+        if completions is None and inp.generator is not None:               # C9 / D4
+            completions = generate(rank.listwise_prompts(run, inp.queries, inp.docs), inp.generator)
+        run = cut(rank.listwise_rerank(run, completions))                   # R8
     return run
 
 
 def evaluate_run(run: DataFrame, inp: Inputs, ks=C.HIT_KS):
     """V1-V3: ``(flags, per_query, means)``."""
-    evaluate.check_alignment(run, inp.queries)                            # V4
+    evaluate.check_alignment(run, inp.queries, allow_empty=True)          # V4: a query may match nothing
     flags = evaluate.hit_flags(run, inp.queries, inp.docs)
     per_q = evaluate.hit_at_k(flags, inp.queries, ks)
     return flags, per_q, evaluate.hit_mean(per_q, ks)
 
 
 def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = False,
-            ks=C.HIT_KS, depth: int = C.DEPTH, encode=dense.hash_encode):
+            ks=C.HIT_KS, depth: int = C.DEPTH, encode=dense.hash_encode, missing_ok: bool = False):
     """K2 / K3 / V8: retrieve, save the run under its method tag, and unless
     ``skip_eval`` write one hit table per k. Returns ``(run_path, means or None)``."""
     from lumenrank.sources import io
 
-    run = retrieve(inp, methods, depth=depth, encode=encode)
+    run = retrieve(inp, methods, depth=depth, encode=encode, missing_ok=missing_ok)
     path = io.run_path(out_dir, methods)
     io.write_run(run, f"{path}/run")
     if skip_eval:
@@ -113,3 +119,34 @@ def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = Fals
     io.write_hits(per_q, f"{path}/hits")
     release_checked()
     return path, evaluate.hit_mean(per_q, ks)
+
+
+def evaluate_saved(spark, run_path: str, queries_path: str, pool_path: str, out_dir: str, ks=C.HIT_KS) -> DataFrame:
+    """Offline evaluation: a saved run, the query file with its answers and the pool, to
+    one hit table per k under ``out_dir``. The run must cover exactly the query set."""
+    from lumenrank.sources import io
+
+    queries = io.read_query_tsv(spark, queries_path)
+    docs = io.read_pool_jsonl(spark, pool_path).withColumnRenamed("id", "doc_id")
+    run = io.read_run(spark, run_path)
+    evaluate.check_alignment(run, queries)
+    per_q = cut(evaluate.hit_at_k(evaluate.hit_flags(run, queries, docs), queries, ks))
+    io.write_hits(per_q, out_dir)
+    release_checked()
+    return evaluate.hit_mean(per_q, ks)
+
+
+def mine_files(spark, training_path: str, out_path: str, pool_path: str | None = None, window: str = C.MINING_RANGE_DEFAULT,
+               n: int = C.NEGATIVE_NUMBER, encode=dense.hash_encode) -> DataFrame:
+    """Hard-negative mining file to file: training JSON lines in, the same rows with mined
+    ``neg`` out, every other key kept. Without a pool the corpus is the rows' own texts."""
+    from lumenrank.sources import io
+
+    rows = cut(io.read_training_rows(spark, training_path))
+    texts = (mining.corpus_from_pool(io.read_pool_jsonl(spark, pool_path)) if pool_path
+             else mining.corpus_from_rows(rows))
+    lo, hi = mining.parse_range(window)
+    mined = mining.mine(rows, mining.number_corpus(texts), lo=lo, hi=hi, n=n, encode=encode).rows
+    io.write_jsonl(mined.drop("qid", "short"), out_path)
+    release_checked()
+    return mined

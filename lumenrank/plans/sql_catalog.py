@@ -183,7 +183,7 @@ mined AS (
   FROM tr t),
 ncorp AS (SELECT count(*) AS n FROM corp),
 draws AS (
-  SELECT m.qid, g.i, ((('0x' || substr(md5('lumenrank' || '|fill|' || CAST(m.qid AS VARCHAR)), 1, 8))::BIGINT % nc.n)
+  SELECT m.qid, g.i, ((('0x' || substr(md5('lumenrank' || '|fill|' || CAST(m.qid AS VARCHAR)), 1, 15))::BIGINT % nc.n)
                        + g.i * ({{stride}})) % nc.n AS idx
   FROM mined m, ncorp nc,
        LATERAL (SELECT unnest(range(0, least(15 + len(m.pos) + 1, nc.n))) AS i) g
@@ -252,4 +252,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 # stride = first prime of the list that does not divide N, reduced mod N
-STRIDE_SQL = ("(CASE WHEN nc.n % 1000000007 <> 0 THEN 1000000007 % nc.n ELSE 998244353 % nc.n END)")
+_GOLDEN = "greatest(1, CAST(floor(nc.n * 0.6180339887498949) AS BIGINT))"
+STRIDE_SQL = (f"(list_min(list_filter(range({_GOLDEN}, {_GOLDEN} + 1000), lambda s: gcd(s, nc.n) = 1)) % nc.n)")

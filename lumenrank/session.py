@@ -35,13 +35,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only when none is set."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    A local session, whose driver and executors are one machine, gets a private folder
+    when none is set; on a cluster that folder would be invisible to the others, so a
+    missing setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf = sc.getConf().get("spark.checkpoint.dir", None)
-    base = conf or tempfile.mkdtemp(prefix="lumenrank-ckpt-")
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lumenrank-ckpt-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 

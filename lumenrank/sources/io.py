@@ -1,4 +1,6 @@
-"""S1-S9 readers and K1-K6 writers in the original formats, each with an explicit schema.
+"""S1-S9 readers and K1-K6 writers in the original formats. Text and JSON readers have
+explicit schemas (S1 takes its columns from the header, S6 adds the keys it finds);
+Parquet readers take the files' own.
 
 Delimited and JSON inputs are read once and are best converted to Parquet
 (``multiLine`` files are read by one task each); everything downstream reads
@@ -11,9 +13,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenrank.functions.text import parse_answers
 from lumenrank.operators.ids import row_ids_text
+from lumenrank.operators.plan import bucket_count
 
 POOL_SCHEMA = "id long, text string"
 QUERY_TSV_SCHEMA = "query string, answers string"
@@ -23,7 +27,6 @@ TRAINING_SOURCE_SCHEMA = (
 )
 TRAINING_ROWS_SCHEMA = "query string, pos array<string>, neg array<string>"
 RUN_SCHEMA = "qid long, rank int, doc_id long, score double"
-VECTORS_SCHEMA = "id long, embedding array<float>"
 
 TSV = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true"}
 
@@ -63,8 +66,12 @@ def read_training_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_training_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Training JSONL; ``neg`` may be absent (null); ``qid`` = line position."""
-    return row_ids_text(spark.read.schema(TRAINING_ROWS_SCHEMA).json(path), "qid")
+    """Training JSONL with all its keys; ``neg`` may be absent (null); ``qid`` = line
+    position. The keys beside ``query, pos, neg`` are found by reading the file once."""
+    known = StructType.fromDDL(TRAINING_ROWS_SCHEMA)
+    found = spark.read.json(path).schema
+    others = [f for f in found.fields if f.name not in known.names]
+    return row_ids_text(spark.read.schema(StructType([*known.fields, *others])).json(path), "qid")
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
@@ -157,7 +164,7 @@ def write_bm25_index(index, path: str, buckets: int | None = None) -> None:
     """
     spark = index.postings.sparkSession
     base = path.rstrip("/")
-    n = buckets or index.postings.rdd.getNumPartitions()
+    n = buckets or index.buckets or bucket_count(spark)
     tb = getattr(index, "term_buckets", None)
     writer = index.postings.write.mode("overwrite")
     if tb:  # term-hash folders (see lexical.build_index(term_buckets=...))

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrank.operators.plan import release_checked
+
 QUERY_SCHEMA = "qid long, query string"
 
 
@@ -37,8 +39,11 @@ def start(
     queries = reader.load(source)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        run = retrieve(batch)
-        run.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        try:
+            run = retrieve(batch)
+            run.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        finally:
+            release_checked()  # the sides kept for this micro-batch
 
     writer = queries.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -76,3 +76,31 @@ def test_knn_running_topk_across_many_batches(spark):
         assert sorted(rows(got, "qid", "rank", "doc_id", "score")) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_model_encoder_pools_normalises_and_skips_nulls(spark):
+    enc = dense.model_encoder(lambda texts: [[[len(t), 0.0], [len(t), 2.0]] for t in texts], 2, instruction="ab ")
+    df = spark.createDataFrame([(1, "c"), (2, None)], "id long, text string")
+    got = {r["id"]: r["embedding"] for r in enc(df).collect()}
+    assert list(got) == [1]
+    assert np.allclose(got[1], np.array([4.0, 1.0]) / np.sqrt(17))
+
+
+def test_many_query_blocks_leave_no_plan_behind(spark):
+    d = {i: np.array([float(i), 1.0]) for i in range(50)}
+    q = {i: np.array([1.0, float(i)]) for i in range(40)}
+    runs = [dense.knn_search(vec_df(spark, q, "qid"), vec_df(spark, d, "doc_id"), k=3, block_bytes=b) for b in (1 << 20, 100)]
+    one, many = (len(r._jdf.queryExecution().optimizedPlan().toString()) for r in runs)
+    assert abs(one - many) < 100
+    assert sorted(rows(runs[0])) == sorted(rows(runs[1]))
+
+
+def test_wrong_vectors_fail_and_null_vectors_are_skipped(spark):
+    import pytest
+
+    q = vec_df(spark, {1: [1.0, 0.0]}, "qid")
+    nulls = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "doc_id long, embedding array<double>")
+    assert rows(dense.knn_search(q, nulls, k=5), "doc_id") == [(1,)]
+    odd = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "doc_id long, embedding array<double>")
+    with pytest.raises(Exception, match="vectors of length"):
+        dense.knn_search(q, odd, k=5)

@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from lumenrank.operators import rank
@@ -136,15 +138,13 @@ def test_listwise_is_a_permutation_keeping_scores(spark):
     check()
 
 
-def py_rrf(dense_ids, bm25_ids, k=60):
-    # independent statement: scores accumulated in dense-then-BM25 insertion order,
-    # then a stable sort by score descending
-    scores = {}
-    for r, d in enumerate(dense_ids, start=1):
-        scores[d] = scores.get(d, 0) + 1 / (k + r)
-    for r, d in enumerate(bm25_ids, start=1):
-        scores[d] = scores.get(d, 0) + 1 / (k + r)
-    return [d for d, _ in sorted(scores.items(), key=lambda x: x[1], reverse=True)]
+def fused_order(dense_ids, bm25_ids, k=60):
+    """Expected order from exact fractions: larger sum first, then dense rank, then BM25 rank."""
+    last = 10**6
+    place = {d: (dense_ids.index(d) + 1 if d in dense_ids else last, bm25_ids.index(d) + 1 if d in bm25_ids else last)
+             for d in {*dense_ids, *bm25_ids}}
+    gain = {d: sum(Fraction(1, k + r) for r in ranks if r != last) for d, ranks in place.items()}
+    return sorted(place, key=lambda d: (-gain[d], *place[d]))
 
 
 def test_rrf_matches_stable_sort_semantics(spark):
@@ -158,7 +158,7 @@ def test_rrf_matches_stable_sort_semantics(spark):
         b = rnd.sample(pool, rnd.randint(0, 12))
         dense_rows += [(qid, r, doc, 1.0) for r, doc in enumerate(d, start=1)]
         bm25_rows += [(qid, r, doc, 1.0) for r, doc in enumerate(b, start=1)]
-        want[qid] = py_rrf(d, b)
+        want[qid] = fused_order(d, b)
     fused = rank.rrf_fuse(run_df(spark, dense_rows), run_df(spark, bm25_rows))
     got = {}
     for qid, _, doc in sorted(rows(fused, "qid", "rank", "doc_id")):
@@ -166,36 +166,28 @@ def test_rrf_matches_stable_sort_semantics(spark):
     assert {q: v for q, v in want.items() if v} == got
 
 
-def py_listwise(doc_ids, scores, completion, top_n=10):
-    # independent statement of the reference rule
-    from .test_text import py_extract
-
-    if completion is None or not doc_ids:
-        return doc_ids, scores
-    top = doc_ids[:top_n]
-    ordered = [top[i - 1] for i in py_extract(completion, len(top))]
-    seen = set(ordered)
-    rest = [d for d in doc_ids if d not in seen]
-    out = ordered + rest
-    return out, [scores[doc_ids.index(d)] for d in out]
-
-
-def test_listwise_matches_reference_rule(spark):
-    import random
-
-    rnd = random.Random(9)
-    data, comps, want = [], [], {}
-    for qid in range(40):
-        n = rnd.randint(0, 14)
-        ids = [100 * qid + r for r in range(1, n + 1)]
-        sc = [round(rnd.random(), 3) for _ in ids]
-        comp = " ".join(rnd.choice(["[3]", "1,", "(2).", "12", "0", "5", "x", "01", "7", "9]"]) for _ in range(rnd.randint(0, 6)))
-        data += [(qid, r, d, s) for r, (d, s) in enumerate(zip(ids, sc), start=1)]
-        comps.append((qid, comp))
-        if ids:
-            want[qid] = list(zip(*py_listwise(ids, sc, comp)))
+LISTWISE_CASES = [
+    # (number of hits, completion, expected order of the hits 1, 2, ...)
+    (5, "[3] [1]", [3, 1, 2, 4, 5]),
+    (5, "2,2,5", [2, 5, 1, 3, 4]),
+    (5, "(4). 01 x", [4, 1, 2, 3, 5]),
+    (3, "9 0 2", [2, 1, 3]),
+    (12, "11 10 12", [10, 1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12]),
+    (12, "7]", [7, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12]),
+    (4, "", [1, 2, 3, 4]),
+    (4, "none of them", [1, 2, 3, 4]),
+    (4, None, [1, 2, 3, 4]),
+    (1, "1 1 1", [1]),
+]
+
+
+def test_listwise_fixed_cases(spark):
+    data, comps = [], []
+    for qid, (n, completion, _) in enumerate(LISTWISE_CASES):
+        data += [(qid, r, 100 * qid + r, 10.0 - r) for r in range(1, n + 1)]
+        comps.append((qid, completion))
     out = rank.listwise_rerank(run_df(spark, data), spark.createDataFrame(comps, "qid long, completion string"))
     got = {}
-    for qid, _, doc, s in sorted(rows(out, "qid", "rank", "doc_id", "score")):
-        got.setdefault(qid, []).append((doc, s))
-    assert got == want
+    for qid, _, doc, score in sorted(rows(out, "qid", "rank", "doc_id", "score")):
+        got.setdefault(qid, []).append((doc - 100 * qid, score))
+    assert got == {qid: [(d, 10.0 - d) for d in want] for qid, (_, _, want) in enumerate(LISTWISE_CASES)}
