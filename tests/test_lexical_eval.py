@@ -86,7 +86,9 @@ def test_alignment(spark):
     assert rows(evaluate.alignment(run, q)) == [(1, 1)]
     with pytest.raises(evaluate.AlignmentError):
         evaluate.check_alignment(run, q)
-    evaluate.check_alignment(run.where("qid = 1"), q)
+    with pytest.raises(evaluate.AlignmentError):
+        evaluate.check_alignment(run.where("qid = 1"), q)
+    evaluate.check_alignment(run.where("qid = 1"), q, allow_empty=True)
 
 
 def test_term_partitioned_postings_prune_and_agree(spark):
