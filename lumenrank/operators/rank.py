@@ -149,8 +149,8 @@ def score_pairs(run: DataFrame, queries: DataFrame, docs: DataFrame, scorer=cove
     """
     if hasattr(scorer, "score_run"):
         return scorer.score_run(run, queries.select("qid", "query"), docs)
-    pairs = attach_text(run, docs).join(bounded_broadcast(queries.select("qid", "query")), "qid")
-    return scorer(pairs)
+    pairs = attach_text(run, docs).join(bounded_broadcast(queries.select("qid", "query")), "qid", "left")
+    return scorer(pairs)  # a row without its query stays, with a null query
 
 
 def listwise_prompts(run: DataFrame, queries: DataFrame, docs: DataFrame, top_n: int = C.LISTWISE_TOP_N) -> DataFrame:
@@ -162,9 +162,9 @@ def listwise_prompts(run: DataFrame, queries: DataFrame, docs: DataFrame, top_n:
     lines = F.array_join(
         F.transform("items", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["text"])), "\n"
     )
-    return block.join(bounded_broadcast(queries.select("qid", "query")), "qid").select(
+    return block.join(bounded_broadcast(queries.select("qid", "query")), "qid", "left").select(
         "qid",
-        F.concat(F.lit(C.LISTWISE_PROMPT_PREFIX), F.col("query"), F.lit(C.LISTWISE_PROMPT_MIDDLE), lines,
+        F.concat(F.lit(C.LISTWISE_PROMPT_PREFIX), F.coalesce("query", F.lit("")), F.lit(C.LISTWISE_PROMPT_MIDDLE), lines,
                  F.lit(C.LISTWISE_PROMPT_SUFFIX)).alias("prompt"),
     )
 

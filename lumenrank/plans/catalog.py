@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lumenrank import config as C
 from lumenrank.functions import text as T
 from lumenrank.operators import dense, evaluate, lexical, mining, rank, training
-from lumenrank.operators.ids import row_ids_parquet
+from lumenrank.operators.ids import dense_index, row_ids_parquet
 from lumenrank.operators.plan import by_key, cut
 from lumenrank.plans import compose as P
 from lumenrank.session import work_path
@@ -190,6 +190,42 @@ def q_mean_pool(spark, sf):
                     F.round("value", C.SCORE_DIGITS).alias("value"))
 
 
+@register("mean_pool_rows")
+def q_mean_pool_rows(spark, sf):
+    """C6 per row: each vector with its next two by id as one multi-vector, pooled and
+    brought to unit length, as the encoder path does with several vectors per text."""
+    e = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    shifted = e.select(F.explode(F.array(*[F.struct((F.col("vec_id") - i).alias("vec_id"), F.lit(i).alias("slot"))
+                                           for i in range(3)])).alias("a"), "embedding")
+    multi = shifted.groupBy("a.vec_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("a.slot", "embedding"))), lambda x: x["embedding"]).alias("m"))
+    multi = multi.join(e.select("vec_id"), "vec_id", "left_semi")
+    return _components(multi.select("vec_id", dense.l2_normalize(dense.mean_pool("m")).alias("v")), "vec_id", "v")
+
+
+@register("instructed_query")
+def q_instructed_query(spark, sf):
+    """The query texts as an encoder with an instruction sees them."""
+    q = fx.query_set(spark, sf)
+    return q.select("qid", T.format_instruction("query", C.QUERY_INSTRUCTION, C.QUERY_INSTRUCTION_FORMAT).alias("text"))
+
+
+@register("offline_eval")
+def q_offline_eval(spark, sf):
+    """A saved run, the query file and the pool file, evaluated offline.
+    Queries without any match are left out of the query file, as the job demands."""
+    q = fx.query_set(spark, sf)
+    run = _bm25_run(spark, sf, q)
+    order = dense_index(run.select("qid").distinct(), ["qid"], "n")
+    lines = q.join(order, "qid").orderBy("qid").select("query", T.answers_literal("answers")).coalesce(1)
+    paths = {n: work_path(spark, f"offline-{n}") for n in ("queries", "pool", "run", "hits")}
+    io.write_query_tsv(lines, paths["queries"])
+    io.write_jsonl(fx.corpus(spark, sf).select(F.col("doc_id").alias("id"), "text"), paths["pool"])
+    io.write_run(run.join(order, "qid").select(F.col("n").cast("long").alias("qid"), "rank", "doc_id", "score"), paths["run"])
+    means = P.evaluate_saved(spark, paths["run"], paths["queries"], paths["pool"], paths["hits"])
+    return means.select("k", F.round("hit_rate", C.SCORE_DIGITS).alias("hit_rate"))
+
+
 def _embeddings(spark, sf) -> DataFrame:
     e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return by_key(e, "doc_id")  # one search shard per bucket, whatever the table's splits

@@ -43,6 +43,9 @@ sql("hit_at_k", f"""WITH {O.QS}, {O.bm25_ctes()}, {O.hits_ctes('bm25')} SELECT k
 sql("hit_mean", f"""WITH {O.QS}, {O.bm25_ctes()}, {O.hits_ctes('bm25')}
 SELECT k, round(avg(hit), 6) AS hit_rate FROM hits_k GROUP BY k""")
 
+sql("offline_eval", f"""WITH {O.QS}, {O.bm25_ctes()}, {O.hits_ctes('bm25')}
+SELECT k, round(avg(hit), 6) AS hit_rate FROM hits_k WHERE qid IN (SELECT qid FROM bm25) GROUP BY k""")
+
 sql("dense_text_topk", f"""WITH {O.QS}, {O.dense_text_ctes('qs', 'qid', 'query', 'documents', 'doc_id', 'text')}
 {O.run_select('dense')}""")
 
@@ -72,6 +75,18 @@ sql("l2_normalise", f"""WITH {_EMB},
 nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM ev GROUP BY vec_id)
 SELECT vec_id, i, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS value FROM ev JOIN nrm USING (vec_id)""")
 
+sql("mean_pool_rows", """WITH e AS (SELECT vec_id, embedding FROM embeddings),
+c AS (SELECT a.vec_id, g.i - 1 AS i, avg(b.embedding[g.i]::DOUBLE) AS v
+      FROM e a JOIN e b ON b.vec_id BETWEEN a.vec_id AND a.vec_id + 2,
+           LATERAL (SELECT unnest(range(1, len(b.embedding) + 1)) AS i) g
+      GROUP BY a.vec_id, g.i),
+n AS (SELECT vec_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY vec_id)
+SELECT c.vec_id, i::BIGINT AS i, round(CASE WHEN norm > 0 THEN v / norm ELSE v END, 6) AS value
+FROM c JOIN n USING (vec_id)""")
+
+sql("instructed_query", f"""WITH {O.QS}
+SELECT qid, 'Represent this question for finding passages: ' || query AS text FROM qs""")
+
 sql("mean_pool", f"""WITH {_EMB}
 SELECT label::BIGINT AS label, i, round(avg(x), 6) AS value FROM ev GROUP BY label, i""")
 
