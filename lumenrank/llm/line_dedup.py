@@ -119,7 +119,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text_col).alias("text"),
                        doc_key(id_col, text_col).alias("doc"))
-    rows = rows.join(gone, "doc", "left").withColumn("lines", F.split("text", "\n", -1))
+    # The same join at every size: texts are dealt once, unsorted, to the smaller side's hash tables.
+    rows = rows.join(gone.hint("shuffle_hash"), "doc", "left").withColumn("lines", F.split("text", "\n", -1))
     n = F.greatest(F.size("lines"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
