@@ -257,7 +257,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.raise_error(F.lit("two texts share a 64-bit node id")).cast("long"))
     wanted = written(texts.join(blocks, "component").select("component", sound.alias("node"), "blocks", "doc"), "wanted")
     # Rows that repeat in id and text fetch the same text: one of them goes on.
-    fetched = (rows.select("doc", "text").join(wanted, "doc").groupBy("component", "node", "blocks")
+    # The join is the same at every size: texts are dealt once, unsorted, to the smaller side's hash tables.
+    fetched = (rows.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc").groupBy("component", "node", "blocks")
                .agg(F.first("text").alias("text")))
     sets = fetched.mapInArrow(_gram_sets, "component long, node long, blocks int, grams binary, sig binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
@@ -287,7 +288,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = near_classes(docs, id_col, text_col).select("doc", "kept")
     kept = written(found.groupBy(F.col("doc").alias("__doc")).agg(
         F.count("*").alias("__rows"), F.sum(F.col("kept").cast("int")).alias("__kept")).filter("__kept > 0"), "kept-documents")
-    out = docs.withColumn("__doc", doc_key(id_col, text_col)).join(kept, "__doc")
+    out = docs.withColumn("__doc", doc_key(id_col, text_col)).join(kept.hint("shuffle_hash"), "__doc")
     # Rows without words are kept each; of rows that repeat in id and words, one stays.
     once = out.filter("__rows = __kept").unionByName(out.filter("__rows != __kept").dropDuplicates(["__doc"]))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
