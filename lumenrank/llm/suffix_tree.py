@@ -8,20 +8,23 @@ text. The root state is the smoothed token distribution of the training part,
    per document the positions in it. The chunk table is written once.
 2. Token counts. Chunks send their distinct words with counts, dealt by a hash of the
    word; owners add them up and answer each chunk with the totals of its words.
-3. Context counts, one depth after the other. A chunk sends its distinct (context, next)
-   pairs with training counts, dealt by a hash of the pair, from contexts that are states
-   of the depth above (or the root). Owners add up. Only contexts and pairs with at least
-   ``MIN_SHARE`` of all training tokens can enter the tree, so it has at most
-   DEPTH / MIN_SHARE pairs: that is the proven bound of what is broadcast.
-4. Smoothing. A context's distribution discounts each kept pair's count by one and leaves
-   the freed mass, and that of the pairs not kept, to its suffix's distribution.
+3. Contexts, one depth after the other up to ``DEPTH``. A chunk asks for its distinct
+   (context, next) pairs with their training counts and the next token's probability so
+   far, dealt by a hash of the context; owners add up, test, and answer each chunk. The
+   tree is never in one place: an owner holds its contexts, a chunk the answers it needs.
+4. Smoothing. A context's distribution discounts each pair's count by one and leaves the
+   freed mass to its suffix's distribution. A pair seen once keeps nothing, so only pairs
+   seen ``least`` = 2 times are told apart; the others of a context are one sum. That
+   changes no probability and no test, at any size of the corpus.
 5. Divergence test. A context becomes a state when that distribution diverges from its
    suffix's: the log-likelihood it gains on the context's own training tokens exceeds
    ``MIN_GAIN`` nats per token. The discount makes pairs seen once count against it.
-6. Scoring. Per token the longest suffix state of its history gives the probability.
+6. Scoring. Per token the longest suffix state of its history gives the probability. A
+   token whose context was seen once is done and is not asked for at greater depths.
 
-A hot word, pair or document group is one row per chunk. Nothing but the tree (bounded)
-and three totals reaches the driver.
+Contexts and pairs are named by 64-bit hashes. A hot word, pair or document group is one
+row per chunk; a hot context's distinct pairs per chunk meet at one owner. Nothing but
+the sums of a few counts reaches the driver.
 
 Edge cases: a null text counts as empty, its only token is the end; a null id has the
 checksum of the empty string; repeated rows count and are scored each; without training
@@ -43,14 +46,15 @@ from lumenrank.llm.common import documents, written
 
 #: Documents with crc32(id as text) mod FOLDS = HELD_OUT are not learned from.
 FOLDS, HELD_OUT = 5, 1
-DEPTH = 2
-MIN_SHARE = 1e-6
+#: Tokens of the longest contexts of the query; occurrences from which a pair is told apart.
+DEPTH, LEAST = 5, 2
 MIN_GAIN = 0.01
 #: Text bytes per chunk; distinct words, and tokens, per owner of an exchange.
 CHUNK_BYTES = 6 * 1024 * 1024
-WORDS_PER_OWNER, TOKENS_PER_OWNER = 300_000, 2_000_000
+WORDS_PER_OWNER, TOKENS_PER_OWNER = 300_000, 1_000_000
 
-_LOW = np.int64((1 << 32) - 1)
+#: Names of a text's end, and of a context's pairs that are not told apart.
+_END, _REST = np.uint64(1), np.uint64(0)
 
 
 # ------------------------------------------------------------------ chunks
@@ -125,208 +129,176 @@ def _ask_words(owners: int):
     return run
 
 
-def _answer_words(least: int):
+def _answer_words(asked: pa.Table) -> pa.Table:
+    lists = asked["words"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    counts = np.concatenate([_unpack(x, np.int64) for x in asked["counts"].to_pylist()])
+    totals = np.bincount(codes, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    answers = [_pack(totals[codes[e - n:e]]) for e, n in zip(ends, np.diff(ends, prepend=0))]
+    rows = asked.num_rows
+    return pa.table({
+        "chunk": pa.array([*asked["chunk"].to_pylist(), None], pa.int64()),
+        "places": pa.array([*asked["places"].to_pylist(), None], pa.binary()),
+        "totals": pa.array([*answers, None], pa.binary()),
+        "distinct": pa.array([None] * rows + [int((totals > 0).sum())], pa.int64())})
+
+
+# ------------------------------------------------------- contexts: ask and answer
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B185EBCA87) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Asked:
+    """The distinct (context, next) pairs of depth ``d`` in a chunk, by owner and context.
+
+    ``often``: per token whether its pair of the depth above is told apart. A context is
+    looked at where it is such a pair itself, its last token being the one before."""
+
+    def __init__(self, names: np.ndarray, starts: np.ndarray, often: np.ndarray, d: int, owners: int):
+        self.at = np.flatnonzero(_next(often, starts))
+        context = np.zeros(len(self.at), np.uint64)
+        for j in range(1, d + 1):
+            context = _mix(context, names[self.at - j])
+        key = np.where(often[self.at], names[self.at], _REST)
+        _, first, slot = np.unique(_mix(context, key), return_index=True, return_inverse=True)
+        owner = ((context[first] >> np.uint64(33)) % np.uint64(owners)).astype(np.int64)
+        order = np.lexsort((context[first], owner))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.slot = place[slot]
+        self.first = first[order]
+        self.context, self.key, self.owner = context[self.first], key[self.first], owner[order]
+
+
+def _next(often: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Tokens after one that is ``often``, in the same text."""
+    out = np.concatenate([[False], often[:-1]])[:len(often)]
+    out[starts] = False
+    return out
+
+
+def _answer_pairs(least: int):
     def run(asked: pa.Table) -> pa.Table:
-        lists = asked["words"].combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        counts = np.concatenate([_unpack(x, np.int64) for x in asked["counts"].to_pylist()])
-        totals = np.bincount(codes, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        answers = [_pack(totals[codes[e - n:e]]) for e, n in zip(ends, np.diff(ends, prepend=0))]
-        often = np.flatnonzero(totals >= least)
-        frequent = _word_hashes(coded.dictionary.take(pa.array(often)))
-        rows = asked.num_rows
-        return pa.table({
-            "chunk": pa.array([*asked["chunk"].to_pylist(), None], pa.int64()),
-            "places": pa.array([*asked["places"].to_pylist(), None], pa.binary()),
-            "totals": pa.array([*answers, None], pa.binary()),
-            "distinct": pa.array([None] * rows + [int((totals > 0).sum())], pa.int64()),
-            "words": pa.array([None] * rows + [frequent.tobytes()], pa.binary()),
-            "counts": pa.array([None] * rows + [totals[often].tobytes()], pa.binary())})
-
-    return run
-
-
-# ------------------------------------------------------------------ the tree
-class Tree:
-    """Frequent tokens, and per depth the kept (context, next) pairs and the states.
-
-    A token is its place among the sorted hashes of the frequent words (the end comes
-    after them); a context of depth 2 is the place of its pair among the pairs of depth 1.
-    ``totals[d]`` and ``freed[d]`` are per context: its count, and its count less the kept
-    pairs' discounted counts; 0 in ``totals`` where the context is no state."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int, texts: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], np.append(counts[order], texts).astype(np.float64)
-        self.n, self.v, self.texts = n, v, texts
-        self.pairs: list[np.ndarray] = []
-        self.seen: list[np.ndarray] = []
-        self.totals: list[np.ndarray] = []
-        self.freed: list[np.ndarray] = []
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / (self.n + 0.5 * (self.v + 1))
-
-    def grow(self, pairs: np.ndarray, seen: np.ndarray) -> None:
-        """Add one depth: keep its pairs, and test its contexts against their suffixes."""
-        order = np.argsort(pairs)
-        pairs, seen = pairs[order], seen[order].astype(np.float64)
-        depth = len(self.pairs)
-        context, token = pairs >> 32, pairs & _LOW
-        all_counts = self.counts if depth == 0 else self.seen[depth - 1]
-        count = all_counts[context]
-        size = len(all_counts)
-        freed = all_counts - np.bincount(context, weights=seen - 1, minlength=size)
-        below = self.root(self.counts[token])
-        if depth:
-            below = self.step(0, self.pairs[0][context] & _LOW, token, below)
-        p = (seen - 1) / count + freed[context] / count * below
-        gain = np.bincount(context, weights=seen * np.log(p / below), minlength=size)
-        rest = all_counts - np.bincount(context, weights=seen, minlength=size)
+        def column(c, kind):
+            return np.concatenate([_unpack(x, kind) for x in asked[c].to_pylist()])
+
+        context, key = column("context", np.uint64), column("key", np.uint64)
+        count, sizes = column("counts", np.int32), [int.from_bytes(x[:8], "little") for x in asked["counts"].to_pylist()]
+        _, first, pair = np.unique(_mix(context, key), return_index=True, return_inverse=True)
+        seen = np.bincount(pair, weights=count, minlength=len(first))
+        below = column("below", np.float64)[first]
+        kept = (seen >= least) & (key[first] != _REST)
+        distinct, of = np.unique(context[first], return_inverse=True)
+        size = len(distinct)
+        n = np.bincount(of, weights=seen, minlength=size)
+        freed = n - np.bincount(of, weights=np.where(kept, seen - 1, 0), minlength=size)
+        rest = n - np.bincount(of, weights=np.where(kept, seen, 0), minlength=size)
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = gain + np.where(rest > 0, rest * np.log(freed / all_counts), 0.0)
-        has = np.bincount(context, minlength=size) > 0
-        state = has & (gain > MIN_GAIN * all_counts)
-        self.pairs.append(pairs)
-        self.seen.append(seen)
-        self.totals.append(np.where(state, all_counts, 0.0))
-        self.freed.append(freed)
-
-    def find(self, depth: int, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Places of the pairs (context, token) among the kept ones, -1 where not kept."""
-        pairs = self.pairs[depth]
-        if not len(pairs):
-            return np.full(len(token), -1)
-        want = np.where((context >= 0) & (token >= 0), (context << 32) | token, -1)
-        at = np.searchsorted(pairs, want).clip(max=len(pairs) - 1)
-        return np.where(pairs[at] == want, at, -1)
-
-    def step(self, depth: int, context: np.ndarray, token: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Next-token probabilities one depth up: a state's own, else its suffix's."""
-        if not len(self.pairs[depth]):
-            return below
-        total = np.where(context >= 0, self.totals[depth][context], 0.0)
-        at = self.find(depth, context, token)
-        own = np.where(at >= 0, self.seen[depth][at] - 1, 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = own / total + self.freed[depth][context] / total * below
-        return np.where(total > 0, p, below)
-
-
-def _tokens(tree: Tree, vocab: pa.Array, codes: np.ndarray, lengths: np.ndarray):
-    """Frequent-token places of a chunk's texts, each followed by its end (-1: not
-    frequent), the document of each, the two tokens before each, and where ends stand."""
-    ends = np.cumsum(lengths + 1) - 1
-    is_end = np.zeros(int(lengths.sum() + len(lengths)), bool)
-    is_end[ends] = True
-    known = np.full(max(1, len(vocab)), -1, np.int64)
-    if len(tree.words) and len(vocab):
-        h = _word_hashes(vocab)
-        at = np.searchsorted(tree.words, h).clip(max=len(tree.words) - 1)
-        known = np.where(tree.words[at] == h, at, -1)
-    token = np.empty(len(is_end), np.int64)
-    token[is_end] = len(tree.words)
-    token[~is_end] = known[codes]
-    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
-    one = np.concatenate([[-1], token[:-1]])
-    two = np.concatenate([[-1, -1], token[:-2]])[:len(token)]
-    starts = ends - lengths
-    one[starts] = -1
-    two[starts] = -1
-    two[starts[lengths > 0] + 1] = -1
-    return token, doc, one, two, is_end
-
-
-def _ask_pairs(tree_blob, depth: int, owners: int):
-    def run(batches):
-        tree = tree_blob.value
-        for b in batches:
-            for i in range(b.num_rows):
-                _, vocab, codes, lengths, held = (b.column(j)[i] for j in range(5))
-                token, doc, one, two, _ = _tokens(tree, vocab.values, _unpack(codes.as_py(), np.int32),
-                                                  _unpack(lengths.as_py(), np.int64))
-                train = ~held.values.to_numpy(zero_copy_only=False).astype(bool)[doc]
-                context = one if depth == 0 else np.where(tree.find(0, one, token) >= 0, tree.find(0, two, one), -1)
-                use = train & (context >= 0) & (token >= 0)
-                pairs, counts = np.unique((context[use] << 32) | token[use], return_counts=True)
-                if not len(pairs):
-                    continue
-                owner = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B185EBCA87)) >> np.uint64(40)) % np.uint64(owners)
-                order = np.argsort(owner, kind="stable")
-                bounds = np.searchsorted(owner[order], np.arange(owners + 1, dtype=np.uint64))
-                sent = np.flatnonzero(np.diff(bounds))
-                parts = [order[bounds[o]:bounds[o + 1]] for o in sent]
-                yield pa.RecordBatch.from_pydict({
-                    "owner": pa.array(sent, pa.int32()),
-                    "pairs": pa.array([_pack(np.diff(pairs[p], prepend=0)) for p in parts], pa.binary()),
-                    "counts": pa.array([_pack(counts[p].astype(np.int32)) for p in parts], pa.binary())})
+            factor = freed / n
+            own = (seen - 1) / n[of]
+            gain = np.bincount(of, weights=np.where(kept, seen * np.log((own + factor[of] * below) / below), 0.0), minlength=size)
+            gain = gain + np.where(rest > 0, rest * np.log(factor), 0.0)
+        state = (np.bincount(of, weights=kept, minlength=size) > 0) & (gain > MIN_GAIN * n)
+        own = np.where(state[of] & kept, own, 0.0)[pair]
+        factor = np.where(state, factor, 1.0)[of][pair]
+        kept, ends = kept[pair], np.cumsum(sizes)
+        parts = [slice(e - m, e) for e, m in zip(ends, sizes)]
+        return pa.table({
+            "chunk": asked["chunk"], "owner": asked["owner"],
+            "own": pa.array([_pack(own[p]) for p in parts], pa.binary()),
+            "factor": pa.array([_pack(factor[p]) for p in parts], pa.binary()),
+            "often": pa.array([_pack(np.packbits(kept[p])) for p in parts], pa.binary())})
 
     return run
 
 
-def _sum_pairs(least: int):
-    def run(asked: pa.Table) -> pa.Table:
-        pairs = np.concatenate([np.cumsum(_unpack(x, np.int64)) for x in asked["pairs"].to_pylist()])
-        counts = np.concatenate([_unpack(x, np.int32) for x in asked["counts"].to_pylist()])
-        distinct, at = np.unique(pairs, return_inverse=True)
-        totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-        often = totals >= least
-        return pa.table({"pairs": pa.array([distinct[often].tobytes()], pa.binary()),
-                         "counts": pa.array([totals[often].tobytes()], pa.binary())})
+_STATE = {"p": np.float64, "reached": np.uint8, "score": np.float64, "base": np.float64, "known": np.int64}
+_ROUND = ("owner int, chunk long, context binary, key binary, counts binary, below binary, "
+          + ", ".join(f"{c} binary" for c in _STATE))
 
-    return run
 
+def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: int):
+    """Take in a chunk's answers of depth ``d`` (0: its words' totals). Before the last
+    depth: the chunk's state (no owner) and its questions of the next depth; then: scores."""
 
-def _gathered(rows, *cols) -> list[np.ndarray]:
-    """Bounded columns of packed numbers, concatenated."""
-    rows = list(rows)
-    return [np.concatenate([np.frombuffer(r[c], kind) for r in rows] or [np.zeros(0, kind)]) for c, kind in cols]
-
-
-def _score(tree_blob):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = tree_blob.value
-        ids, held, token_count, known_count, base, score = [], [], [], [], [], []
-        for i in range(left.num_rows):
-            vocab = left["vocab"][i].values
-            lengths = _unpack(left["lengths"][i].as_py(), np.int64)
-            codes = _unpack(left["codes"][i].as_py(), np.int32)
+        out = [one(left.slice(i, 1), right) for i in range(left.num_rows)]
+        return pa.concat_tables(out)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        vocab = left["vocab"][0].values
+        lengths = _unpack(left["lengths"][0].as_py(), np.int64)
+        codes = _unpack(left["codes"][0].as_py(), np.int32)
+        held = left["held"][0].values
+        m = len(lengths)
+        ends = np.cumsum(lengths + 1) - 1
+        starts = ends - lengths
+        is_end = np.zeros(int(lengths.sum() + m), bool)
+        is_end[ends] = True
+        doc = np.repeat(np.arange(m), lengths + 1)
+        names = np.full(len(is_end), _END, np.uint64)
+        names[~is_end] = _word_hashes(vocab)[codes]
+
+        if d == 0:
             count_of = np.zeros(max(1, len(vocab)), np.int64)
             for places, totals in zip(right["places"].to_pylist(), right["totals"].to_pylist()):
                 count_of[_unpack(places, np.int32)] = _unpack(totals, np.int64)
-            token, doc, one, two, is_end = _tokens(tree, vocab, codes, lengths)
-            count = np.empty(len(token), np.int64)
-            count[is_end] = tree.texts
+            count = np.full(len(is_end), texts, np.int64)
             count[~is_end] = count_of[codes]
-            root = tree.root(count)
-            p = tree.step(0, one, token, root)
-            p = tree.step(1, tree.find(0, two, one), token, p)
-            m = len(lengths)
-            ids.append(left["ids"][i].values)
-            held.append(left["held"][i].values)
-            token_count.append(lengths + 1)
-            known_count.append(np.bincount(doc, weights=count > 0, minlength=m).astype(np.int64))
-            base.append(np.bincount(doc, weights=np.log10(root), minlength=m))
-            score.append(np.bincount(doc, weights=np.log10(p), minlength=m))
-        n = sum(map(len, token_count))
+            p = (count + 0.5) / (n + 0.5 * (v + 1))
+            known = np.bincount(doc, weights=count > 0, minlength=m).astype(np.int64)
+            base = np.bincount(doc, weights=np.log10(p), minlength=m)
+            score, often, at = np.zeros(m), count >= least, np.arange(len(is_end))
+        else:
+            state = right.filter(pc.is_null(right["owner"]))
+            p, bits, score, base, known = (_unpack(state[c][0].as_py(), kind) for c, kind in _STATE.items())
+            asked = _Asked(names, starts, np.unpackbits(bits, count=len(is_end)).astype(bool), d, owners)
+            answers = right.filter(pc.is_valid(right["owner"])).sort_by("owner")
+            at, often = asked.at, np.zeros(len(is_end), bool)
+            if len(at):
+                own, factor = (np.concatenate([_unpack(x, np.float64) for x in answers[c].to_pylist()]) for c in ("own", "factor"))
+                sizes = np.bincount(asked.owner, minlength=owners)
+                told = [np.unpackbits(_unpack(x, np.uint8), count=int(sizes[o])).astype(bool)
+                        for o, x in zip(answers["owner"].to_pylist(), answers["often"].to_pylist())]
+                p = own[asked.slot] + factor[asked.slot] * p
+                often[at] = np.concatenate(told)[asked.slot]
+
+        more = _next(often, starts)[at] if d < depth else np.zeros(len(at), bool)
+        score = score + np.bincount(doc[at[~more]], weights=np.log10(p[~more]), minlength=m)
+        if d == depth:
+            return pa.table({
+                "id": left["ids"][0].values, "held_out": held, "n_tokens": pa.array(lengths + 1, pa.int64()),
+                "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * m, pa.int64()),
+                "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        p = p[more]
+        asked = _Asked(names, starts, often, d + 1, owners)
+        train = ~held.to_numpy(zero_copy_only=False).astype(bool)[doc[asked.at]]
+        counts = np.bincount(asked.slot, weights=train, minlength=len(asked.first)).astype(np.int32)
+        below = np.where(asked.key != _REST, p[asked.first], 0.0)
+        bounds = np.searchsorted(asked.owner, np.arange(owners + 1))
+        sent = np.flatnonzero(np.diff(bounds))
+        parts = [slice(bounds[o], bounds[o + 1]) for o in sent]
+        columns = {"context": asked.context, "key": asked.key, "counts": counts, "below": below}
+        state = dict(zip(_STATE, (p, np.packbits(often), score, base, known)))
         return pa.table({
-            "id": pa.concat_arrays(ids), "held_out": pa.concat_arrays(held),
-            "n_tokens": pa.array(np.concatenate(token_count), pa.int64()),
-            "n_known": pa.array(np.concatenate(known_count), pa.int64()),
-            "train_tokens": pa.array([tree.n] * n, pa.int64()),
-            "base_score": pa.array(np.concatenate(base), pa.float64()),
-            "score": pa.array(np.concatenate(score), pa.float64())})
+            "owner": pa.array([*sent.tolist(), None], pa.int32()),
+            "chunk": pa.array([left["chunk"][0].as_py()] * (len(sent) + 1), pa.int64()),
+            **{c: pa.array([*[_pack(x[q]) for q in parts], None], pa.binary()) for c, x in columns.items()},
+            **{c: pa.array([None] * len(sent) + [_pack(x)], pa.binary()) for c, x in state.items()}})
 
     return run
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS,
-          held_out: int = HELD_OUT, min_share: float = MIN_SHARE) -> DataFrame:
+          held_out: int = HELD_OUT, min_share: float = 0.0, depth: int = 2) -> DataFrame:
     """Per row: ``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)``;
-    scores are log10 probabilities."""
-    spark = df.sparkSession
+    scores are log10 probabilities. ``min_share`` leaves out pairs below that share of all
+    training tokens; by default there is no such limit."""
     id_type = df.schema[id_col].dataType.simpleString()
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
     chunks = written(df.select(F.col(id_col).alias("id"), (fold == held_out).alias("held"), F.col(text_col).alias("text"))
@@ -335,33 +307,31 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
                      "chunks")
     size = chunks.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
     n, texts = size["tokens"] or 0, size["texts"] or 0
-    least = max(2, int(np.ceil(min_share * n)))
+    least = max(LEAST, int(np.ceil(min_share * n)))
 
     asked = chunks.select("chunk", "vocab", "counts").mapInArrow(
         _ask_words((size["words"] or 0) // WORDS_PER_OWNER + 1),
         "owner int, chunk long, words array<string>, counts binary, places binary")
     answers = written(asked.groupBy("owner").applyInArrow(
-        _answer_words(least), "chunk long, places binary, totals binary, distinct long, words binary, counts binary"), "totals")
-    summary = answers.filter("chunk IS NULL").select("distinct", "words", "counts").collect()
-    v = sum(r["distinct"] for r in summary) + (texts > 0)
-    # At most 1 / min_share words have that share of all tokens, and so many pairs per depth.
-    tree = Tree(*_gathered(summary, ("words", np.uint64), ("counts", np.int64)), n, v, texts)
-    for depth in range(DEPTH):
-        blob = spark.sparkContext.broadcast(tree)
-        sent = chunks.select("chunk", "vocab", "codes", "lengths", "held").mapInArrow(
-            _ask_pairs(blob, depth, n // TOKENS_PER_OWNER + 1), "owner int, pairs binary, counts binary")
-        kept = sent.groupBy("owner").applyInArrow(_sum_pairs(least), "pairs binary, counts binary").collect()
-        tree.grow(*_gathered(kept, ("pairs", np.int64), ("counts", np.int64)))
-        blob.unpersist()
-    blob = spark.sparkContext.broadcast(tree)
-    right = answers.filter("chunk IS NOT NULL").select("chunk", "places", "totals")
+        _answer_words, "chunk long, places binary, totals binary, distinct long"), "totals")
+    v = (answers.agg(F.sum("distinct")).first()[0] or 0) + (texts > 0)
     left = chunks.select("chunk", "ids", "held", "lengths", "codes", "vocab")
+    right = answers.filter("chunk IS NOT NULL").select("chunk", "places", "totals")
+    owners = n // TOKENS_PER_OWNER + 1
+    for d in range(depth):
+        step = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
+            _step(d, depth, least, n, v, texts, owners), _ROUND)
+        step = written(step, f"contexts-{d + 1}")
+        sent = step.filter("owner IS NOT NULL").select("owner", "chunk", "context", "key", "counts", "below")
+        told = sent.groupBy("owner").applyInArrow(
+            _answer_pairs(least), "chunk long, owner int, own binary, factor binary, often binary")
+        right = step.filter("owner IS NULL").select("owner", "chunk", *_STATE).unionByName(told, allowMissingColumns=True)
     out = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
-        _score(blob), f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-        "base_score double, score double")
+        _step(depth, depth, least, n, v, texts, owners), f"id {id_type}, held_out boolean, n_tokens long, n_known long, "
+        "train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """Query: all of ``documents``."""
-    return score(documents(spark, sf_dir))
+    return score(documents(spark, sf_dir), depth=DEPTH)

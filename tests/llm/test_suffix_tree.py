@@ -109,3 +109,61 @@ def test_no_training_rows_and_empty_table(spark):
     assert all(r["held_out"] and r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
     assert all(r["base_score"] == pytest.approx(0.0) for r in got)
     assert S.score(df.limit(0)).collect() == []
+
+
+def deep_brute(rows, depth):
+    """Every pair and context, seen once or more, without any limit but the depth."""
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
+    train = [tokens(t) for (_, t), h in zip(rows, held) if not h]
+    c = Counter(w for ts in train for w in ts)
+    n, v = sum(c.values()), len(c)
+    nexts = {}
+    for ts in train:
+        for d in range(1, depth + 1):
+            for j in range(d, len(ts)):
+                nexts.setdefault(tuple(ts[j - d:j]), Counter())[ts[j]] += 1
+    total = {s: sum(x.values()) for s, x in nexts.items()}
+    freed = {s: total[s] - sum(k - 1 for k in x.values()) for s, x in nexts.items()}
+    states = set()
+
+    def prob(history, w):
+        p = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        for d in range(1, len(history) + 1):
+            s = tuple(history[-d:])
+            if s in states:
+                p = max(0, nexts[s][w] - 1) / total[s] + freed[s] / total[s] * p
+        return p
+
+    for s in sorted(nexts, key=len):
+        below = {w: prob(s[1:], w) for w in nexts[s]}
+        gain = sum(k * math.log(((k - 1) / total[s] + freed[s] / total[s] * below[w]) / below[w]) for w, k in nexts[s].items())
+        if total[s] > 1 and gain > S.MIN_GAIN * total[s]:
+            states.add(s)
+    out = {}
+    for i, t in rows:
+        ts = tokens(t)
+        out[i] = sum(math.log10(prob(ts[max(0, j - depth):j], w)) for j, w in enumerate(ts))
+    return out, states
+
+
+@pytest.mark.parametrize("chunk_bytes", [S.CHUNK_BYTES, 700])
+def test_long_contexts_and_rare_pairs_at_any_size(spark, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(S, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(S, "TOKENS_PER_OWNER", 500)
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcde") for _ in range(r.randrange(0, 30)))) for i in range(150)]
+    rows += [(200 + i, f"{r.choice('abc')} one rare shared passage of words {r.choice('abc')}") for i in range(2)]
+    want, states = deep_brute(rows, S.DEPTH)
+    assert {len(s) for s in states} == set(range(1, S.DEPTH + 1)) and S.DEPTH > 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in S.score(df, depth=S.DEPTH).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_no_occurrence_count_rises_with_the_corpus(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "_answer_pairs", lambda least, f=S._answer_pairs: seen.append(least) or f(least))
+    df = spark.createDataFrame([(i, "a b " * 50) for i in range(5)], "doc_id long, text string")
+    monkeypatch.setattr(S, "documents", lambda *_: df.selectExpr("doc_id", "repeat(text, 5000) AS text"))
+    S.op1(spark, SF01).count()
+    assert seen == [2] * S.DEPTH
