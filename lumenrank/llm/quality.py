@@ -45,6 +45,8 @@ PREFIXES = (4, 5)
 #: Tasks of one step of the fit, over at most MAX_LABELS sparse vectors.
 FIT_TASKS = 4
 REGULARISATION = 1e-5
+#: Steps of the fit at most; it ends before when a step improves less than the tolerance.
+MAX_STEPS = 100
 ACCEPT = 0.5
 #: Bounds of the estimated prior weights, in documents.
 PRIOR_WEIGHTS = (1.0, 1e6)
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vectors = vectors.setBinary(True)
     # Signs of a bad document may only lower the evidence: fluent words never outweigh them.
     model = LogisticRegression(
-        featuresCol="__features", labelCol="label", regParam=REGULARISATION, maxIter=40, standardization=False,
+        featuresCol="__features", labelCol="label", regParam=REGULARISATION, maxIter=MAX_STEPS, standardization=False,
         family="binomial", upperBoundsOnCoefficients=DenseMatrix(1, len(vocabulary), [0.0] * len(vocabulary)))
     # The bounded sample's vectors are small: computed once, in few tasks for the many steps.
     points = written(vectors.transform(train.select("label", tokens(F.col(_TEXT)).alias("__tokens"))).drop("__tokens"), "points")

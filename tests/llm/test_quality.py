@@ -60,3 +60,11 @@ def test_edge_cases(spark):
 def test_query(spark):
     rows = Q.op4(spark, SF01)
     assert rows.count() == 1000 and rows.select("doc_id").distinct().count() == 1000
+
+
+def test_the_fit_is_not_cut_short(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    fitted = Q.fit(docs, labels).stages[-1]
+    assert fitted.getMaxIter() >= 100
+    assert fitted.summary.totalIterations < fitted.getMaxIter()
