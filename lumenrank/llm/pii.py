@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.llm.common import documents
-from lumenrank.llm.spans import add_matches, joined
+from lumenrank.llm.spans import add_matches, joined, surrounding
 
 #: Characters on either side in which a context word counts.
 CONTEXT = 40
@@ -98,16 +98,16 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """``(id_col, spans)``; spans: ``array<struct<start, order, end, kind, found, score>>``."""
     df = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for order, (kind, pattern, prior, context) in enumerate(KINDS):
-        df = add_matches(df, "text", f"raw_{kind}", pattern, _guard(kind, F.col("text")))
+        df = add_matches(df, "text", f"raw_{kind}", pattern, _guard(kind, F.col("text")), context=CONTEXT)
 
         def scored(s: Column) -> Column:
-            near = F.concat_ws("\n", F.right(s["before"], F.lit(CONTEXT)), F.left(s["after"], F.lit(CONTEXT)))
+            near = F.concat_ws("\n", *surrounding(f"raw_{kind}", s, CONTEXT))
             score = F.lit(prior) + F.when(F.lower(near).rlike(rf"\b(?:{context})"), CONTEXT_BONUS).otherwise(0.0)
             return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"),
                             F.lit(kind).alias("kind"), s["found"].alias("found"), F.least(score, F.lit(1.0)).alias("score"))
 
         valid = F.filter(F.col(f"raw_{kind}"), lambda s: _valid(kind, s["found"]))
-        df = df.withColumn(kind, F.transform(valid, scored)).drop(f"raw_{kind}")
+        df = df.withColumn(kind, F.transform(valid, scored)).drop(f"raw_{kind}", f"raw_{kind}_around")
     kinds = [k for k, *_ in KINDS]
     sure = [F.col(k) if k in BASE else F.filter(F.col(k), lambda s: s["score"] >= MIN_SCORE) for k in kinds]
     return df.select(F.col("id").alias(id_col), F.concat(*sure).alias("spans"))

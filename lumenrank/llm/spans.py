@@ -40,11 +40,12 @@ def running_sum(lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, firsts, prefix))
 
 
-def add_matches(df, text: str, out: str, pattern: str, guard: Column, group: int = 0):
-    """``df`` with ``out``: ``array<struct<start, end, found, part, before, after>>``, the
+def add_matches(df, text: str, out: str, pattern: str, guard: Column, group: int = 0, context: int = 0):
+    """``df`` with ``out``: ``array<struct<at, start, end, found, part, before>>``, the
     leftmost non-overlapping matches. ``guard`` is a cheap condition without which a text
-    has no match worth keeping; ``part`` is the text of ``group``; ``before`` and ``after``
-    are the texts up to the neighbouring matches."""
+    has no match worth keeping; ``part`` is the text of ``group``; ``before``
+    is the text from the match before on. With ``context`` also ``{out}_around``, from which
+    ``surrounding`` takes so many characters."""
     none = F.array().cast("array<string>")
     pieces, hits, parts, lengths, starts = (f"_{out}_{x}" for x in ("pieces", "hits", "parts", "lengths", "starts"))
     df = (df.withColumn(pieces, F.when(guard, F.split(F.col(text), pattern, -1)).otherwise(none))
@@ -57,15 +58,30 @@ def add_matches(df, text: str, out: str, pattern: str, guard: Column, group: int
     df = df.withColumn(lengths, steps)
     df = df.withColumn(starts, F.when(F.size(hits) > 0, running_sum(F.col(lengths))).otherwise(F.array().cast("array<int>")))
 
+    if context:
+        # Each match with the piece before it, of which at most ``context`` characters at either end matter.
+        units = F.zip_with(F.col(pieces), F.col(hits), lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
+        df = df.withColumn(f"{out}_around", F.when(F.size(hits) > 0, F.transform(units, lambda u: F.struct(
+            F.right(u, F.lit(context)).alias("tail"), F.left(u, F.lit(context)).alias("head")))))
+
     def span(h: Column, i: Column) -> Column:
         start = F.get(F.col(starts), i) + F.length(F.get(F.col(pieces), i))
-        return F.struct(start.alias("start"), (start + F.length(h)).alias("end"), h.alias("found"),
+        return F.struct(i.alias("at"), start.alias("start"), (start + F.length(h)).alias("end"), h.alias("found"),
                         (F.get(F.col(parts), i) if group else h).alias("part"),
-                        F.get(F.col(pieces), i).alias("before"), F.get(F.col(pieces), i + 1).alias("after"))
+                        F.get(F.col(pieces), i).alias("before"))
 
     return df.withColumn(out, F.transform(F.col(hits), span)).drop(pieces, hits, parts, lengths, starts)
 
 
+def surrounding(out: str, s: Column, context: int) -> tuple[Column, Column]:
+    """The ``context`` characters of the text before and after a match ``s`` of ``out``, whatever
+    other matches stand there: a match has a character at least, so as many units hold them."""
+    around, n = F.col(f"{out}_around"), F.lit(context)
+    first = F.slice(around, F.greatest(s["at"] - n, F.lit(0)) + 1, F.least(s["at"], n))
+    then = F.slice(around, s["at"] + 2, n)
+    return (F.right(F.concat(F.array_join(first["tail"], ""), s["before"]), n), F.left(F.array_join(then["head"], ""), n))
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:end`` by start, then kind as listed, comma-joined; spans carry ``start, order, end, kind``."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -123,3 +123,14 @@ def test_empty_tables(spark):
     assert pii.find(empty).collect() == []
     found, new = secrets.scan(empty)
     assert found.collect() == [] and new.collect() == []
+
+
+def test_context_reaches_over_other_matches(spark):
+    ssn = "SSN: 123-45-6789, 234-56-7890, 345-67-8901"
+    rows = [ssn, "123-45-6789, 234-56-7890 (ssn)", "ssn" + " " * 38 + "123-45-6789", "ssn" + " " * 37 + "123-45-6789",
+            "é😀 " + ssn]
+    got = {r["doc_id"]: [s["found"] for s in r["spans"] if s["kind"] == "ssn"] for r in pii.find(frame(spark, rows)).collect()}
+    three = ["123-45-6789", "234-56-7890", "345-67-8901"]
+    assert got == {0: three, 1: three[:2], 2: [], 3: three[:1], 4: three}
+    phones = ["call +1 555 010 2345, +1 555 010 2346"]
+    assert [s["score"] for s in pii.find(frame(spark, phones)).first()["spans"] if s["kind"] == "phone"] == [1.0, 1.0]
