@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenrank.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dup, pii, quality, secrets, sharding, suffix_tree
+from lumenrank.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dup, packing, pii, quality, secrets, sharding, suffix_tree
 
 QUERIES: dict[str, Callable] = {
     "op1_suffix_tree": suffix_tree.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op8_near_dup": near_dup.op8,
     "op9_secrets": secrets.op9,
     "op10_decontaminate": decontaminate.op10,
+    "op13_best_fit_packing": packing.op13,
 }
 
 SQL: dict[str, str] = {
