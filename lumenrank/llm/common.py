@@ -16,12 +16,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Ends a query's shuffle files with it; else they stay until the driver collects garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives a
-    lost executor, and gives the planner a measured size for its joins."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor, and gives the planner a measured size for its joins. ``free``: the
+    shuffle files behind it go as soon as it is written (nothing else should need them)."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    before = spark.conf.get(_FREE, "false")
+    try:
+        if free:
+            spark.conf.set(_FREE, "true")
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(_FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(col: str = "text"):
