@@ -1,6 +1,6 @@
 """Best-fit decreasing packing of tokenised documents into sequences (operator 13).
 
-1. One pass tokenises. A document is its token ids and then the separator; one longer than
+1. One pass tokenises, as the ``tokenizers`` library does. A document is its token ids and then the separator; one longer than
    a sequence is cut into pieces as long as a sequence, of which the first may be shorter.
    Each task numbers its pieces per length. Only lengths and checksums are kept.
 2. Counts per length and task, summed up over the tasks, number all pieces of a length
@@ -27,13 +27,14 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,50 +46,61 @@ TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY, SEPARATOR = 2048, 0
 #: A tokenizer file is a vocabulary, not data; larger ones are refused.
 MAX_TOKENIZER_BYTES = 64 * 1024 * 1024
-#: Remembered ids of so many stretches of text, each of at most so many characters.
-MEMO, MEMO_CHARS = 400_000, 64
-
-# A match of the splitting pattern never goes on from a visible character to white space.
-_STRETCH = re.compile(r"\s*\S+|\s+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_PATTERN = regex.compile(public_tokenizers.PATTERN)
+#: White space in a row from which the fast way leaves a text to the tokenizer itself.
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
 # ------------------------------------------------------------------ tokens
-class _Ids(dict):
-    """Little-endian 32-bit ids of stretches that the pattern splits from their surroundings."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-    def __missing__(self, stretch: str) -> bytes:
-        out = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(stretch) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[stretch] = out
-        return out
-
-    def of(self, text: str) -> bytes:
+def byte_ranks(tokenizer: Tokenizer, data: bytes) -> dict[bytes, int] | None:
+    """The merge ranks of a plain byte-level BPE, for which ``tiktoken`` gives the same ids;
+    None for any other tokenizer.
+
+    It merges two neighbours whenever their concatenation is a token, the tokenizer only
+    listed pairs. Where every token's own bytes merge to that token, the state before its
+    last merge is the listed pair, so that no other pair of the token is ever met."""
+    conf = json.loads(data)
+    model, split = conf["model"], conf.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in (
+        "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain &= split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain or conf.get("normalizer") or conf.get("truncation") or conf.get("padding"):
+        return None
+    merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    made, vocab = [model["vocab"]["".join(x)] for x in merges], tokenizer.get_vocab(with_added_tokens=False)
+    if made != sorted(made) or any([x.id for x in tokenizer.model.tokenize(t)] != [i] for t, i in vocab.items()):
+        return None
+    # Bytes that print stand for themselves, the others for the code points from 256 on.
+    print_as = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in print_as]
+    byte = {chr(b): b for b in print_as} | {chr(256 + k): b for k, b in enumerate(other)}
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+
+
+class TokenIds:
+    """Ids as the ``tokenizers`` library gives them for a file, added tokens included but
+    none put in. Where ``ranks`` allow it, most texts take the faster ``tiktoken`` way."""
+
+    def __init__(self, data: bytes, ranks: dict[bytes, int] | None):
+        self.tokenizer = Tokenizer.from_str(data.decode())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = ranks and tiktoken.Encoding(
+            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def of(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        if any(a in text for a in self.added):  # these are looked for before anything is split
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # With no white space but blanks and line ends, a stretch ends wherever one of these follows
-        # a visible character; else the pattern itself says where.
-        split = _PATTERN.findall if _OTHER_SPACE.search(text) else _STRETCH.findall
-        return b"".join(map(self.__getitem__, split(text)))
+        if self.fast and not any(a in text for a in self.added) and not LONG_SPACE.search(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-_LOADED: dict[str, _Ids] = {}
+_LOADED: dict[str, TokenIds] = {}
 
 
-def token_ids(data: bytes) -> _Ids:
+def loaded(data: bytes, ranks: dict[bytes, int] | None) -> TokenIds:
     """The worker's tokenizer for this file, built once per process."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _LOADED:
-        _LOADED[key] = _Ids(Tokenizer.from_str(data.decode()))
+        _LOADED[key] = TokenIds(data, ranks)
     return _LOADED[key]
 
 
@@ -110,17 +122,17 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
            capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """``(id, piece, start, length, ids_crc32, part, nth)``: ``nth`` numbers the pieces of one
     length within the task ``part``."""
-    data = df.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_file))
-    end = np.array([separator], "<u4").tobytes()
+    data = read_tokenizer(tokenizer_file)
+    shared = df.sparkSession.sparkContext.broadcast((data, byte_ranks(Tokenizer.from_str(data.decode()), data)))
 
     def run(batches):
-        ids, part, seen = token_ids(data.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        ids, part, seen = loaded(*shared.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             out: list[tuple] = []
             for i, t in enumerate(b.column(1)):
-                stream = ids.of(t.as_py() or "") + end
-                for k, (start, length) in enumerate(cuts(len(stream) // 4, capacity)):
-                    out.append((i, k, start, length, zlib.crc32(stream[4 * start:4 * (start + length)]), seen[length]))
+                stream = np.append(ids.of(t.as_py() or ""), np.uint32(separator)).astype("<u4", copy=False)
+                for k, (start, length) in enumerate(cuts(len(stream), capacity)):
+                    out.append((i, k, start, length, zlib.crc32(stream[start:start + length]), seen[length]))
                     seen[length] += 1
             at, k, start, length, crc, nth = zip(*out) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(

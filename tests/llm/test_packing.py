@@ -1,8 +1,10 @@
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,12 +71,32 @@ AWKWARD = ["a\t\n\nb", "a \t b c\x1cd", "x \n\n y  ", "  lead", "it's we'll I'd
            "é　ü 12 345!?", "tail \n", "\n\n", " ", "\x85a \x85", "a  b", "1 000,50 €", "don't\n'll"]
 
 
+DATA = P.read_tokenizer(P.TOKENIZER_FILE)
+IDS = P.TokenIds(DATA, P.byte_ranks(WHOLE, DATA))
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab'lI1 \n\t \x1cé.,<|", max_size=40))
+@given(st.text(alphabet="ab'lI1 \n\t\x1cé.,<|", max_size=40))
 def test_ids_are_the_tokenizers(text):
-    ids = P.token_ids(P.read_tokenizer(P.TOKENIZER_FILE))
+    assert IDS.fast
     for t in (text, *AWKWARD):
-        assert np.frombuffer(ids.of(t), "<u4").tolist() == WHOLE.encode(t, add_special_tokens=False).ids, t
+        assert IDS.of(t).tolist() == WHOLE.encode(t, add_special_tokens=False).ids, t
+
+
+def test_every_code_point_is_split_alike():
+    for lo in range(0, 0x30000, 256):
+        chars = [chr(c) for c in range(lo, lo + 256) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}1{c}!{c} {c}  {c}b\n" for c in chars)
+        assert IDS.of(text).tolist() == WHOLE.encode(text, add_special_tokens=False).ids, hex(lo)
+
+
+def test_other_tokenizers_take_the_slow_way():
+    conf = json.loads(DATA)
+    conf["model"]["merges"] = conf["model"]["merges"][:-1]  # the last token is out of reach
+    data = json.dumps(conf).encode()
+    assert P.byte_ranks(Tokenizer.from_str(data.decode()), data) is None
+    other = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
+    assert P.byte_ranks(Tokenizer.from_str(other.decode()), other) is None
 
 
 def checked(rows, texts):
@@ -107,7 +129,7 @@ def test_whole_table(spark):
 
 @pytest.mark.parametrize("batch", [3, 10_000])
 def test_edge_cases(spark, batch):
-    texts = [None, "", "a", "word " * 3000, " " * 300_000, "x" * 100_000, *AWKWARD, *["same copy"] * 30, "word " * 3000]
+    texts = [None, "", "a", "word " * 3000, " " * 2_000_000, "x " + "\n" * 1_000_000 + "y", "x" * 100_000, *AWKWARD, *["same copy"] * 30, "word " * 3000]
     rows = [(i, t, -1) for i, t in enumerate(texts)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
