@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import corpus_pipeline as C
 from lumenrank.llm import quality
@@ -72,11 +73,12 @@ def contaminated(ws, grams):
 
 def fast_lines(texts, min_words=50):
     """Like ``test_line_dedup.brute``, by the shortest runs only."""
-    seen, gone, split = {}, {}, {}
+    seen, out = {}, {}
     for i, t in sorted(texts.items()):
-        split[i] = t.split("\n")
-        ls = [x.strip(" \t\r") for x in split[i]]
-        ws = [x.count(" ") + 1 for x in ls]
+        raw = t.split("\n")
+        at = [k for k, x in enumerate(raw) if x.strip(" \t\x0b\x0c\r")]
+        ls = [raw[k].strip(" \t\x0b\x0c\r") for k in at]
+        ws = [len(re.split("[ \t\x0b\x0c\r]+", x)) for x in ls]
         runs = set()
         for a in range(len(ls)):
             total, b = 0, a
@@ -91,15 +93,13 @@ def fast_lines(texts, min_words=50):
                 total += ws[s]
             if total >= min_words:
                 runs.add((s, a + 1))
-        gone[i] = set()
+        gone = set()
         for a, b in sorted(runs):
-            first = seen.setdefault(tuple(ls[a:b]), (i, a))
-            if first != (i, a):
-                gone[i].update(range(a, b))
-    out = {}
-    for i, ls in split.items():
-        text = "\n".join(x for k, x in enumerate(ls) if k not in gone[i])
-        if not gone[i] or text.strip(" \t\r\n"):
+            if seen.setdefault(tuple(ls[a:b]), (i, a)) != (i, a):
+                gone.update(range(a, b))
+        cut = {at[j] for j in gone} | {k for j in gone if j + 1 in gone for k in range(at[j], at[j + 1])}
+        text = "\n".join(x for k, x in enumerate(raw) if k not in cut)
+        if not gone or text.strip(" \t\x0b\x0c\r\n"):
             out[i] = text
     return out
 
@@ -110,7 +110,7 @@ def test_fast_lines_is_the_brute_force():
     got = fast_lines(dict(rows), 9)
     for i, _ in rows:
         text, _, n = want[False, i]
-        assert got.get(i) == (text if not n or text.strip(" \t\r\n") else None)
+        assert got.get(i) == (text if not n or text.strip(" \t\x0b\x0c\r\n") else None)
 
 
 def test_empty_and_null_documents(spark, tmp_path):
