@@ -43,6 +43,9 @@ SEED = "lumenrank"               # seed for hash-ordered sampling
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 # Largest measured size of a side that a join may broadcast (bytes).
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# A key of a lookup is hot from so many rows on; at most so many keys are.
+HOT_ROWS = 10_000
+HOT_KEYS = 1_000
 # Instruction of the registered example query (any text; models differ in what they want).
 QUERY_INSTRUCTION = "Represent this question for finding passages: "
 QUERY_INSTRUCTION_FORMAT = "{}{}"

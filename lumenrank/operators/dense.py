@@ -1,11 +1,12 @@
 """Dense vectors: normalise, pool, encode (D1 / D2) and exact top-k search.
 
-Exact search is a block product, one job per block of queries: a block of at most
-``QUERY_BLOCK_BYTES`` is broadcast, each corpus partition computes ``Q @ D^T`` with
-numpy batch by batch and keeps a running exact top-k per query (ties resolved by
-doc_id), the block's top-k is written, and its broadcast destroyed before the next.
-So one block at most is alive whatever the number of queries, and the result is a
-plain scan of the written runs. The corpus is never collected or shuffled whole.
+Exact search is a tile join. Query vectors and corpus vectors are packed into blocks of
+bounded size, query blocks are dealt to query groups and corpus blocks to corpus groups,
+and each pair of groups is one tile: a cogroup that computes ``Q @ D^T`` with numpy and
+keeps an exact top-k per query (ties resolved by doc_id). A second exchange on the query
+merges the tiles' lists. It is one job whatever the number of queries: no vector passes
+through the driver, the corpus is scanned (and encoded) once, and no query-corpus pair
+ever becomes a row.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -21,10 +23,11 @@ from lumenrank import config as C
 from lumenrank.functions.hashing import arrow_encoder, signed_codes
 from lumenrank.functions.text import format_instruction, tokens
 from lumenrank.operators.lexical import rank_top_k
-from lumenrank.operators.plan import cut
-from lumenrank.session import work_path
+from lumenrank.operators.plan import bucket_count, cut, estimated_bytes
 
 SCORE_CELLS = 8_000_000
+BLOCK_BYTES = 4 * 1024 * 1024  # vectors of one packed block
+CORPUS_GROUP_BYTES = 64 * 1024 * 1024
 QUERY_STEP = 512  # queries scored at once; with SCORE_CELLS it bounds a score matrix
 
 
@@ -69,16 +72,21 @@ def hash_encode(
     dim: int = C.HASH_DIM,
     instruction: str | None = None,
     instruction_format: str = "{}{}",
+    tokens_col: str | None = None,
 ) -> DataFrame:
     """D1 / D2 default encoder: hashing vectors, L2-normalised (see functions.hashing).
-    Rows with a null text are skipped.
+    Rows with a null text are skipped. With ``tokens_col`` the text is tokenised already
+    (``lexical.token_table``) and the tokens are left out of the result.
 
     Tokens and md5 codes are JVM expressions; the scatter-add into dense vectors
     runs on whole Arrow batches in ``mapInArrow`` (one pass, no per-row objects).
     """
     text = format_instruction(text_col, instruction, instruction_format)
     base = (df.drop(out_col) if out_col in df.columns else df).where(F.col(text_col).isNotNull())
-    with_codes = base.withColumn("_codes", signed_codes(tokens(text), dim))
+    found = F.col(tokens_col) if tokens_col else tokens(text)
+    with_codes = base.withColumn("_codes", signed_codes(found, dim))
+    if tokens_col:
+        base, with_codes = base.drop(tokens_col), with_codes.drop(tokens_col)
     schema = StructType(base.schema.fields + [StructField(out_col, ArrayType(DoubleType()), True)])
     return with_codes.mapInArrow(arrow_encoder(dim, "_codes", out_col), schema)
 
@@ -96,7 +104,8 @@ def batch_encoder(fn, dim: int):
             mat = mat.mean(axis=1)
         return pd.Series(list(mat.reshape(len(texts), dim)))
 
-    return _enc
+    # The planner may not compute it again, for a filter on its result say: calls are dear.
+    return _enc.asNondeterministic()
 
 
 def model_encoder(fn, dim: int, instruction: str | None = None, instruction_format: str = "{}{}",
@@ -169,32 +178,51 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, dim)
 
 
-def _search_with_broadcast(bq, k: int):
-    """``mapInArrow`` body: score every corpus batch against the broadcast query
-    block, keep a running exact top-k, emit once per partition."""
+def _pack(side: str, dim: int, groups: int):
+    """``mapInArrow`` body: (key, v) rows to blocks of at most ``BLOCK_BYTES``, dealt to ``groups``
+    groups in turn. Vectors keep their width."""
 
     def run(batches):
-        qids, qmat = bq.value
-        nq = len(qids)
-        chunks = [(lo, min(nq, lo + QUERY_STEP)) for lo in range(0, nq, QUERY_STEP)]
-        state = {lo: _RunningTopK(hi - lo, k) for lo, hi in chunks}
-        rows = SCORE_CELLS // QUERY_STEP
+        part, no = TaskContext.get().partitionId(), 0
         for batch in batches:
+            rows = max(1, BLOCK_BYTES // (8 * dim + 8))
             for b in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                dmat = _matrix(b.column("v"), qmat.shape[1])
-                for lo, hi in chunks:
-                    state[lo].add(ids, dmat @ qmat[lo:hi].T)
-        for lo, hi in chunks:
-            st = state[lo]
-            if st.r.shape[0] == 0:
-                continue
-            qcol = np.broadcast_to(qids[lo:hi][None, :], st.r.shape)
+                wide = pa.types.is_float64(b.column(1).type.value_type)
+                mat = _matrix(b.column(1), dim).astype(np.float64 if wide else np.float32, copy=False)
+                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    side: pa.array([(part + no) % groups], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()),
+                    "wide": pa.array([wide]), "vectors": pa.array([mat.tobytes()], pa.binary())})
+                no += 1
+
+    return run
+
+
+def _unpack(blocks: pa.Table, dim: int):
+    for ids, wide, vectors in zip(*(blocks[c].to_pylist() for c in ("ids", "wide", "vectors"))):
+        mat = np.frombuffer(vectors, np.float64 if wide else np.float32)
+        yield np.frombuffer(ids, np.int64), mat.reshape(-1, dim).astype(np.float64, copy=False)
+
+
+def _tile(dim: int, k: int):
+    """One pair of groups: the exact top-k of the group's corpus vectors for each of its queries."""
+
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if queries.num_rows and corpus.num_rows:
+            found = list(_unpack(queries, dim))
+            qids, qmat = np.concatenate([q for q, _ in found]), np.concatenate([m for _, m in found])
+            rows = SCORE_CELLS // QUERY_STEP
+            best = {lo: _RunningTopK(len(qids[lo:lo + QUERY_STEP]), k) for lo in range(0, len(qids), QUERY_STEP)}
+            for ids, mat in _unpack(corpus, dim):
+                for i in range(0, len(ids), rows):
+                    for lo, top in best.items():
+                        top.add(ids[i:i + rows], mat[i:i + rows] @ qmat[lo:lo + QUERY_STEP].T)
             # the rounded score decides here, so it is the one that decides the merge
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qcol.ravel()), pa.array(st.ids.ravel()), pa.array(st.r.ravel())],
-                names=["qid", "doc_id", "score"],
-            )
+            out += [(np.broadcast_to(qids[lo:lo + QUERY_STEP], top.r.shape).ravel(), top.ids.ravel(), top.r.ravel())
+                    for lo, top in best.items()]
+        qid, doc, score = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"qid": pa.array(qid), "doc_id": pa.array(doc), "score": pa.array(score)})
 
     return run
 
@@ -208,35 +236,35 @@ def knn_search(
     id_col: str = "doc_id",
     vec_col: str = "embedding",
     block_bytes: int = C.QUERY_BLOCK_BYTES,
+    corpus_groups: int | None = None,
 ) -> DataFrame:
-    """Exact inner-product top-k run ``(qid, rank, doc_id, score)``, written.
-
-    One job per query block (see the module); scores are rounded to 6 places, once,
-    before anything is ranked. Rows with a null vector take no part; a vector of
-    another length than the queries' is an error.
+    """Exact inner-product top-k run ``(qid, rank, doc_id, score)``, lazily.
+
+    A tile holds at most about ``block_bytes`` of query vectors and the vectors of one of
+    ``corpus_groups`` groups (by default as many as the session's shuffle partitions, more
+    where the corpus is estimated to need them for groups of ``CORPUS_GROUP_BYTES``). The
+    corpus is shuffled once per query group, the queries once per corpus group. Scores are
+    rounded to 6 places, once, before anything is ranked. Rows with a null vector take no
+    part; a vector of another length than the queries' is an error.
     """
     spark = corpus.sparkSession
-    sc = spark.sparkContext
-    # query vectors are written once: a model runs once per query, not per pass
+    # query vectors are written once: a model runs once per query
     q = cut(queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("v")).where(F.col(qvec_col).isNotNull()))
-    dim_row = q.select(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    n_q, dim = int(dim_row["n"]), int(dim_row["d"] or 0)
+    size = q.select(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    n_q, dim = int(size["n"]), int(size["d"] or 0)
     if n_q == 0 or dim == 0:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
     docs = corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v")).where(F.col(vec_col).isNotNull())
-    nb = -(-n_q * (8 * dim + 16) // block_bytes)
-    if nb > 1:
-        nb *= 2  # hash blocks: headroom for uneven sizes
-        docs = cut(docs)  # encode the corpus once, not once per pass
-    runs = work_path(spark, "knn")
-    for b in range(nb):
-        block = q.where(F.pmod(F.xxhash64("qid"), F.lit(nb)) == b) if nb > 1 else q
-        table = block.toArrow()  # one block, at most block_bytes of vectors
-        if not table.num_rows:
-            continue
-        qids = table.column("qid").to_numpy().astype(np.int64)
-        bq = sc.broadcast((qids, _matrix(table.column("v"), dim)))
-        cand = docs.mapInArrow(_search_with_broadcast(bq, k), "qid long, doc_id long, score double")
-        rank_top_k(cand, k).write.mode("append").parquet(runs)
-        bq.destroy()
-    return spark.read.schema("qid long, rank int, doc_id long, score double").parquet(runs)
+    q_groups = -(-n_q * (8 * dim + 16) // block_bytes)
+    d_groups = corpus_groups or max(bucket_count(spark), -(-estimated_bytes(docs) // CORPUS_GROUP_BYTES))
+    block = "ids binary, wide boolean, vectors binary"
+    left = q.mapInArrow(_pack("qg", dim, q_groups), f"qg int, {block}").withColumn(
+        "dg", F.explode(F.sequence(F.lit(0), F.lit(d_groups - 1))))
+    right = docs.mapInArrow(_pack("dg", dim, d_groups), f"dg int, {block}")
+    if q_groups > 1:
+        right = right.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))))
+    else:
+        right = right.withColumn("qg", F.lit(0))
+    tiles = left.groupBy("qg", "dg").cogroup(right.groupBy("qg", "dg")).applyInArrow(
+        _tile(dim, k), "qid long, doc_id long, score double")
+    return rank_top_k(tiles, k)

@@ -51,6 +51,14 @@ def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return d.withColumn("tokens", tokens("text"))
 
 
+def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """``(doc_id, text, tokens)`` written as a table bucketed by ``doc_id``: the one tokenising
+    pass that the BM25 index, the hashing encoder and anything else by ``doc_id`` can share.
+    Null texts have no tokens."""
+    buckets = buckets or bucket_count(docs.sparkSession)
+    return bucketed(doc_tokens(docs, id_col, text_col, buckets), "doc_id", "tokens", buckets)
+
+
 def term_bucket(term, buckets: int):
     """Folder key of a term in term-partitioned postings."""
     return F.pmod(F.xxhash64(term), F.lit(buckets))
@@ -69,10 +77,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     derives the term table and (N, avgdl) from it, so searches read them (still
     partitioned by ``doc_id``) instead of re-tokenising. ``term_buckets`` also
     splits the written postings into folders by term hash, so a search reads
-    only the folders of its query terms (static partition pruning).
+    only the folders of its query terms (static partition pruning). ``docs`` may be a
+    ``token_table`` of as many buckets: then nothing is tokenised or shuffled here.
     """
     buckets = buckets or bucket_count(docs.sparkSession)
-    dt = doc_tokens(docs, id_col, text_col, buckets)
+    dt = docs if "tokens" in docs.columns else doc_tokens(docs, id_col, text_col, buckets)
     doc_stats = dt.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), "text")
     # outer explode + explicit filter: a plain explode lets the optimizer infer
     # size(tokens) > 0 and push it under the exchange, tokenising twice

@@ -39,12 +39,44 @@ def release_checked() -> None:
         _KEPT.pop().unpersist()
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+    """Left-join ``table`` (one row a key) onto ``rows`` by ``key``, neither shuffling all of
+    ``table`` nor gathering a hot key.
+
+    The keys' counts (one row per distinct key, measured) cut ``table`` down to what is
+    wanted: by broadcast where they are small, else by a shuffle join. Keys with more than
+    ``hot_rows`` rows, and more than a ``HOT_KEYS``-th of all, are at most ``HOT_KEYS`` many;
+    their rows are spread by a hash of the row over as many parts as they fill, and their
+    one row of ``table`` is copied to each part. Rows with a null key are spread as well.
+    """
+    limit = hot_rows or C.HOT_ROWS
+    ids, small = checked(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    size = ids.agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
+    limit = max(limit, (size["rows"] or 0) // C.HOT_KEYS)
+    wanted = table.join(F.broadcast(ids) if small else ids, key)
+    if (size["most"] or 0) <= limit:
+        return rows.join(wanted.drop("_n"), key, "left")
+    copies = F.ceil(F.col("_n") / limit).cast("int")
+    hot = ids.where((F.col("_n") > limit) & F.col(key).isNotNull()).select(key, copies.alias("_copies"))
+    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(bucket_count(rows.sparkSession)))).otherwise(
+        F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_copies")), F.lit(0)))
+    spread = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part.cast("int")).drop("_copies")
+    copied = wanted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > limit, copies).otherwise(1) - 1)))
+    return spread.join(copied.drop("_n"), [key, "_part"], "left").drop("_part")
+
+
 def bucket_count(spark: SparkSession) -> int:
     """The default number of buckets: the session's shuffle partitions. It never depends
     on how many splits an input happens to have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate of ``df``; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def by_key(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Hash-partition ``df`` by ``key`` into an explicit number of partitions, at any input
     width. Aggregations by ``key`` and more, and a table bucketed into as many buckets,

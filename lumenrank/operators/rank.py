@@ -16,7 +16,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumenrank import config as C
 from lumenrank.functions.text import extract_indices, tokens
-from lumenrank.operators.plan import bounded_broadcast, by_key
+from lumenrank.operators.lexical import Bm25Index
+from lumenrank.operators.plan import bounded_broadcast, lookup
 
 RUN_COLS = ["qid", "rank", "doc_id", "score"]
 
@@ -24,15 +25,11 @@ RUN_COLS = ["qid", "rank", "doc_id", "score"]
 def attach_text(run: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Left-join passage text onto a run by id (not by position).
 
-    The run's distinct doc ids (bounded by queries x depth) are broadcast after a
-    count, so the corpus is only scanned (``doc_id, text``), never shuffled; the
-    few matching passages then meet the run in a join of two bounded sides.
-    Run rows whose id is not in the pool keep a null text.
+    The corpus is only scanned (``doc_id, text``) and cut down to the run's passages, and a
+    passage that very many lists hold is spread over many tasks (``plan.lookup``). Run rows
+    whose id is not in the pool keep a null text.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = bounded_broadcast(run.select("doc_id").distinct())
-    texts = d.join(ids, "doc_id", "left_semi")
-    return run.join(texts, "doc_id", "left")
+    return lookup(run, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
 
 
 def unmatched_ids(run: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -64,35 +61,29 @@ def rrf_fuse(dense: DataFrame, bm25: DataFrame | None, rrf_k: int = C.RRF_K) ->
 class CoverageScorer:
     """D3 default scorer: share of distinct query terms found in the passage (JVM only).
 
-    On a whole run it works relationally: (query, passage) pairs x the query's
-    distinct terms, semi-joined on ``(doc_id, term)`` with the distinct terms of
-    the run's passages, counted per pair. No per-pair arrays are built, and each
-    passage and query is tokenised once. ``__call__`` scores a pairs table with
-    ``query`` and ``text`` columns directly (same result).
+    On a whole run it works by term sets: each passage of the run has one array of its
+    distinct terms, which meets the run's rows by ``doc_id`` (hot passages are spread, see
+    ``plan.lookup``) and is intersected with the query's. Given a BM25 ``index``, the sets come
+    from its postings, of the queries' terms only: as these are bucketed by ``doc_id``, nothing
+    is tokenised or shuffled for them. Else the run's passages are tokenised once each.
+    ``__call__`` scores a pairs table with ``query`` and ``text`` columns directly (same result).
     """
 
+    def __init__(self, index: Bm25Index | None = None):
+        self.index = index
+
     def score_run(self, run: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-        ids = bounded_broadcast(run.select("doc_id").distinct())
-        d = by_key(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "doc_id")
-        d_terms = d.select("doc_id", F.explode_outer(F.array_distinct(tokens("text"))).alias("term")) \
-            .where(F.col("term").isNotNull())
-        q_terms = queries.select("qid", F.explode_outer(F.array_distinct(tokens("query"))).alias("term")) \
-            .where(F.col("term").isNotNull())
-        q_terms = bounded_broadcast(q_terms)
-        n_terms = q_terms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
-        found = (
-            run.select("qid", "doc_id").join(q_terms, "qid")
-            .join(d_terms, ["doc_id", "term"], "left_semi")
-            .groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("found"))
-        )
-        score = F.when(F.col("n_terms") > 0, F.coalesce(F.col("found"), F.lit(0)) / F.col("n_terms")) \
-            .otherwise(F.lit(0.0))
-        return (
-            run.join(found, ["qid", "doc_id"], "left")
-            .join(n_terms, "qid", "left")
-            .withColumn("pair_score", score.cast("double"))
-            .drop("found", "n_terms")
-        )
+        q = bounded_broadcast(queries.select("qid", F.array_distinct(tokens("query")).alias("_q")))
+        if self.index is None:
+            sets = docs.select("doc_id", F.array_distinct(tokens("text")).alias("_d"))
+        else:
+            vocabulary = bounded_broadcast(q.select(F.explode("_q").alias("term")).distinct())
+            sets = self.index.postings.select("doc_id", "term").join(vocabulary, "term", "left_semi")
+            sets = sets.groupBy("doc_id").agg(F.collect_list("term").alias("_d"))
+        pairs = lookup(run, sets, "doc_id").join(q, "qid", "left")
+        found = F.coalesce(F.size(F.array_intersect("_q", F.coalesce("_d", F.array().cast("array<string>")))), F.lit(0))
+        score = F.when(F.size("_q") > 0, found / F.size("_q")).otherwise(F.lit(0.0))
+        return pairs.withColumn("pair_score", score.cast("double")).drop("_q", "_d")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         q = F.array_distinct(tokens("query"))

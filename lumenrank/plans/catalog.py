@@ -16,7 +16,7 @@ from lumenrank import config as C
 from lumenrank.functions import text as T
 from lumenrank.operators import dense, evaluate, lexical, mining, rank, training
 from lumenrank.operators.ids import dense_index, row_ids_parquet
-from lumenrank.operators.plan import by_key, cut
+from lumenrank.operators.plan import cut
 from lumenrank.plans import compose as P
 from lumenrank.session import work_path
 from lumenrank.sources import fixtures as fx
@@ -56,21 +56,31 @@ def _bm25_run(spark, sf, queries=None) -> DataFrame:
     return cut(lexical.bm25_search(index, q))  # written: evaluation reads it more than once
 
 
-def _doc_vectors(spark, sf) -> DataFrame:
-    return dense.hash_encode(lexical.doc_tokens(fx.corpus(spark, sf)).select("doc_id", "text"))
+def _doc_vectors(spark, sf, tokens: DataFrame | None = None) -> DataFrame:
+    if tokens is not None:
+        return dense.hash_encode(tokens, tokens_col="tokens")
+    return dense.hash_encode(fx.corpus(spark, sf))
 
 
-def _dense_run(spark, sf, queries=None) -> DataFrame:
+def _dense_run(spark, sf, queries=None, tokens: DataFrame | None = None) -> DataFrame:
     q = queries if queries is not None else fx.query_set(spark, sf)
     qv = dense.hash_encode(q.select("qid", "query"), text_col="query")
-    return dense.knn_search(qv, _doc_vectors(spark, sf))
+    return dense.knn_search(qv, _doc_vectors(spark, sf, tokens))
+
+
+def _fused(spark, sf, q) -> tuple[DataFrame, lexical.Bm25Index]:
+    """The fused run and the BM25 index: corpus to both indexes from one token pass."""
+    tokens = lexical.token_table(fx.corpus(spark, sf))
+    index = lexical.build_index(tokens, with_positions=False, materialize=True)
+    dense_run, bm25_run = _dense_run(spark, sf, q, tokens), lexical.bm25_search(index, q)
+    return cut(rank.rrf_fuse(dense_run, bm25_run)), index
 
 
 # ---------------------------------------------------------------- tokens and BM25 tables
 @register("tokens")
 def q_tokens(spark, sf):
-    d = lexical.doc_tokens(fx.corpus(spark, sf))
-    return d.select("doc_id", F.posexplode_outer("tokens").alias("pos", "term")).where(F.col("term").isNotNull()).select(
+    d = fx.corpus(spark, sf)
+    return d.select("doc_id", F.posexplode_outer(T.tokens("text")).alias("pos", "term")).where(F.col("term").isNotNull()).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "term"
     )
 
@@ -147,9 +157,7 @@ def q_dense_text_topk(spark, sf):
 @register("rrf_fusion")
 def q_rrf_fusion(spark, sf):
     q = fx.query_set(spark, sf)
-    return out_run(rank.rrf_fuse(_dense_run(spark, sf, q), _bm25_run(spark, sf, q)))
-
-
+    return out_run(_fused(spark, sf, q)[0])
 
 
 @register("rrf_no_bm25")
@@ -213,22 +221,20 @@ def q_instructed_query(spark, sf):
 @register("offline_eval")
 def q_offline_eval(spark, sf):
     """A saved run, the query file and the pool file, evaluated offline.
-    Queries without any match are left out of the query file, as the job demands."""
+    A query without any match counts as 0."""
     q = fx.query_set(spark, sf)
-    run = _bm25_run(spark, sf, q)
-    order = dense_index(run.select("qid").distinct(), ["qid"], "n")
-    lines = q.join(order, "qid").orderBy("qid").select("query", T.answers_literal("answers")).coalesce(1)
+    order = dense_index(q.select("qid"), ["qid"], "n")  # the place of a query in the file is its id there
     paths = {n: work_path(spark, f"offline-{n}") for n in ("queries", "pool", "run", "hits")}
-    io.write_query_tsv(lines, paths["queries"])
+    io.write_query_tsv(q.orderBy("qid").select("query", T.answers_literal("answers")), paths["queries"])
     io.write_jsonl(fx.corpus(spark, sf).select(F.col("doc_id").alias("id"), "text"), paths["pool"])
-    io.write_run(run.join(order, "qid").select(F.col("n").cast("long").alias("qid"), "rank", "doc_id", "score"), paths["run"])
+    run = _bm25_run(spark, sf, q).join(order, "qid")
+    io.write_run(run.select(F.col("n").cast("long").alias("qid"), "rank", "doc_id", "score"), paths["run"])
     means = P.evaluate_saved(spark, paths["run"], paths["queries"], paths["pool"], paths["hits"])
     return means.select("k", F.round("hit_rate", C.SCORE_DIGITS).alias("hit_rate"))
 
 
 def _embeddings(spark, sf) -> DataFrame:
-    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return by_key(e, "doc_id")  # one search shard per bucket, whatever the table's splits
+    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
 @register("knn_exact")
@@ -250,32 +256,38 @@ def q_knn_single(spark, sf):
 
 @register("encode_hash")
 def q_encode_hash(spark, sf):
-    v = _doc_vectors(spark, sf)
-    return _components(v, "doc_id", "embedding").where(F.col("value") != 0)
+    return _vector_digests(_doc_vectors(spark, sf))
 
 
-# ---------------------------------------------------------------- rerank
-def _fused(spark, sf, q):
-    return cut(rank.rrf_fuse(cut(_dense_run(spark, sf, q)), cut(_bm25_run(spark, sf, q))))
+def _vector_digests(vectors: DataFrame) -> DataFrame:
+    """One row a document: the components that are not 0, in millionths and in order, as one digest."""
+    parts = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), F.round(x * 1e6).cast("bigint").alias("v"))),
+                     lambda p: p["v"] != 0)
+    listed = F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["i"].cast("string"), p["v"].cast("string"))), ",")
+    return vectors.select("doc_id", F.size(parts).cast("bigint").alias("n"), F.md5(listed).alias("digest"))
+
 
+# ---------------------------------------------------------------- rerank
 
 @register("pair_score")
 def q_pair_score(spark, sf):
     q = fx.query_set(spark, sf)
-    pairs = rank.score_pairs(_fused(spark, sf, q), q, fx.corpus(spark, sf))
+    run, index = _fused(spark, sf, q)
+    pairs = rank.score_pairs(run, q, fx.corpus(spark, sf), rank.CoverageScorer(index))
     return pairs.select("qid", "doc_id", F.round("pair_score", C.SCORE_DIGITS).alias("score"))
 
 
 @register("pointwise_rerank")
 def q_pointwise_rerank(spark, sf):
     q = fx.query_set(spark, sf)
-    return out_run(rank.pointwise_rerank(_fused(spark, sf, q), q, fx.corpus(spark, sf)))
+    run, index = _fused(spark, sf, q)
+    return out_run(rank.pointwise_rerank(run, q, fx.corpus(spark, sf), rank.CoverageScorer(index)))
 
 
 @register("listwise_prompt")
 def q_listwise_prompt(spark, sf):
     q = fx.query_set(spark, sf)
-    return rank.listwise_prompts(_fused(spark, sf, q), q, fx.corpus(spark, sf))
+    return rank.listwise_prompts(_fused(spark, sf, q)[0], q, fx.corpus(spark, sf))
 
 
 @register("parse_indices")
@@ -288,7 +300,7 @@ def q_parse_indices(spark, sf):
 @register("listwise_rerank")
 def q_listwise_rerank(spark, sf):
     q = fx.query_set(spark, sf)
-    return out_run(rank.listwise_rerank(_fused(spark, sf, q), fx.listwise_completions(q)))
+    return out_run(rank.listwise_rerank(_fused(spark, sf, q)[0], fx.listwise_completions(q)))
 
 
 # ---------------------------------------------------------------- HyDE
@@ -410,7 +422,7 @@ def q_roundtrip_queries(spark, sf):
     """S4 + C3: the query set as a headerless TSV with list literals, read back and parsed."""
     q = fx.query_set(spark, sf)
     path = work_path(spark, "queries-tsv")
-    io.write_query_tsv(q.orderBy("qid").coalesce(1).select("query", T.answers_literal("answers")), path)
+    io.write_query_tsv(q.orderBy("qid").select("query", T.answers_literal("answers")), path)
     back = io.read_query_tsv(spark, path)
     return back.select("qid", "query", F.array_join("answers", "|").alias("answers"))
 
@@ -421,7 +433,70 @@ def q_roundtrip_vectors(spark, sf):
     path = work_path(spark, "vectors")
     io.write_vectors(_doc_vectors(spark, sf).select(F.col("doc_id").alias("id"), "embedding"), path)
     back = io.read_vectors(spark, path)
-    return _components(back.withColumnRenamed("id", "doc_id"), "doc_id", "embedding").where(F.col("value") != 0)
+    return _vector_digests(back.withColumnRenamed("id", "doc_id"))
+
+
+@register("pool_texts")
+def q_pool_texts(spark, sf):
+    """S3: the pool file's texts alone."""
+    path = work_path(spark, "pool-texts")
+    io.write_jsonl(fx.corpus(spark, sf).select(F.col("doc_id").alias("id"), "text"), path)
+    return io.read_pool_texts(spark, path)
+
+
+@register("training_file")
+def q_training_file(spark, sf):
+    """S5 + C1 + C4: the nested source as files of one JSON array each, read back and made rows."""
+    source = fx.training_source(spark, sf).repartitionByRange(4, "qid")
+    record = F.struct("qid", "question", "positive_ctxs", "hard_negative_ctxs")
+    arrays = source.groupBy(F.spark_partition_id().alias("p")).agg(F.array_sort(F.collect_list(record)).alias("a"))
+    body = F.transform("a", lambda r: F.to_json(F.struct(r["question"].alias("question"), r["positive_ctxs"].alias(
+        "positive_ctxs"), r["hard_negative_ctxs"].alias("hard_negative_ctxs")), {"ignoreNullFields": "false"}))
+    path = work_path(spark, "training-source")
+    arrays = arrays.select("p", F.concat(F.lit("["), F.array_join(body, ","), F.lit("]")).alias("value"))
+    arrays.repartitionByRange(4, "p").select("value").write.text(path)  # one array a file, files in order
+    return _explode_rows(training.training_rows(io.read_training_source(spark, path), "both"))
+
+
+@register("bm25_saved")
+def q_bm25_saved(spark, sf):
+    """K6 + S9: the BM25 index built from one token table, written, opened again and searched."""
+    index = lexical.build_index(lexical.token_table(fx.corpus(spark, sf)), with_positions=False, materialize=True)
+    path = work_path(spark, "bm25-index")
+    io.write_bm25_index(index, path)
+    return out_run(lexical.bm25_search(io.read_bm25_index(spark, path), fx.query_set(spark, sf)))
+
+
+@register("run_evaluated_later")
+def q_run_evaluated_later(spark, sf):
+    """V8 + K2 + S7: the job without evaluation, then hit@k of the run it saved."""
+    q, docs = fx.query_set(spark, sf), fx.corpus(spark, sf)
+    path, _ = P.run_job(P.Inputs(queries=q, docs=docs), set(), work_path(spark, "job"), skip_eval=True)
+    per_q = evaluate.hit_at_k(evaluate.hit_flags(io.read_run(spark, f"{path}/run"), q, docs), q)
+    return evaluate.hit_mean(per_q).select("k", F.round("hit_rate", C.SCORE_DIGITS).alias("hit_rate"))
+
+
+def _mined_files(spark, sf, with_pool: bool) -> DataFrame:
+    """S6 + K4: training JSON lines with a key of their own in, mined lines out, read back."""
+    paths = {n: work_path(spark, f"mine-{n}") for n in ("rows", "pool", "out")}
+    rows = _training(spark, sf).orderBy("qid").select("query", "pos", "neg", F.col("qid").alias("origin"))
+    io.write_jsonl(rows, paths["rows"])
+    if with_pool:
+        io.write_jsonl(fx.corpus(spark, sf).select(F.col("doc_id").alias("id"), "text"), paths["pool"])
+    P.mine_files(spark, paths["rows"], paths["out"], paths["pool"] if with_pool else None, window=C.MINING_RANGE_SCRIPT)
+    back = io.read_training_rows(spark, paths["out"])
+    return back.select("origin", F.posexplode("neg").alias("slot", "text")).select(
+        "origin", F.col("slot").cast("bigint").alias("slot"), "text")
+
+
+@register("mine_files_pool")
+def q_mine_files_pool(spark, sf):
+    return _mined_files(spark, sf, True)
+
+
+@register("mine_files_own")
+def q_mine_files_own(spark, sf):
+    return _mined_files(spark, sf, False)
 
 
 @register("roundtrip_run")
@@ -447,12 +522,14 @@ def q_hit_files(spark, sf):
 def _composed(spark, sf, methods: set[str], rerank_on: bool) -> DataFrame:
     q = fx.query_set(spark, sf)
     docs = fx.corpus(spark, sf)
+    tokens = lexical.token_table(docs) if "mixed" in methods else None
+    index = lexical.build_index(tokens, with_positions=False, materialize=True) if "mixed" in methods else None
     inp = P.Inputs(
-        queries=q, docs=docs,
-        bm25=lexical.build_index(docs, with_positions=False, materialize=True) if "mixed" in methods else None,
+        queries=q, docs=docs, bm25=index,
+        doc_vectors=_doc_vectors(spark, sf, tokens),
         hyde_completions=fx.hyde_completions(q),
         listwise_completions=fx.listwise_completions(q),
-        reranker=rank.coverage_scores if rerank_on else None,
+        reranker=rank.CoverageScorer(index) if rerank_on else None,
     )
     run = P.retrieve(inp, methods)
     flags, _, _ = P.evaluate_run(run, inp)
@@ -474,6 +551,24 @@ def q_composed_full(spark, sf):
     return _composed(spark, sf, P.parse_methods("mixed,hyde,listwise_rerank"), True)
 
 
+def _half(prompts: list[str], _n: int) -> list[str]:
+    """A stand-in model: the first half of a question's words; second and first of any list."""
+    start, end = len(C.HYDE_PROMPT_PREFIX), -len(C.HYDE_PROMPT_SUFFIX)
+    out = []
+    for p in prompts:
+        words = p[start:end].split(" ")
+        out.append("2 1" if p.endswith(C.LISTWISE_PROMPT_SUFFIX) else " ".join(words[:(len(words) + 1) // 2]))
+    return out
+
+
+@register("composed_generated")
+def q_composed_generated(spark, sf):
+    """D4 inside the job: a generator makes the HyDE texts and the listwise answers."""
+    q, docs = fx.query_set(spark, sf), fx.corpus(spark, sf)
+    run = P.retrieve(P.Inputs(queries=q, docs=docs, generator=_half), P.parse_methods("hyde,listwise_rerank"))
+    return out_run(run)
+
+
 @register("stream_bm25_topk")
 def q_stream_bm25_topk(spark, sf):
     """R4 over the benchmark file as a stream source: each micro-batch of query

@@ -78,12 +78,13 @@ def retrieve(inp: Inputs, methods: set[str], depth: int = C.DEPTH, encode=dense.
     sq = cut(search_queries(inp, methods))
     vecs = inp.doc_vectors
     if vecs is None:
-        vecs = encode(lexical.doc_tokens(inp.docs).select("doc_id", "text"))
+        vecs = encode(inp.docs.select("doc_id", "text"))
     qv = encode(sq.select("qid", "search"), text_col="search")
-    run = cut(dense.knn_search(qv, vecs, k=depth))                       # R1 / R6
+    run = dense.knn_search(qv, vecs, k=depth)                            # R1 / R6
     if "mixed" in methods and inp.bm25 is not None:
-        bm = cut(lexical.bm25_search(inp.bm25, sq, k=depth, text_col="search"))
-        run = cut(rank.rrf_fuse(run, bm))                               # R5
+        run = cut(rank.rrf_fuse(run, lexical.bm25_search(inp.bm25, sq, k=depth, text_col="search")))   # R5
+    else:
+        run = cut(run)
     if inp.reranker is not None:
         run = cut(rank.pointwise_rerank(run, inp.queries, inp.docs, inp.reranker))   # R7, raw query
     if "listwise_rerank" in methods:
@@ -123,13 +124,14 @@ def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = Fals
 
 def evaluate_saved(spark, run_path: str, queries_path: str, pool_path: str, out_dir: str, ks=C.HIT_KS) -> DataFrame:
     """Offline evaluation: a saved run, the query file with its answers and the pool, to
-    one hit table per k under ``out_dir``. The run must cover exactly the query set."""
+    one hit table per k under ``out_dir``. A query without rows counts as 0; a run of queries
+    that are not in the file is an error."""
     from lumenrank.sources import io
 
     queries = io.read_query_tsv(spark, queries_path)
     docs = io.read_pool_jsonl(spark, pool_path).withColumnRenamed("id", "doc_id")
     run = io.read_run(spark, run_path)
-    evaluate.check_alignment(run, queries)
+    evaluate.check_alignment(run, queries, allow_empty=True)
     per_q = cut(evaluate.hit_at_k(evaluate.hit_flags(run, queries, docs), queries, ks))
     io.write_hits(per_q, out_dir)
     release_checked()

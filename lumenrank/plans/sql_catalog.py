@@ -44,7 +44,7 @@ sql("hit_mean", f"""WITH {O.QS}, {O.bm25_ctes()}, {O.hits_ctes('bm25')}
 SELECT k, round(avg(hit), 6) AS hit_rate FROM hits_k GROUP BY k""")
 
 sql("offline_eval", f"""WITH {O.QS}, {O.bm25_ctes()}, {O.hits_ctes('bm25')}
-SELECT k, round(avg(hit), 6) AS hit_rate FROM hits_k WHERE qid IN (SELECT qid FROM bm25) GROUP BY k""")
+SELECT k, round(avg(hit), 6) AS hit_rate FROM hits_k GROUP BY k""")
 
 sql("dense_text_topk", f"""WITH {O.QS}, {O.dense_text_ctes('qs', 'qid', 'query', 'documents', 'doc_id', 'text')}
 {O.run_select('dense')}""")
@@ -110,8 +110,10 @@ dv AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
 {_KNN} {O.run_select('knn')}""")
 
 sql("encode_hash", f"""WITH {O.hashvec_ctes('documents', 'doc_id', 'text', 'hv')}
-SELECT h.key AS doc_id, h.bucket::BIGINT AS i, round(h.v / n.norm, 6) AS value
-FROM hv h JOIN hv_n n USING (key) WHERE h.v <> 0""")
+SELECT d.doc_id, count(h.bucket) AS n,
+       md5(coalesce(string_agg(h.bucket || ':' || CAST(round(h.v / m.norm * 1000000) AS BIGINT), ',' ORDER BY h.bucket), '')) AS digest
+FROM documents d LEFT JOIN (SELECT * FROM hv WHERE v <> 0) h ON h.key = d.doc_id LEFT JOIN hv_n m ON m.key = d.doc_id
+WHERE d.text IS NOT NULL GROUP BY d.doc_id""")
 
 # ---------------------------------------------------------------- rerank
 _FUSED = f"""{O.QS}, {O.bm25_ctes()}, {_DENSE}, {O.rrf_ctes('dense', 'bm25')}"""
@@ -178,7 +180,19 @@ txt AS (SELECT unnest(pos) AS text FROM tr_src UNION ALL SELECT unnest(hn) FROM
 SELECT (row_number() OVER (ORDER BY md5(text), text) - 1)::BIGINT AS idx, text
 FROM (SELECT DISTINCT text FROM txt WHERE text IS NOT NULL)""")
 
-_MINE = f"""{_TR}, tr AS (SELECT qid, query, pos, hn AS neg FROM tr_src), {_CORPUS},
+# stride: the first number from the golden section of N on that is coprime with N, reduced mod N
+_GOLDEN = "greatest(1, CAST(floor(nc.n * 0.6180339887498949) AS BIGINT))"
+STRIDE_SQL = (f"(list_min(list_filter(range({_GOLDEN}, {_GOLDEN} + 1000), lambda s: gcd(s, nc.n) = 1)) % nc.n)")
+_ROWS = "tr AS (SELECT qid, query, pos, hn AS neg FROM tr_src)"
+# read from a file, a row's id is its place there
+_FILE_ROWS = """tr AS (SELECT (row_number() OVER (ORDER BY qid) - 1)::BIGINT AS qid, qid AS origin, query, pos, hn AS neg
+       FROM tr_src)"""
+_OWN_CORPUS = """txt AS (SELECT unnest(pos) AS text FROM tr_src UNION ALL SELECT unnest(hn) FROM tr_src),
+corp AS (
+  SELECT (row_number() OVER (ORDER BY md5(text), text) - 1)::BIGINT AS idx, text
+  FROM (SELECT DISTINCT text FROM txt WHERE text IS NOT NULL))"""
+
+_MINE = f"""{_TR}, {{rows}}, {{corpus}},
 {O.dense_text_ctes('tr', 'qid', 'query', 'corp', 'idx', 'text', k='{hi}', name='mk')},
 win AS (SELECT qid, rank, doc_id AS idx, score FROM mk WHERE rank > {{lo}} AND rank <= {{hi}}),
 filt AS (
@@ -216,8 +230,10 @@ final AS (
   FROM mined m)"""
 
 
-def _mine_sql(select: str, window: str = "2-200") -> str:
-    return f"__MINE__{window}__" + select
+def _mine_sql(select: str, window: str = "2-200", rows: str = _ROWS, corpus: str = _CORPUS) -> str:
+    lo, hi = window.split("-")
+    chain = _MINE.replace("{rows}", rows).replace("{corpus}", corpus).replace("{stride}", STRIDE_SQL)
+    return f"WITH {chain.replace('{lo}', lo).replace('{hi}', hi)} {select}"
 
 
 sql("mine_window", _mine_sql("SELECT qid, CAST(rank AS BIGINT) AS rank, idx, round(score, 6) AS score FROM win"))
@@ -228,7 +244,19 @@ _FINAL_ROWS = ("SELECT qid, (t.i - 1)::BIGINT AS slot, t.x AS text, CASE WHEN le
 sql("mine_backfilled", _mine_sql(_FINAL_ROWS))
 sql("mine_backfill_narrow", _mine_sql(_FINAL_ROWS, "2-12"))
 
+_FILE_SELECT = "SELECT t.origin, (x.i - 1)::BIGINT AS slot, x.x AS text FROM final f JOIN tr t USING (qid), unnest(f.neg) WITH ORDINALITY AS x(x, i)"
+sql("mine_files_pool", _mine_sql(_FILE_SELECT, rows=_FILE_ROWS))
+sql("mine_files_own", _mine_sql(_FILE_SELECT, rows=_FILE_ROWS, corpus=_OWN_CORPUS))
+
 # ---------------------------------------------------------------- sources and sinks
+sql("pool_texts", "SELECT text FROM documents")
+sql("training_file", f"""WITH {_TR}, tr AS (SELECT (row_number() OVER (ORDER BY qid) - 1)::BIGINT AS qid, query, pos, hn AS neg FROM tr_src)
+SELECT qid, 'query' AS kind, 0::BIGINT AS pos, query AS text FROM tr
+UNION ALL SELECT qid, 'pos', (t.i - 1)::BIGINT, t.x FROM tr, unnest(pos) WITH ORDINALITY AS t(x, i)
+UNION ALL SELECT qid, 'neg', (t.i - 1)::BIGINT, t.x FROM tr, unnest(neg) WITH ORDINALITY AS t(x, i)""")
+sql("bm25_saved", f"""WITH {O.QS}, {O.bm25_ctes()} {O.run_select('bm25')}""")
+sql("run_evaluated_later", f"""WITH {O.QS}, {_DENSE}, {O.hits_ctes('dense')}
+SELECT k, round(avg(hit), 6) AS hit_rate FROM hits_k GROUP BY k""")
 sql("roundtrip_tsv", "SELECT doc_id AS id, text FROM documents")
 sql("roundtrip_jsonl", "SELECT doc_id AS id, text FROM documents")
 sql("roundtrip_queries", f"""WITH {O.QS} SELECT qid, query, array_to_string(answers, '|') AS answers FROM qs""")
@@ -253,19 +281,13 @@ sql("composed_full", f"""WITH {O.QS}, {_SQ},
 {O.hits_ctes('lw')} {_PIPE_HITS}""")
 
 
+sql("composed_generated", f"""WITH {O.QS},
+sq AS (SELECT qid, query, coalesce(nullif({O.strip_sql('half')}, ''), query) AS search FROM (
+  SELECT qid, query, array_to_string(list_slice(w, 1, (len(w) + 1) // 2), ' ') AS half
+  FROM (SELECT qid, query, string_split(query, ' ') AS w FROM qs))),
+{O.dense_text_ctes('sq', 'qid', 'search', 'documents', 'doc_id', 'text')},
+lc AS (SELECT qid, '2 1' AS completion FROM qs), {O.listwise_ctes('dense')} {O.run_select('lw')}""")
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL per query; the mining chain gets its corpus-size-dependent stride filled in lazily."""
-    out = {}
-    for k, v in SQL.items():
-        if v.startswith("__MINE__"):
-            window, body = v[len("__MINE__"):].split("__", 1)
-            lo, hi = window.split("-")
-            mine = _MINE.replace("{stride}", STRIDE_SQL).replace("{lo}", lo).replace("{hi}", hi)
-            v = f"WITH {mine} " + body
-        out[k] = v
-    return out
-
-
-# stride = first prime of the list that does not divide N, reduced mod N
-_GOLDEN = "greatest(1, CAST(floor(nc.n * 0.6180339887498949) AS BIGINT))"
-STRIDE_SQL = (f"(list_min(list_filter(range({_GOLDEN}, {_GOLDEN} + 1000), lambda s: gcd(s, nc.n) = 1)) % nc.n)")
+    return dict(SQL)

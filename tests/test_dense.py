@@ -86,13 +86,39 @@ def test_model_encoder_pools_normalises_and_skips_nulls(spark):
     assert np.allclose(got[1], np.array([4.0, 1.0]) / np.sqrt(17))
 
 
-def test_many_query_blocks_leave_no_plan_behind(spark):
-    d = {i: np.array([float(i), 1.0]) for i in range(50)}
-    q = {i: np.array([1.0, float(i)]) for i in range(40)}
-    runs = [dense.knn_search(vec_df(spark, q, "qid"), vec_df(spark, d, "doc_id"), k=3, block_bytes=b) for b in (1 << 20, 100)]
-    one, many = (len(r._jdf.queryExecution().optimizedPlan().toString()) for r in runs)
-    assert abs(one - many) < 100
-    assert sorted(rows(runs[0])) == sorted(rows(runs[1]))
+def test_tiles_are_one_plan_without_the_driver(spark, monkeypatch):
+    """Many groups on either side, single-precision vectors, no collect of any vector."""
+    rng = np.random.default_rng(3)
+    d = {i: rng.normal(size=6).astype(np.float32) for i in range(400)}
+    q = {i: rng.normal(size=6).astype(np.float32) for i in range(90)}
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 500)
+
+    def f32(m, key):
+        return vec_df(spark, m, key).withColumn("embedding", F.col("embedding").cast("array<float>")).repartition(5)
+
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: 1 / 0)
+    want = brute({i: v.astype(float) for i, v in q.items()}, {i: v.astype(float) for i, v in d.items()}, 7)
+    for block, groups in ((1 << 20, None), (800, 11), (200, 1)):
+        got = dense.knn_search(f32(q, "qid"), f32(d, "doc_id"), k=7, block_bytes=block, corpus_groups=groups)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Broadcast" not in plan
+        assert sorted(rows(got, "qid", "rank", "doc_id", "score")) == want
+
+
+def test_corpus_is_encoded_once(spark):
+    """Whatever the number of query groups, each corpus text meets the model once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(60)], "doc_id long, text string")
+    q = vec_df(spark, {i: np.array([1.0, float(i)]) for i in range(40)}, "qid")
+    got = dense.knn_search(q, dense.model_encoder(model, 2)(docs), k=3, block_bytes=100)
+    assert got.count() == 120 and calls.value == 60
 
 
 def test_wrong_vectors_fail_and_null_vectors_are_skipped(spark):
@@ -103,4 +129,4 @@ def test_wrong_vectors_fail_and_null_vectors_are_skipped(spark):
     assert rows(dense.knn_search(q, nulls, k=5), "doc_id") == [(1,)]
     odd = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "doc_id long, embedding array<double>")
     with pytest.raises(Exception, match="vectors of length"):
-        dense.knn_search(q, odd, k=5)
+        dense.knn_search(q, odd, k=5).collect()

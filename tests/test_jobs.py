@@ -114,7 +114,10 @@ def test_offline_evaluation(spark, tmp_path):
         .write.parquet(run)
     means = P.evaluate_saved(spark, run, qs, pool, str(tmp_path / "hits"), ks=(1, 2))
     assert sorted(rows(means, "k", "hit_rate")) == [(1, 0.0), (2, 0.5)]
-    one = spark.read.parquet(run).where("qid = 0")
+    one = spark.read.parquet(run).where("qid = 0")  # the other query matched nothing: it counts as 0
     one.write.parquet(run + "-part")
+    means = P.evaluate_saved(spark, run + "-part", qs, pool, str(tmp_path / "hits2"), ks=(1, 2))
+    assert sorted(rows(means, "k", "hit_rate")) == [(1, 0.0), (2, 0.5)]
+    one.selectExpr("qid + 7 AS qid", "rank", "doc_id", "score").write.parquet(run + "-odd")
     with pytest.raises(AlignmentError):
-        P.evaluate_saved(spark, run + "-part", qs, pool, str(tmp_path / "hits2"))
+        P.evaluate_saved(spark, run + "-odd", qs, pool, str(tmp_path / "hits3"))

@@ -34,7 +34,7 @@ def test_knn_plan_has_no_pair_join(spark):
     run.collect()
     text = plan_text(run)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "FileScan" in text  # the written run; scoring ran block by block
+    assert "FlatMapCoGroupsInArrow" in text  # tiles, of which a query keeps at most k rows each
 
 
 def test_results_do_not_depend_on_partitioning(spark):
