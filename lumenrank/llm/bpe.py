@@ -4,11 +4,14 @@ The driver reads the rank file once and broadcasts its bytes (checked against
 ``MAX_RANK_BYTES``), so executors need no copy of it. Each Python worker builds one
 ``tiktoken.Encoding`` and encodes Arrow batches. A text over ``PIECE_CHARS``
 characters is first cut at safe boundaries, so no call holds the tokens of an
-unbounded text; the ids are the same as for the whole text.
+unbounded text; the ids are the same as for the whole text. A run of ``LONG_SPACE``
+white-space characters, which the pattern matcher could not take, is cut out by the
+pattern's own rule and encoded as the one piece that it is.
 
 Edge cases: a null text counts as empty; an empty text has no ids and decodes to
-empty bytes; repeated rows are encoded each; an empty table gives an empty
-result; extra columns are not read.
+empty bytes; repeated rows are encoded each; texts of any length, and any run of one
+character in them, are encoded whole; an empty table gives an empty result; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +37,11 @@ PIECE_CHARS = 1 << 18
 # white space starts afresh there. Cutting there changes neither side.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \t\n])")
 
+#: White-space characters in a row that are not left to the pattern matcher.
+LONG_SPACE = 10_000
+# White space as the pattern has it: Python's, without the four separators of ASCII.
+_SPACES = re.compile(rf"[^\S\x1c-\x1f]{{{LONG_SPACE},}}")
+
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 
@@ -68,10 +76,19 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= PIECE_CHARS:
+    if len(text) < LONG_SPACE:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for piece in pieces(text):
+    start = 0
+    for run in _SPACES.finditer(text):
+        # A match of the pattern ends where white space begins. The run is one match; of one that
+        # text follows, the last character is left to what follows.
+        end = run.end() - (run.end() < len(text))
+        for piece in pieces(text[start:run.start()]):
+            ids.extend(enc.encode_ordinary(piece))
+        ids.extend(enc._encode_single_piece(text[run.start():end]))
+        start = end
+    for piece in pieces(text[start:]):
         ids.extend(enc.encode_ordinary(piece))
     return ids
 

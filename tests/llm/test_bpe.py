@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import public_tokenizers
 import pytest
@@ -32,6 +33,25 @@ def test_round_trip_equals_the_library(spark):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_long_white_space(spark, monkeypatch):
+    """Runs that the matcher cannot take; short limits against the library, long runs by their bytes."""
+    for text in ("a  \n\n  b", "  \t\t\x0b  x", "x \u00a0\u3000\u2003 y", "\n\n\n\n", "a \x1c\x1d  \x85\x85 b", "    ", "é\u2028\u2029  \n"):
+        monkeypatch.setattr(bpe, "LONG_SPACE", 2)
+        monkeypatch.setattr(bpe, "_SPACES", re.compile(r"[^\S\x1c-\x1f]{2,}"))
+        assert bpe.encode_text(ENC, text) == ENC.encode_ordinary(text), text
+    monkeypatch.undo()
+    big = [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 2_000_000 + "b" + "\n" * 1_500_000, "\t " * 1_000_000 + "."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(big)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.round_trip(df).collect()}
+    for i, t in enumerate(big):
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+        middle = " ".join(map(str, bpe.encode_text(ENC, t)))
+        assert got[i]["ids_sha256"] == hashlib.sha256(middle.encode()).hexdigest()
+    for size in (9_999, 10_000, 10_001, 200_000):  # around the limit, where the library still answers
+        for text in (" " * size, "x" + "\n" * size + "y", "1" + " \n" * size, " " * size + "1" + "\t" * size):
+            assert bpe.encode_text(ENC, text) == ENC.encode_ordinary(text)
+
+
 def test_encode_and_decode_lists(spark):
     df = spark.createDataFrame([(1, "naïve café"), (2, None)], "doc_id long, text string")
     ids = bpe.encode(df)
