@@ -15,7 +15,8 @@ aggregates before its shuffle as well. No fingerprint reaches the driver.
 
 Edge cases: a null text counts as empty; empty texts are equal to each other; of
 equal length the smallest id stays, null ids last, and of fully equal rows the
-first read; an empty table gives an empty result; extra columns are not read.
+first read; a text of any length is hashed and compared whole; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ from pyspark.sql import functions as F
 
 from lumenrank.llm.common import SPACE_BYTES, documents, written
 
-#: Fingerprint ranges; raise it with the corpus (one owner holds rows / OWNERS x ~6 bytes).
-OWNERS = 64
+#: Rows per owner of a fingerprint range, so that one owner's fingerprints fit in one task at any size.
+ROWS_PER_OWNER = 1_000_000
+LEAST_OWNERS = 64
+#: Groups with more than this share (1 / HEAVY) of the rows in groups are joined by broadcast: at most so many.
+HEAVY = 1000
 
 
 def rice_encode(values: np.ndarray, k: int) -> bytes:
@@ -120,8 +124,10 @@ def _answer(messages: pa.Table) -> pa.Table:
     return pa.table({"chunk": messages["chunk"], "owner": messages["owner"], "bitmap": pa.array(bitmaps, pa.binary())})
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int = OWNERS) -> DataFrame:
-    """Per row: ``(id_col, keep_id, group_size, kept, text_sha256)``."""
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
+    """Per row: ``(id_col, keep_id, group_size, kept, text_sha256)``. ``owners``: fingerprint
+    ranges; by default their number follows the row count."""
+    owners = owners or max(LEAST_OWNERS, -(-df.count() // ROWS_PER_OWNER))
     id_type = df.schema[id_col].dataType.simpleString()
     kept_cols = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = written(kept_cols.mapInArrow(
@@ -145,7 +151,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "text_sha256", "keep", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(
                 F.raise_error(F.lit("two different texts share a SHA-256 digest"))).alias("group_size")),
         "groups")
-    out = rows.drop("norm").join(groups, "text_sha256", "left")
+    # Groups that hold many rows are few (at most HEAVY): theirs are not gathered in a task.
+    rows = rows.drop("norm")
+    limit = (groups.agg(F.sum("group_size")).first()[0] or 0) // HEAVY + 1
+    hot, other = groups.filter(F.col("group_size") > limit), groups.filter(F.col("group_size") <= limit)
+    out = rows.join(F.broadcast(hot), "text_sha256").unionByName(
+        rows.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti").join(other, "text_sha256", "left"))
     is_kept = F.coalesce((F.col("keep.chunk") == F.col("chunk")) & (F.col("keep.row") == F.col("row")), F.lit(True))
     return out.select(
         F.col("id").alias(id_col),

@@ -43,6 +43,18 @@ def test_against_brute_force(spark, batch):
     assert got == brute(rows)
 
 
+def test_owners_follow_the_rows(spark, monkeypatch):
+    asked = []
+    make = E._fingerprint_batches
+    monkeypatch.setattr(E, "_fingerprint_batches", lambda id_col, owners: asked.append(owners) or make(id_col, owners))
+    monkeypatch.setattr(E, "ROWS_PER_OWNER", 10)
+    monkeypatch.setattr(E, "HEAVY", 1)  # and groups by both ways out
+    rows = [(i, f"text {i % 900 if i % 3 else 0}") for i in range(2000)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])
+           for r in E.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert asked == [200] and got == brute(rows)
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "t"), (1, "t"), (None, "t"), (None, "u")], "doc_id long, text string")
     got = E.exact_groups(df).collect()
