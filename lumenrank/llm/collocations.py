@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lumenrank.llm.common import documents, written
 from lumenrank.llm.quotient import Filter, U, half_bits, pack, permute, restore, unpack
 
-MIN_COUNT, TOP, CONTAINED = 10, 2000, 50
+MIN_COUNT, TOP, CONTAINED, PARTS = 10, 2000, 50, 16
 #: Tokens per chunk; bytes from which a text is cut at the ends of pieces; words per task; tokens
 #: counted at once; log2 of the filters that one merge task takes.
 CHUNK_TOKENS, LONG_TEXT, TASK_WORDS, SLICE, FAN_BITS = 1_500_000, 1 << 23, 1_000_000, 1 << 22, 8
@@ -300,8 +300,12 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", cut.alias("cut")).select(
         "lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
+    # First within parts of a language, so that the last window gets no more than PARTS * top rows of it.
+    order = (F.col("score").desc(), F.col("a").desc(), "phrase")
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    ranked = two.unionByName(three).withColumn("part", part)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
