@@ -8,18 +8,20 @@ equal bytes:
    its size, decided by a hash of the row) gives quantile boundaries for ``ranges`` ranges.
 2. Every row finds its range by binary search in the boundaries. Ranges are measured
    exactly, and an overfull one (more rows than ``OVERFULL`` mean ranges, or ``max_rows``) is
-   subdivided by a second hash: of the key, or of the row in a group of equal texts that is
-   overfull by itself. So a group with a third of all rows is spread over many tasks.
+   subdivided by a second hash of the key. A group of equal texts that is overfull by itself
+   follows its range as ranges of its own, subdivided by a hash of the row. So a group with a
+   third of all rows is spread over many tasks, and yet stands together in the order.
 3. The few range totals are summed up in order; inside a range a window gives each row
    its place and the bytes before it. Place and bytes decide shard and slot.
 
-A group of equal texts stays in one shard unless it is larger than ``GROUP_SHARE`` of a
-shard: then its rows are cut like any others. No task holds more than one (sub)range; the
+A group of equal texts stays in one shard, however many rows it has, unless its bytes are
+more than ``GROUP_SHARE`` of a shard: then its rows are cut like any others. No task holds more than one (sub)range; the
 only one-task window runs over the range totals.
 
 Edge cases: a null text has size 1 and the checksum of the empty text; equal rows take
-neighbouring slots; rows without an id are placed like others; an empty table gives an
-empty result; fewer rows than shards leave shards empty; extra columns are not read.
+neighbouring slots; rows without an id are placed like others; a text of any length is one
+row of its size; an empty table gives an empty result; fewer rows than shards leave shards
+empty; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ RANGES = 256
 SAMPLE_PER_RANGE = 64
 #: Rows that one window task orders at most, by expectation.
 MAX_ROWS = 500_000
-#: A range is overfull from so many mean ranges on.
-OVERFULL = 2
+#: A range is overfull from so many mean ranges on, but not with fewer rows than LEAST_ROWS.
+OVERFULL, LEAST_ROWS = 2, 1000
 #: Groups of equal texts up to this share of a shard's bytes are never cut.
 GROUP_SHARE = 0.02
 
@@ -82,27 +84,36 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     quota = total / shards
 
     placed = keyed.withColumn("range", range_of(F.col("key"), splitters(keyed, total, ranges)))
-    limit = max(1, min(max_rows, OVERFULL * (sums["rows"] or 0) // ranges))
-    parts = placed.groupBy("range").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
-    heavy = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key", F.lit(True).alias("heavy"))
+    limit = min(max_rows, max(LEAST_ROWS, OVERFULL * (sums["rows"] or 0) // ranges))
+    heavy = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter(F.col("n") > limit).select(
+        "key", F.ceil(F.col("n") / limit).cast("int").alias("own_parts"), F.col("bytes").alias("own_bytes")), "heavy-keys")
     # At most `ranges` rows, and at most rows / limit keys: proven bounds for the broadcasts.
-    placed = placed.join(F.broadcast(parts), "range").join(F.broadcast(heavy), "key", "left")
-    spread = F.when(F.col("heavy"), F.xxhash64(F.lit("sub"), "doc_id", "key")).otherwise(F.xxhash64(F.lit("sub"), "key"))
-    placed = placed.withColumn("sub", F.pmod(spread, F.col("parts").cast("long")).cast("int"))
-    rows = written(placed.drop("parts", "heavy"), "shard-ranges")
-
-    totals = rows.groupBy("range", "sub").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    before = Window.orderBy("range", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("range", "sub", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"),
+    placed = placed.join(F.broadcast(heavy), "key", "left")
+    parts = placed.filter("own_parts IS NULL").groupBy("range").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    placed = placed.join(F.broadcast(parts), "range", "left")
+    alone = F.col("own_parts").isNotNull()
+    sub = F.when(alone, F.pmod(F.xxhash64(F.lit("sub"), "doc_id", "key"), F.col("own_parts").cast("long"))).otherwise(
+        F.pmod(F.xxhash64(F.lit("sub"), "key"), F.col("parts").cast("long")))
+    # Order: the range's rows, then its overfull groups one by one.
+    unit = ["range", "alone", "own", "sub"]
+    rows = written(placed.select("doc_id", "size", "text_crc32", "key", "range", alone.alias("alone"),
+                                 F.when(alone, F.col("key")).otherwise(0).alias("own"), sub.cast("int").alias("sub"), "own_bytes"),
+                   "shard-ranges")
+
+    totals = rows.groupBy(*unit).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    before = Window.orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*unit, F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"),
                             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("range", "sub").orderBy("key", "doc_id")
+    offsets = offsets.withColumn("own0", F.min("b0").over(Window.partitionBy("range", "alone", "own")))
+    inside = Window.partitionBy(*unit).orderBy("key", "doc_id")
     run = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    group = Window.partitionBy("range", "sub", "key")
+    group = Window.partitionBy(*unit, "key")
     rows = (rows.withColumn("b1", F.sum("size").over(run)).withColumn("n1", F.row_number().over(inside))
             .withColumn("g_end", F.max("b1").over(group)).withColumn("g_size", F.sum("size").over(group)))
-    rows = rows.join(offsets, ["range", "sub"])
-    whole = F.col("g_size") <= F.lit(GROUP_SHARE * quota)
-    middle = F.col("b0") + F.when(whole, F.col("g_end") - F.col("g_size") / 2).otherwise(F.col("b1") - F.col("size") / 2)
+    rows = rows.join(offsets, unit)
+    bytes_ = F.when(F.col("alone"), F.col("own_bytes")).otherwise(F.col("g_size"))
+    end = F.when(F.col("alone"), F.col("own0") + F.col("own_bytes")).otherwise(F.col("b0") + F.col("g_end"))
+    middle = F.when(bytes_ <= F.lit(GROUP_SHARE * quota), end - bytes_ / 2).otherwise(F.col("b0") + F.col("b1") - F.col("size") / 2)
     number = F.least(F.floor(middle / F.lit(max(quota, 1e-9))), F.lit(shards - 1)).cast("int")
     rows = written(rows.select("doc_id", "size", "text_crc32", number.alias("shard"),
                                (F.col("n0") + F.col("n1") - 1).alias("place")), "shard-places")
