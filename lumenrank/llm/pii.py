@@ -29,12 +29,12 @@ CONTEXT_BONUS = 0.3
 # class, or what follows the last match; the same holds for digits of an ip.
 KINDS = [
     ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9,
-     "mail|contact|write"),
-    ("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|address|host|server"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|credit|payment"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|call|tel|mobile|fax"),
+     "e?mails?|contact|write"),
+    ("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|address|addresses|hosts?|servers?"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "cards?|visa|credit|payments?"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phones?|calls?|tel|mobile|fax"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8,
-     "iban|account|bank|transfer"),
+     "iban|accounts?|bank|transfers?"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4, "ssn|social security|tax id"),
 ]
 BASE = ["email", "ip", "card", "phone"]
@@ -102,7 +102,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
         def scored(s: Column) -> Column:
             near = F.concat_ws("\n", *surrounding(f"raw_{kind}", s, CONTEXT))
-            score = F.lit(prior) + F.when(F.lower(near).rlike(rf"\b(?:{context})"), CONTEXT_BONUS).otherwise(0.0)
+            score = F.lit(prior) + F.when(F.lower(near).rlike(rf"\b(?:{context})\b"), CONTEXT_BONUS).otherwise(0.0)
             return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"),
                             F.lit(kind).alias("kind"), s["found"].alias("found"), F.least(score, F.lit(1.0)).alias("score"))
 
@@ -114,9 +114,11 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """Query: personal data in every whole text of ``documents``."""
+    """Query: personal data in every whole text of ``documents``, with each span's score."""
     found = find(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(BASE))
+    # In the order of ``spans``, in hundredths.
+    scores = F.array_join(F.transform(F.array_sort("spans"), lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
     return found.select(
         "doc_id", *[F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
-        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
