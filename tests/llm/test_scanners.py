@@ -100,6 +100,27 @@ def test_added_pii_kinds(spark):
     assert got == {0: [("iban", "GB82 WEST 1234 5698 7654 32")], 1: [], 2: [("ssn", "123-45-6789")], 3: [], 4: []}
 
 
+def test_scores_come_through_the_query(spark):
+    """Per span its kind's prior, and 0.3 more beside a context word, whole words only."""
+    rows = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    text = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    seen = set()
+    for r in pii.op7(spark, SF01).collect():
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        scores = [int(x) for x in r["scores"].split(",") if x]
+        assert len(spans) == len(scores)
+        for (kind, lo, hi), score in zip(spans, scores):
+            prior, words = next((p, w) for k, _, p, w in pii.KINDS if k == kind)
+            t, lo, hi = text[r["doc_id"]], int(lo), int(hi)
+            near = t[max(0, lo - 40):lo] + "\n" + t[hi:hi + 40]
+            raised = bool(re.search(rf"\b(?:{words})\b", near.lower(), re.A))
+            assert score == round(100 * min(1.0, prior + 0.3 * raised)), (kind, near)
+            seen.add((kind, raised))
+    assert len(seen) >= 4
+    one = frame(spark, ["lorem ipsum 10.1.2.3 dolor", "the ip 10.1.2.3"])
+    assert [s["score"] for r in sorted(pii.find(one).collect(), key=lambda r: r["doc_id"]) for s in r["spans"]] == [0.6, 0.9]
+
+
 def test_context_raises_the_score(spark):
     rows = ["call +1 555 010 2345", "nothing +1 555 010 2345"]
     got = {r["doc_id"]: r["spans"][0]["score"] for r in pii.find(frame(spark, rows)).collect()}
@@ -114,8 +135,28 @@ def test_ledger_scans_only_what_is_new(spark):
     found, new = secrets.scan(second, ledger=entries)
     assert new.count() == 1
     assert {r["doc_id"]: len(r["spans"]) for r in found.collect()} == {10: 0, 11: 1, 12: 1, None: 0}
+    assert {r["doc_id"]: r["scanned"] for r in found.collect()} == {10: False, 11: True, 12: False, None: False}
     _, anew = secrets.scan(second, ledger=entries, rules_version=2)
     assert anew.count() == 4
+    twice, none = secrets.scan(second, ledger=entries.unionByName(new).unionByName(new).unionByName(entries))
+    assert none.count() == 0 and sorted(map(str, twice.drop("scanned").collect())) == sorted(map(str, found.drop("scanned").collect()))
+
+
+def test_hot_blobs_keep_their_findings(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "HOT_BLOBS", 10)
+    rows = ["password=abcdef"] * 200 + [f"text {i}" for i in range(300)] + ["token=zzzzzz", None, None]
+    found, new = secrets.scan(frame(spark, rows))
+    assert digest(found, secrets.BASE) == {i: brute(t, SECRETS)[0] for i, t in enumerate(rows)}
+    assert new.count() == 303
+
+
+def test_query_skips_what_the_ledger_has(spark):
+    import zlib
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    first = {t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 2 == 0}
+    got = {r["doc_id"]: r["scanned"] for r in secrets.op9(spark, SF01).collect()}
+    assert got == {i: t not in first for i, t in docs.items()} and len(set(got.values())) == 2
 
 
 def test_empty_tables(spark):
