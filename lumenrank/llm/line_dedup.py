@@ -68,11 +68,14 @@ def _filled(lines: Column) -> Column:
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, id, i, name, words)``: one row per line with words; ``i`` numbers these."""
-    lines = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("doc"),
-                        F.posexplode(_filled(_lines(F.col(text_col)))).alias("i", "x"))
-    line = F.col("x.line")
-    words = F.regexp_count(line, F.lit(r"[^ \t\x0B\x0C\r]+"))
-    return lines.select("doc", "id", "i", _hash(F.encode(line, "UTF-8")).alias("name"), words.alias("words"))
+    filled = F.filter(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
+    lines = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("doc"), F.posexplode(filled).alias("i", "x"))
+    lines = lines.withColumn("line", F.btrim("x", F.lit(_BLANK)))
+    # Blanks part words one by one in most lines; elsewhere the words themselves are counted.
+    spaced = F.translate("line", _BLANK, " " * len(_BLANK))
+    words = F.when(F.contains(spaced, F.lit("  ")), F.regexp_count("line", F.lit(r"[^ \t\x0B\x0C\r]+"))).otherwise(
+        F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
+    return lines.select("doc", "id", "i", _hash(F.encode("line", "UTF-8")).alias("name"), words.alias("words"))
 
 
 def _by_name(rows: DataFrame, names: DataFrame, limit: int, how: str) -> DataFrame:
