@@ -68,13 +68,23 @@ def _filled(lines: Column) -> Column:
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, id, i, name, words)``: one row per line with words; ``i`` numbers these."""
-    filled = F.filter(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
-    lines = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("doc"), F.posexplode(filled).alias("i", "x"))
+    # Lines of blanks alone are emptied first, in the few texts where a line begins with a blank.
+    text = F.col(text_col)
+    maybe = F.substring(text, 1, 1).isin(*_BLANK)
+    for blank in _BLANK:
+        maybe = maybe | F.contains(text, F.lit("\n" + blank))
+    text = F.when(maybe, F.regexp_replace(text, r"(?<![^\n])[ \t\x0B\x0C\r]++(?![^\n])", "")).otherwise(text)
+    filled = F.array_remove(_lines(text), "")
+    lines = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("doc"), F.posexplode_outer(filled).alias("i", "x"))
+    # An outer explode and a filter on its result: else the planner computes the array once more to see its size.
+    lines = lines.filter("x IS NOT NULL")
     lines = lines.withColumn("line", F.btrim("x", F.lit(_BLANK)))
-    # Blanks part words one by one in most lines; elsewhere the words themselves are counted.
-    spaced = F.translate("line", _BLANK, " " * len(_BLANK))
-    words = F.when(F.contains(spaced, F.lit("  ")), F.regexp_count("line", F.lit(r"[^ \t\x0B\x0C\r]+"))).otherwise(
-        F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
+    # In most lines single blanks part the words; elsewhere the words themselves are counted.
+    line, odd = F.col("line"), F.lit(False)
+    for blank in ("  ", *_BLANK[1:]):
+        odd = odd | F.contains(line, F.lit(blank))
+    words = F.when(odd, F.regexp_count(line, F.lit(r"[^ \t\x0B\x0C\r]+"))).otherwise(
+        F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
     return lines.select("doc", "id", "i", _hash(F.encode("line", "UTF-8")).alias("name"), words.alias("words"))
 
 
