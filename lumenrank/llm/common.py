@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +22,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives a
-    lost executor, and gives the planner a measured size for its joins. ``free``: the
-    shuffle files behind it go as soon as it is written (nothing else should need them)."""
-    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+@contextmanager
+def _freeing(spark: SparkSession, free: bool):
     before = spark.conf.get(_FREE, "false")
     try:
         if free:
             spark.conf.set(_FREE, "true")
-        df.write.parquet(path)
+        yield
     finally:
         if free:
             spark.conf.set(_FREE, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives a
+    lost executor, and gives the planner a measured size for its joins. ``free``: the
+    shuffle files behind it go as soon as it is written (nothing else should need them)."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    with _freeing(spark, free):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_folder = path
+    return out
+
+
+def kept_by(df: DataFrame, key: str, name: str, folders: str) -> DataFrame:
+    """``df`` as a table bucketed by ``key``, in a folder for each value of ``folders``: later
+    groups and joins by ``key`` leave its rows where they are. Frees the shuffle files behind it."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    table = f"llm_{path.rsplit('-', 1)[-1]}_{name.replace('-', '_')}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _freeing(spark, True):
+        df.write.partitionBy(folders).bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.work_folder = path
+    return out
+
+
+def forget(*tables, folder: str = "") -> None:
+    """Delete what ``written`` or ``kept_by`` wrote, or of it one ``folder`` (also as a pair of
+    both), in whatever store it is. Only for tables that nothing will read again."""
+    for table in tables:
+        table, part = table if isinstance(table, tuple) else (table, folder)
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.work_folder}/{part}" if part else table.work_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(col: str = "text"):

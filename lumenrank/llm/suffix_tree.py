@@ -7,11 +7,15 @@ text. The root state is the smoothed token distribution of the training part,
 1. Chunks. One pass dictionary-encodes the texts: per chunk of documents a word list, and
    per document the positions in it. The chunk table is written once.
 2. Token counts. Chunks send their distinct words with counts, dealt by a hash of the
-   word; owners add them up and answer each chunk with the totals of its words.
+   word; owners add them up, number the words, and answer each chunk with the totals and
+   numbers of its words.
 3. Contexts, one depth after the other up to ``DEPTH``. A chunk asks for its distinct
    (context, next) pairs with their training counts and the next token's probability so
    far, dealt by a hash of the context; owners add up, test, and answer each chunk. The
    tree is never in one place: an owner holds its contexts, a chunk the answers it needs.
+   Questions are sorted by context and packed as gaps, answers as counts; a chunk's text and
+   state stay where they are, in tables bucketed by chunk. What a depth no longer needs is
+   deleted once the next table is written.
 4. Smoothing. A context's distribution discounts each pair's count by one and leaves the
    freed mass to its suffix's distribution. A pair seen once keeps nothing, so only pairs
    seen ``least`` = 2 times are told apart; the others of a context are one sum. That
@@ -22,14 +26,14 @@ text. The root state is the smoothed token distribution of the training part,
 6. Scoring. Per token the longest suffix state of its history gives the probability. A
    token whose context was seen once is done and is not asked for at greater depths.
 
-Contexts and pairs are named by 64-bit hashes. A hot word, pair or document group is one
+Contexts are named by 64-bit hashes. A hot word, pair or document group is one
 row per chunk; a hot context's distinct pairs per chunk meet at one owner. Nothing but
 the sums of a few counts reaches the driver.
 
 Edge cases: a null text counts as empty, its only token is the end; a null id has the
-checksum of the empty string; repeated rows count and are scored each; without training
-rows there are no states and c = N = V = 0; an empty table gives an empty result; extra
-columns are not read.
+checksum of the empty string; repeated rows count and are scored each; a text of any length
+is one document of one chunk; without training rows there are no states and c = N = V = 0;
+an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenrank.llm.common import documents, written
+from lumenrank.llm.common import documents, forget, kept_by, written
 
 #: Documents with crc32(id as text) mod FOLDS = HELD_OUT are not learned from.
 FOLDS, HELD_OUT = 5, 1
@@ -53,8 +57,8 @@ MIN_GAIN = 0.01
 CHUNK_BYTES = 6 * 1024 * 1024
 WORDS_PER_OWNER, TOKENS_PER_OWNER = 300_000, 1_000_000
 
-#: Names of a text's end, and of a context's pairs that are not told apart.
-_END, _REST = np.uint64(1), np.uint64(0)
+#: Names of a text's end, and of a context's pairs that are not told apart; words from 2 on.
+_END, _REST, _FIRST = np.uint64(1), np.uint64(0), np.uint64(2)
 
 
 # ------------------------------------------------------------------ chunks
@@ -96,6 +100,30 @@ def _pack(x: np.ndarray) -> bytes:
     return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Like ``_pack`` with the numbers' first bytes together, then their second ones and so on."""
+    x = np.ascontiguousarray(x)
+    turned = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(turned.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unplanes(blob: bytes, kind) -> np.ndarray:
+    n, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    turned = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(turned.reshape(width, n).T).view(kind).ravel()
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the distinct values, and per value its distinct one."""
+    coded = pa.array(x).dictionary_encode()
+    of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[of[::-1]] = np.arange(len(x) - 1, -1, -1)
+    return first, of
+
+
 def _unpack(blob: bytes, kind) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little") * np.dtype(kind).itemsize
     return np.frombuffer(pa.decompress(blob[8:], decompressed_size=n, codec="zstd"), kind) if n else np.zeros(0, kind)
@@ -129,20 +157,25 @@ def _ask_words(owners: int):
     return run
 
 
-def _answer_words(asked: pa.Table) -> pa.Table:
-    lists = asked["words"].combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    counts = np.concatenate([_unpack(x, np.int64) for x in asked["counts"].to_pylist()])
-    totals = np.bincount(codes, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    answers = [_pack(totals[codes[e - n:e]]) for e, n in zip(ends, np.diff(ends, prepend=0))]
-    rows = asked.num_rows
-    return pa.table({
-        "chunk": pa.array([*asked["chunk"].to_pylist(), None], pa.int64()),
-        "places": pa.array([*asked["places"].to_pylist(), None], pa.binary()),
-        "totals": pa.array([*answers, None], pa.binary()),
-        "distinct": pa.array([None] * rows + [int((totals > 0).sum())], pa.int64())})
+def _answer_words(owners: int):
+    def run(asked: pa.Table) -> pa.Table:
+        lists = asked["words"].combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        counts = np.concatenate([_unpack(x, np.int64) for x in asked["counts"].to_pylist()])
+        totals = np.bincount(codes, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+        names = np.arange(len(totals), dtype=np.uint64) * np.uint64(owners) + np.uint64(asked["owner"][0].as_py()) + _FIRST
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        parts = [codes[e - n:e] for e, n in zip(ends, np.diff(ends, prepend=0))]
+        rows = asked.num_rows
+        return pa.table({
+            "chunk": pa.array([*asked["chunk"].to_pylist(), None], pa.int64()),
+            "places": pa.array([*asked["places"].to_pylist(), None], pa.binary()),
+            "totals": pa.array([*(_planes(totals[p]) for p in parts), None], pa.binary()),
+            "names": pa.array([*(_planes(names[p]) for p in parts), None], pa.binary()),
+            "distinct": pa.array([None] * rows + [int((totals > 0).sum())], pa.int64())})
+
+    return run
 
 
 # ------------------------------------------------------- contexts: ask and answer
@@ -165,7 +198,7 @@ class _Asked:
         for j in range(1, d + 1):
             context = _mix(context, names[self.at - j])
         key = np.where(often[self.at], names[self.at], _REST)
-        _, first, slot = np.unique(_mix(context, key), return_index=True, return_inverse=True)
+        first, slot = _distinct(_mix(context, key))
         owner = ((context[first] >> np.uint64(33)) % np.uint64(owners)).astype(np.int64)
         order = np.lexsort((context[first], owner))
         place = np.empty(len(order), np.int64)
@@ -182,19 +215,29 @@ def _next(often: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(context: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    first = np.ones(len(context), bool)
+    first[1:] = context[1:] != context[:-1]
+    return np.flatnonzero(first)
+
+
 def _answer_pairs(least: int):
-    def run(asked: pa.Table) -> pa.Table:
-        def column(c, kind):
-            return np.concatenate([_unpack(x, kind) for x in asked[c].to_pylist()])
+    """An owner's sums: per pair its occurrences where it is told apart, else 0; per context
+    its occurrences where it is a state, else 0, and the mass that the discount frees."""
 
-        context, key = column("context", np.uint64), column("key", np.uint64)
-        count, sizes = column("counts", np.int32), [int.from_bytes(x[:8], "little") for x in asked["counts"].to_pylist()]
-        _, first, pair = np.unique(_mix(context, key), return_index=True, return_inverse=True)
+    def run(asked: pa.Table) -> pa.Table:
+        gaps = [_unplanes(x, np.uint64) for x in asked["contexts"].to_pylist()]
+        runs = [_unplanes(x, np.uint32).astype(np.int64) for x in asked["runs"].to_pylist()]
+        context = np.concatenate([np.repeat(np.cumsum(g, dtype=np.uint64), r) for g, r in zip(gaps, runs)])
+        key = np.concatenate([_unplanes(x, np.uint64) for x in asked["key"].to_pylist()])
+        count = np.concatenate([_unplanes(x, np.int32) for x in asked["counts"].to_pylist()])
+        first, pair = _distinct(_mix(context, key))
         seen = np.bincount(pair, weights=count, minlength=len(first))
-        below = column("below", np.float64)[first]
+        below = np.concatenate([_unpack(x, np.float32) for x in asked["below"].to_pylist()])[first].astype(np.float64)
         kept = (seen >= least) & (key[first] != _REST)
-        distinct, of = np.unique(context[first], return_inverse=True)
-        size = len(distinct)
+        where, of = _distinct(context[first])
+        size = len(where)
         n = np.bincount(of, weights=seen, minlength=size)
         freed = n - np.bincount(of, weights=np.where(kept, seen - 1, 0), minlength=size)
         rest = n - np.bincount(of, weights=np.where(kept, seen, 0), minlength=size)
@@ -204,69 +247,81 @@ def _answer_pairs(least: int):
             gain = np.bincount(of, weights=np.where(kept, seen * np.log((own + factor[of] * below) / below), 0.0), minlength=size)
             gain = gain + np.where(rest > 0, rest * np.log(factor), 0.0)
         state = (np.bincount(of, weights=kept, minlength=size) > 0) & (gain > MIN_GAIN * n)
-        own = np.where(state[of] & kept, own, 0.0)[pair]
-        factor = np.where(state, factor, 1.0)[of][pair]
-        kept, ends = kept[pair], np.cumsum(sizes)
-        parts = [slice(e - m, e) for e, m in zip(ends, sizes)]
+        told, total, free = (np.where(x, y, 0).astype(np.int64) for x, y in ((kept, seen), (state, n), (state, freed)))
+        seen_at = told[pair]
+        ends = np.cumsum([0, *(int(r.sum()) for r in runs)])
+        # A run's pairs share their context, so its first pair says which one it is.
+        heads = [of[pair[lo + np.cumsum(r) - r]] for lo, r in zip(ends, runs)]
         return pa.table({
             "chunk": asked["chunk"], "owner": asked["owner"],
-            "own": pa.array([_pack(own[p]) for p in parts], pa.binary()),
-            "factor": pa.array([_pack(factor[p]) for p in parts], pa.binary()),
-            "often": pa.array([_pack(np.packbits(kept[p])) for p in parts], pa.binary())})
+            "seen": pa.array([_planes(seen_at[lo:hi]) for lo, hi in zip(ends, ends[1:])], pa.binary()),
+            "n": pa.array([_planes(total[h]) for h in heads], pa.binary()),
+            "freed": pa.array([_planes(free[h]) for h in heads], pa.binary())})
 
     return run
 
 
+#: A chunk's tables: its text once, its state and its questions anew at each depth.
+_TEXT = ("names", "lengths")
 _STATE = {"p": np.float64, "reached": np.uint8, "score": np.float64, "base": np.float64, "known": np.int64}
-_ROUND = ("owner int, chunk long, context binary, key binary, counts binary, below binary, "
-          + ", ".join(f"{c} binary" for c in _STATE))
+_ASK = ("contexts", "runs", "key", "counts", "below")
+
+
+def _round_schema(id_type: str) -> str:
+    binary = ", ".join(f"{c} binary" for c in (*_TEXT, *_STATE, *_ASK))
+    return f"kind string, owner int, chunk long, ids array<{id_type}>, held array<boolean>, {binary}"
 
 
 def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: int):
-    """Take in a chunk's answers of depth ``d`` (0: its words' totals). Before the last
-    depth: the chunk's state (no owner) and its questions of the next depth; then: scores."""
+    """Take in a chunk's answers of depth ``d`` (0: its words' totals). Before the last depth:
+    the chunk's state and its questions of the next depth (after 0, also its text); then: scores."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [one(left.slice(i, 1), right) for i in range(left.num_rows)]
         return pa.concat_tables(out)
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        vocab = left["vocab"][0].values
         lengths = _unpack(left["lengths"][0].as_py(), np.int64)
-        codes = _unpack(left["codes"][0].as_py(), np.int32)
         held = left["held"][0].values
         m = len(lengths)
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
-        is_end = np.zeros(int(lengths.sum() + m), bool)
-        is_end[ends] = True
+        size = int(lengths.sum() + m)
         doc = np.repeat(np.arange(m), lengths + 1)
-        names = np.full(len(is_end), _END, np.uint64)
-        names[~is_end] = _word_hashes(vocab)[codes]
 
         if d == 0:
-            count_of = np.zeros(max(1, len(vocab)), np.int64)
-            for places, totals in zip(right["places"].to_pylist(), right["totals"].to_pylist()):
-                count_of[_unpack(places, np.int32)] = _unpack(totals, np.int64)
-            count = np.full(len(is_end), texts, np.int64)
+            codes, vocab = _unpack(left["codes"][0].as_py(), np.int32), left["words"][0].as_py()
+            is_end = np.zeros(size, bool)
+            is_end[ends] = True
+            count_of, name_of = np.zeros(max(1, vocab), np.int64), np.zeros(max(1, vocab), np.uint64)
+            for places, totals, given in zip(*(right[c].to_pylist() for c in ("places", "totals", "names"))):
+                at = _unpack(places, np.int32)
+                count_of[at], name_of[at] = _unplanes(totals, np.int64), _unplanes(given, np.uint64)
+            names = np.full(size, _END, np.uint64)
+            names[~is_end] = name_of[codes]
+            count = np.full(size, texts, np.int64)
             count[~is_end] = count_of[codes]
             p = (count + 0.5) / (n + 0.5 * (v + 1))
             known = np.bincount(doc, weights=count > 0, minlength=m).astype(np.int64)
             base = np.bincount(doc, weights=np.log10(p), minlength=m)
-            score, often, at = np.zeros(m), count >= least, np.arange(len(is_end))
+            score, often, at = np.zeros(m), count >= least, np.arange(size)
         else:
-            state = right.filter(pc.is_null(right["owner"]))
-            p, bits, score, base, known = (_unpack(state[c][0].as_py(), kind) for c, kind in _STATE.items())
-            asked = _Asked(names, starts, np.unpackbits(bits, count=len(is_end)).astype(bool), d, owners)
-            answers = right.filter(pc.is_valid(right["owner"])).sort_by("owner")
-            at, often = asked.at, np.zeros(len(is_end), bool)
+            names = _unplanes(left["names"][0].as_py(), np.uint64)
+            p, bits, score, base, known = (_unpack(left[c][0].as_py(), kind) for c, kind in _STATE.items())
+            asked = _Asked(names, starts, np.unpackbits(bits, count=size).astype(bool), d, owners)
+            answers = right.sort_by("owner")
+            at, often = asked.at, np.zeros(size, bool)
             if len(at):
-                own, factor = (np.concatenate([_unpack(x, np.float64) for x in answers[c].to_pylist()]) for c in ("own", "factor"))
-                sizes = np.bincount(asked.owner, minlength=owners)
-                told = [np.unpackbits(_unpack(x, np.uint8), count=int(sizes[o])).astype(bool)
-                        for o, x in zip(answers["owner"].to_pylist(), answers["often"].to_pylist())]
+                seen, total, freed = (np.concatenate([_unplanes(x, np.int64) for x in answers[c].to_pylist()])
+                                      for c in ("seen", "n", "freed"))
+                heads = _runs(asked.context)  # owners differ in their contexts, so no run goes over two
+                run_of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(asked.context))))
+                total, freed = total[run_of], freed[run_of]
+                state, kept = total > 0, seen > 0
+                own = np.where(state & kept, (seen - 1) / np.maximum(total, 1), 0.0)
+                factor = np.where(state, freed / np.maximum(total, 1), 1.0)
                 p = own[asked.slot] + factor[asked.slot] * p
-                often[at] = np.concatenate(told)[asked.slot]
+                often[at] = kept[asked.slot]
 
         more = _next(often, starts)[at] if d < depth else np.zeros(len(at), bool)
         score = score + np.bincount(doc[at[~more]], weights=np.log10(p[~more]), minlength=m)
@@ -279,26 +334,33 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
         asked = _Asked(names, starts, often, d + 1, owners)
         train = ~held.to_numpy(zero_copy_only=False).astype(bool)[doc[asked.at]]
         counts = np.bincount(asked.slot, weights=train, minlength=len(asked.first)).astype(np.int32)
-        below = np.where(asked.key != _REST, p[asked.first], 0.0)
+        below = np.where(asked.key != _REST, p[asked.first], 0.0).astype(np.float32)
         bounds = np.searchsorted(asked.owner, np.arange(owners + 1))
-        sent = np.flatnonzero(np.diff(bounds))
-        parts = [slice(bounds[o], bounds[o + 1]) for o in sent]
-        columns = {"context": asked.context, "key": asked.key, "counts": counts, "below": below}
-        state = dict(zip(_STATE, (p, np.packbits(often), score, base, known)))
+        rows: list[dict] = []
+        for o in np.flatnonzero(np.diff(bounds)).tolist():
+            q = slice(bounds[o], bounds[o + 1])
+            context, heads = asked.context[q], _runs(asked.context[q])
+            rows.append({
+                "kind": "ask", "owner": o, "contexts": _planes(np.diff(context[heads], prepend=np.uint64(0))),
+                "runs": _planes(np.diff(np.append(heads, len(context))).astype(np.uint32)), "key": _planes(asked.key[q]),
+                "counts": _planes(counts[q]), "below": _pack(below[q])})
+        rows.append({"kind": "state"} | {c: _pack(x) for c, x in zip(_STATE, (p, np.packbits(often), score, base, known))})
+        if d == 0:
+            rows.append({"kind": "text", "names": _planes(names), "lengths": left["lengths"][0].as_py()})
+        listed = {c: pa.concat_arrays([pa.nulls(len(rows) - 1, left[c].type), left[c].combine_chunks()])
+                  if d == 0 else pa.nulls(len(rows), left[c].type) for c in ("ids", "held")}
         return pa.table({
-            "owner": pa.array([*sent.tolist(), None], pa.int32()),
-            "chunk": pa.array([left["chunk"][0].as_py()] * (len(sent) + 1), pa.int64()),
-            **{c: pa.array([*[_pack(x[q]) for q in parts], None], pa.binary()) for c, x in columns.items()},
-            **{c: pa.array([None] * len(sent) + [_pack(x)], pa.binary()) for c, x in state.items()}})
+            "kind": pa.array([r["kind"] for r in rows], pa.string()), "owner": pa.array([r.get("owner") for r in rows], pa.int32()),
+            "chunk": pa.array([left["chunk"][0].as_py()] * len(rows), pa.int64()), **listed,
+            **{c: pa.array([r.get(c) for r in rows], pa.binary()) for c in (*_TEXT, *_STATE, *_ASK)}})
 
     return run
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS,
-          held_out: int = HELD_OUT, min_share: float = 0.0, depth: int = 2) -> DataFrame:
+          held_out: int = HELD_OUT, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """Per row: ``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)``;
-    scores are log10 probabilities. ``min_share`` leaves out pairs below that share of all
-    training tokens; by default there is no such limit."""
+    scores are log10 probabilities. ``least``: occurrences from which a pair is told apart."""
     id_type = df.schema[id_col].dataType.simpleString()
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
     chunks = written(df.select(F.col(id_col).alias("id"), (fold == held_out).alias("held"), F.col(text_col).alias("text"))
@@ -307,25 +369,32 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
                      "chunks")
     size = chunks.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
     n, texts = size["tokens"] or 0, size["texts"] or 0
-    least = max(LEAST, int(np.ceil(min_share * n)))
 
+    word_owners = (size["words"] or 0) // WORDS_PER_OWNER + 1
     asked = chunks.select("chunk", "vocab", "counts").mapInArrow(
-        _ask_words((size["words"] or 0) // WORDS_PER_OWNER + 1),
-        "owner int, chunk long, words array<string>, counts binary, places binary")
-    answers = written(asked.groupBy("owner").applyInArrow(
-        _answer_words, "chunk long, places binary, totals binary, distinct long"), "totals")
-    v = (answers.agg(F.sum("distinct")).first()[0] or 0) + (texts > 0)
-    left = chunks.select("chunk", "ids", "held", "lengths", "codes", "vocab")
-    right = answers.filter("chunk IS NOT NULL").select("chunk", "places", "totals")
+        _ask_words(word_owners), "owner int, chunk long, words array<string>, counts binary, places binary")
+    totals = written(asked.groupBy("owner").applyInArrow(
+        _answer_words(word_owners), "chunk long, places binary, totals binary, names binary, distinct long"), "totals", free=True)
+    v = (totals.agg(F.sum("distinct")).first()[0] or 0) + (texts > 0)
     owners = n // TOKENS_PER_OWNER + 1
+
+    left, old = chunks.select("chunk", "ids", "held", "lengths", "codes", "words"), [chunks, totals]
+    right = totals.filter("chunk IS NOT NULL").select("chunk", "places", "totals", "names")
+    text, schema = None, _round_schema(id_type)
     for d in range(depth):
         step = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
-            _step(d, depth, least, n, v, texts, owners), _ROUND)
-        step = written(step, f"contexts-{d + 1}")
-        sent = step.filter("owner IS NOT NULL").select("owner", "chunk", "context", "key", "counts", "below")
-        told = sent.groupBy("owner").applyInArrow(
-            _answer_pairs(least), "chunk long, owner int, own binary, factor binary, often binary")
-        right = step.filter("owner IS NULL").select("owner", "chunk", *_STATE).unionByName(told, allowMissingColumns=True)
+            _step(d, depth, least, n, v, texts, owners), schema)
+        step = kept_by(step, "chunk", f"contexts-{d + 1}", "kind")
+        forget(*old)
+        sent = step.filter("kind = 'ask'").select("owner", "chunk", *_ASK)
+        right = written(sent.groupBy("owner").applyInArrow(
+            _answer_pairs(least), "chunk long, owner int, seen binary, n binary, freed binary"), f"answers-{d + 1}", free=True)
+        forget(step, folder="kind=ask")
+        if d == 0:
+            text = step.filter("kind = 'text'").select("chunk", "ids", "held", *_TEXT)
+        left = text.join(step.filter("kind = 'state'").select("chunk", *_STATE), "chunk")
+        # The text stays with the first table; of later ones nothing is left once the next is written.
+        old = [right, (step, "kind=state") if d == 0 else step]
     out = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
         _step(depth, depth, least, n, v, texts, owners), f"id {id_type}, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double")
@@ -334,4 +403,4 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """Query: all of ``documents``."""
-    return score(documents(spark, sf_dir), depth=DEPTH)
+    return score(documents(spark, sf_dir))

@@ -81,6 +81,7 @@ def made():
 
 @pytest.mark.parametrize("chunk_bytes,share", [(S.CHUNK_BYTES, 1e-6), (500, 2e-3)])
 def test_against_brute_force(spark, monkeypatch, chunk_bytes, share):
+    """Two words of context; ``share`` sets the least occurrences of a pair, two or a few more.""" 
     monkeypatch.setattr(S, "CHUNK_BYTES", chunk_bytes)
     monkeypatch.setattr(S, "WORDS_PER_OWNER", 50)
     monkeypatch.setattr(S, "TOKENS_PER_OWNER", 5000)
@@ -88,7 +89,8 @@ def test_against_brute_force(spark, monkeypatch, chunk_bytes, share):
     want, states = brute(rows, share)
     assert states[0] and states[1]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, score string").repartition(3)
-    got = [tuple(r) for r in S.score(df, min_share=share).collect()]
+    least = max(2, math.ceil(share * want[0][4]))
+    got = [tuple(r) for r in S.score(df, depth=2, least=least).collect()]
     key = lambda r: (str(r[0]), r[2])
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
