@@ -289,5 +289,10 @@ sq AS (SELECT qid, query, coalesce(nullif({O.strip_sql('half')}, ''), query) AS
 lc AS (SELECT qid, '2 1' AS completion FROM qs), {O.listwise_ctes('dense')} {O.run_select('lw')}""")
 
 
+sql("generated_resumed", f"""WITH {O.QS}
+SELECT qid, array_to_string(list_slice(w, 1, (len(w) + 1) // 2), ' ') AS completion
+FROM (SELECT qid, string_split(query, ' ') AS w FROM qs)""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
