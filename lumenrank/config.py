@@ -49,3 +49,5 @@ HOT_KEYS = 1_000
 # Instruction of the registered example query (any text; models differ in what they want).
 QUERY_INSTRUCTION = "Represent this question for finding passages: "
 QUERY_INSTRUCTION_FORMAT = "{}{}"
+TASK_EXAMPLES = "Question: which river is longest? Passage: The longest river is the Nile.\n"
+TASK_EXAMPLES_FORMAT = "Examples: {}{}"

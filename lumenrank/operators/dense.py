@@ -91,33 +91,47 @@ def hash_encode(
     return with_codes.mapInArrow(arrow_encoder(dim, "_codes", out_col), schema)
 
 
-def batch_encoder(fn, dim: int):
+def _as_matrix(found, dim: int, rows: int) -> np.ndarray:
+    """A model's result as (rows, dim): also of a dict that holds it as ``dense_vecs`` or
+    ``embeddings``, and of several vectors per text, which are averaged (C6)."""
+    if isinstance(found, dict):
+        key = next((k for k in ("dense_vecs", "embeddings") if k in found), None)
+        if key is None:
+            raise ValueError(f"the model returned a dict without vectors: {sorted(found)}")
+        found = found[key]
+    mat = np.asarray(found, dtype=np.float64)
+    return (mat.mean(axis=1) if mat.ndim == 3 else mat).reshape(rows, dim)
+
+
+def batch_encoder(fn, dim: int, batch_size: int | None = None):
     """Wrap a model callable ``list[str] -> array (n, dim)`` as a pandas UDF.
 
-    The callable is created once per Python worker and fed whole Arrow batches.
+    The callable is created once per Python worker and fed whole Arrow batches, or at most
+    ``batch_size`` texts at a time.
     """
 
     @F.pandas_udf("array<double>")
     def _enc(texts: pd.Series) -> pd.Series:
-        mat = np.asarray(fn(texts.fillna("").tolist()), dtype=np.float64)
-        if mat.ndim == 3:  # several vectors per text
-            mat = mat.mean(axis=1)
-        return pd.Series(list(mat.reshape(len(texts), dim)))
+        given, step = texts.fillna("").tolist(), batch_size or max(1, len(texts))
+        parts = [given[i:i + step] for i in range(0, len(given), step)]
+        return pd.Series([v for p in parts for v in _as_matrix(fn(p), dim, len(p))], dtype="object")
 
     # The planner may not compute it again, for a filter on its result say: calls are dear.
     return _enc.asNondeterministic()
 
 
 def model_encoder(fn, dim: int, instruction: str | None = None, instruction_format: str = "{}{}",
-                  normalize: bool = True):
+                  normalize: bool = True, examples: str | None = None, examples_format: str = "{}{}",
+                  batch_size: int | None = None):
     """A model callable as ``encode(df, text_col, out_col)``, as ``mine`` and ``retrieve``
-    take it: null texts skipped, instruction put before the text, several vectors per
-    text averaged, unit length (C5, C6, C15)."""
-    vectors = batch_encoder(fn, dim)
+    take it: null texts skipped, instruction put before the text and task examples before
+    both, several vectors per text averaged, unit length (C5, C6, C15)."""
+    vectors = batch_encoder(fn, dim, batch_size)
 
     def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
         rows = (df.drop(out_col) if out_col in df.columns else df).where(F.col(text_col).isNotNull())
-        rows = rows.withColumn(out_col, vectors(format_instruction(text_col, instruction, instruction_format)))
+        text = format_instruction(format_instruction(text_col, instruction, instruction_format), examples, examples_format)
+        rows = rows.withColumn(out_col, vectors(text))
         return rows.withColumn(out_col, l2_normalize(out_col)) if normalize else rows
 
     return encode

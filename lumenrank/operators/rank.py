@@ -95,11 +95,11 @@ class CoverageScorer:
 coverage_scores = CoverageScorer()
 
 
-def batch_pair_scorer(fn: Callable[[list[str], list[str]], list[float]]):
+def batch_pair_scorer(fn: Callable[[list[str], list[str]], list[float]], batch_size: int | None = None):
     """D3 with a model: ``fn(queries, passages) -> scores`` run on Arrow batches.
 
     Returns a ``pairs -> pairs + pair_score`` function using ``mapInPandas``; the
-    callable sees one flat batch of pairs at a time, as the original did.
+    callable sees one flat batch of pairs at a time (of at most ``batch_size``), as the original did.
     """
 
     def apply(pairs: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:
@@ -107,7 +107,9 @@ def batch_pair_scorer(fn: Callable[[list[str], list[str]], list[float]]):
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                scores = fn(pdf[query_col].fillna("").tolist(), pdf[text_col].fillna("").tolist())
+                q, t = pdf[query_col].fillna("").tolist(), pdf[text_col].fillna("").tolist()
+                step = batch_size or max(1, len(q))
+                scores = [s for i in range(0, len(q), step) for s in fn(q[i:i + step], t[i:i + step])]
                 yield pdf.assign(pair_score=pd.Series(scores, dtype="float64", index=pdf.index))
 
         return pairs.mapInPandas(run, schema)

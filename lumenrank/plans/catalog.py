@@ -8,6 +8,7 @@ doubles are rounded to 6 places.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,6 +219,13 @@ def q_instructed_query(spark, sf):
     return q.select("qid", T.format_instruction("query", C.QUERY_INSTRUCTION, C.QUERY_INSTRUCTION_FORMAT).alias("text"))
 
 
+@register("instructed_examples")
+def q_instructed_examples(spark, sf):
+    """The same with task examples in front."""
+    text = T.format_instruction("query", C.QUERY_INSTRUCTION, C.QUERY_INSTRUCTION_FORMAT)
+    return fx.query_set(spark, sf).select("qid", T.format_instruction(text, C.TASK_EXAMPLES, C.TASK_EXAMPLES_FORMAT).alias("text"))
+
+
 @register("offline_eval")
 def q_offline_eval(spark, sf):
     """A saved run, the query file and the pool file, evaluated offline.
@@ -518,6 +526,17 @@ def q_hit_files(spark, sf):
     return back.select("k", "id", "hit")
 
 
+@register("hit_file_ordered")
+def q_hit_file_ordered(spark, sf):
+    """K3: ``hit@{k}.txt``, one ordered file per k, read back with its line numbers."""
+    q = fx.query_set(spark, sf)
+    per_q = evaluate.hit_at_k(evaluate.hit_flags(_bm25_run(spark, sf, q), q, fx.corpus(spark, sf)), q)
+    path = work_path(spark, "hit-files")
+    io.write_hit_files(per_q, path)
+    files = [io.read_hit_file(spark, f"{path}/hit@{k}.txt").select(F.lit(k).cast("bigint").alias("k"), "line", "id", "hit") for k in C.HIT_KS]
+    return reduce(DataFrame.unionByName, files)
+
+
 # ---------------------------------------------------------------- composed retrieval job
 def _composed(spark, sf, methods: set[str], rerank_on: bool) -> DataFrame:
     q = fx.query_set(spark, sf)

@@ -106,7 +106,7 @@ def evaluate_run(run: DataFrame, inp: Inputs, ks=C.HIT_KS):
 def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = False,
             ks=C.HIT_KS, depth: int = C.DEPTH, encode=dense.hash_encode, missing_ok: bool = False):
     """K2 / K3 / V8: retrieve, save the run under its method tag, and unless
-    ``skip_eval`` write one hit table per k. Returns ``(run_path, means or None)``."""
+    ``skip_eval`` write one hit table per k, as folders and as ``hit@{k}.txt``. Returns ``(run_path, means or None)``."""
     from lumenrank.sources import io
 
     run = retrieve(inp, methods, depth=depth, encode=encode, missing_ok=missing_ok)
@@ -118,6 +118,7 @@ def run_job(inp: Inputs, methods: set[str], out_dir: str, skip_eval: bool = Fals
     _, per_q, means = evaluate_run(run, inp, ks)
     per_q = cut(per_q)
     io.write_hits(per_q, f"{path}/hits")
+    io.write_hit_files(per_q, path)
     release_checked()
     return path, evaluate.hit_mean(per_q, ks)
 
@@ -134,6 +135,7 @@ def evaluate_saved(spark, run_path: str, queries_path: str, pool_path: str, out_
     evaluate.check_alignment(run, queries, allow_empty=True)
     per_q = cut(evaluate.hit_at_k(evaluate.hit_flags(run, queries, docs), queries, ks))
     io.write_hits(per_q, out_dir)
+    io.write_hit_files(per_q, out_dir)
     release_checked()
     return evaluate.hit_mean(per_q, ks)
 

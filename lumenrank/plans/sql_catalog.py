@@ -87,6 +87,10 @@ FROM c JOIN n USING (vec_id)""")
 sql("instructed_query", f"""WITH {O.QS}
 SELECT qid, 'Represent this question for finding passages: ' || query AS text FROM qs""")
 
+sql("instructed_examples", f"""WITH {O.QS}
+SELECT qid, 'Examples: Question: which river is longest? Passage: The longest river is the Nile.' || chr(10)
+            || 'Represent this question for finding passages: ' || query AS text FROM qs""")
+
 sql("mean_pool", f"""WITH {_EMB}
 SELECT label::BIGINT AS label, i, round(avg(x), 6) AS value FROM ev GROUP BY label, i""")
 
@@ -294,5 +298,9 @@ SELECT qid, array_to_string(list_slice(w, 1, (len(w) + 1) // 2), ' ') AS complet
 FROM (SELECT qid, string_split(query, ' ') AS w FROM qs)""")
 
 
+sql("hit_file_ordered", f"""WITH {O.QS}, {O.bm25_ctes()}, {O.hits_ctes('bm25')}
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY qid) - 1 AS line, qid + 1 AS id, hit FROM hits_k""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

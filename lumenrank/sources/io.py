@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from lumenrank.functions.text import parse_answers
 from lumenrank.operators.ids import row_ids_text
 from lumenrank.operators.plan import bucket_count
+from lumenrank.session import work_path
 
 POOL_SCHEMA = "id long, text string"
 QUERY_TSV_SCHEMA = "query string, answers string"
@@ -151,6 +152,42 @@ def write_hits(per_query: DataFrame, path: str) -> None:
         .partitionBy("k").options(sep="\t", header="true").csv(path)
 
 
+def write_hit_files(per_query: DataFrame, folder: str) -> None:
+    """K3 in the original layout: ``hit@{k}.txt`` per k, header ``id<TAB>hit``, one line a query in
+    the order of the ids. Parts are sorted by range and then joined as byte streams, so no
+    task and no process holds a file's rows."""
+    spark, base = per_query.sparkSession, folder.rstrip("/")
+    parts = work_path(spark, "hit-parts")
+    lines = per_query.select("k", (F.col("qid") + 1).alias("id"), "hit").orderBy("k", "id")
+    lines.select("k", F.concat_ws("\t", "id", "hit").alias("value")).write.partitionBy("k").text(parts)
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark._jsc.hadoopConfiguration()
+    at = hadoop.fs.Path(parts)
+    fs = at.getFileSystem(conf)
+    for found in fs.listStatus(at):
+        if not found.isDirectory():
+            continue
+        target = hadoop.fs.Path(f"{base}/hit@{found.getPath().getName().removeprefix('k=')}.txt")
+        out = target.getFileSystem(conf).create(target, True)
+        try:
+            out.write(bytearray(b"id\thit\n"))
+            for part in sorted(x.getPath().toString() for x in fs.listStatus(found.getPath())):
+                if part.rsplit("/", 1)[1].startswith("part-"):
+                    source = fs.open(hadoop.fs.Path(part))
+                    try:
+                        hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                    finally:
+                        source.close()
+        finally:
+            out.close()
+
+
+def read_hit_file(spark: SparkSession, path: str) -> DataFrame:
+    """A ``hit@{k}.txt``: ``(line, id, hit)``, lines counted from 0."""
+    rows = spark.read.schema("id long, hit long").options(sep="\t", header="true").csv(path)
+    return row_ids_text(rows, "line").select("line", "id", "hit")
+
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """K5: the dense index as Parquet ``(id, embedding)``."""
     vectors.write.mode("overwrite").parquet(path)

@@ -86,6 +86,23 @@ def test_model_encoder_pools_normalises_and_skips_nulls(spark):
     assert np.allclose(got[1], np.array([4.0, 1.0]) / np.sqrt(17))
 
 
+def test_model_results_batches_and_examples(spark):
+    """Dict results, batches of a given size, task examples before the instruction."""
+    import pytest
+
+    def model(texts):
+        assert len(texts) <= 2
+        return {"dense_vecs": [[float(len(t)), 1.0] for t in texts]}
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(7)], "id long, text string").coalesce(1)
+    enc = dense.model_encoder(model, 2, instruction="ab ", examples="cd", examples_format="<{}>{}", normalize=False, batch_size=2)
+    assert {r["id"]: r["embedding"] for r in enc(df).collect()} == {i: [i + 7.0, 1.0] for i in range(7)}
+    other = dense.model_encoder(lambda ts: {"embeddings": np.ones((len(ts), 3, 2))}, 2, normalize=False)
+    assert other(df).first()["embedding"] == [1.0, 1.0]
+    with pytest.raises(Exception, match="without vectors"):
+        dense.model_encoder(lambda ts: {"ids": [1]}, 2)(df).collect()
+
+
 def test_tiles_are_one_plan_without_the_driver(spark, monkeypatch):
     """Many groups on either side, single-precision vectors, no collect of any vector."""
     rng = np.random.default_rng(3)

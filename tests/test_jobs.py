@@ -46,6 +46,8 @@ def test_run_job_writes_run_and_hits(spark, tmp_path):
     path, means = P.run_job(inp, {"mixed"}, str(tmp_path))
     assert path.endswith("/mixed")
     assert os.path.isdir(os.path.join(path, "run")) and os.path.isdir(os.path.join(path, "hits", "k=100"))
+    lines = (open(os.path.join(path, "hit@10.txt")).read()).split("\n")
+    assert lines[0] == "id\thit" and [x.split("\t")[0] for x in lines[1:-1]] == [str(i + 1) for (i,) in sorted(rows(q, "qid"))]
     m = dict(rows(means, "k", "hit_rate"))
     assert m[1] <= m[10] <= m[100]
     path2, none = P.run_job(inp, set(), str(tmp_path), skip_eval=True)
