@@ -53,9 +53,10 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, hot_rows: int | None = N
     ids, small = checked(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
     size = ids.agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
     limit = max(limit, (size["rows"] or 0) // C.HOT_KEYS)
-    wanted = table.join(F.broadcast(ids) if small else ids, key)
+    hint = F.broadcast if small else (lambda side: side)
     if (size["most"] or 0) <= limit:
-        return rows.join(wanted.drop("_n"), key, "left")
+        return rows.join(table.join(hint(ids.select(key)), key, "left_semi"), key, "left")
+    wanted = table.join(hint(ids), key)
     copies = F.ceil(F.col("_n") / limit).cast("int")
     hot = ids.where((F.col("_n") > limit) & F.col(key).isNotNull()).select(key, copies.alias("_copies"))
     part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(bucket_count(rows.sparkSession)))).otherwise(
