@@ -81,14 +81,17 @@ def _chunks(batches):
             train = ~held.to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(codes, weights=train[doc], minlength=len(coded.dictionary)).astype(np.int64)
             lengths = np.bincount(doc, minlength=hi - lo)
+            none = pa.nulls(1, pa.binary())
             yield pa.RecordBatch.from_pydict({
-                "chunk": pa.array([(part << 32) | no], pa.int64()),
-                "ids": _one(b.column(0).slice(lo, hi - lo)), "held": _one(held),
-                "lengths": pa.array([_pack(lengths.astype(np.int64))], pa.binary()),
-                "codes": pa.array([_pack(codes)], pa.binary()), "vocab": _one(coded.dictionary),
-                "counts": pa.array([_pack(counts)], pa.binary()), "words": pa.array([len(counts)], pa.int64()),
-                "tokens": pa.array([int(lengths[train].sum() + train.sum())], pa.int64()),
-                "texts": pa.array([int(train.sum())], pa.int64())})
+                "kind": pa.array(["text", "vocab"], pa.string()), "chunk": pa.array([(part << 32) | no] * 2, pa.int64()),
+                "ids": pa.concat_arrays([_one(b.column(0).slice(lo, hi - lo)), pa.nulls(1, pa.list_(b.column(0).type))]),
+                "held": pa.concat_arrays([_one(held), pa.nulls(1, pa.list_(held.type))]),
+                "lengths": pa.concat_arrays([pa.array([_pack(lengths.astype(np.int64))], pa.binary()), none]),
+                "codes": pa.concat_arrays([pa.array([_pack(codes)], pa.binary()), none]),
+                "vocab": pa.concat_arrays([pa.nulls(1, pa.list_(pa.string())), _one(coded.dictionary.cast(pa.string()))]),
+                "counts": pa.array([None, _pack(counts)], pa.binary()), "words": pa.array([len(counts), None], pa.int64()),
+                "tokens": pa.array([int(lengths[train].sum() + train.sum()), None], pa.int64()),
+                "texts": pa.array([int(train.sum()), None], pa.int64())})
             no += 1
 
 
@@ -261,20 +264,18 @@ def _answer_pairs(least: int):
     return run
 
 
-#: A chunk's tables: its text once, its state and its questions anew at each depth.
-_TEXT = ("names", "lengths")
+#: A chunk's tables: its words' numbers and totals once, its state and its questions anew at each depth.
+_WORDS = ("names", "totals")
 _STATE = {"p": np.float64, "reached": np.uint8, "score": np.float64, "base": np.float64, "known": np.int64}
 _ASK = ("contexts", "runs", "key", "counts", "below")
 
 
-def _round_schema(id_type: str) -> str:
-    binary = ", ".join(f"{c} binary" for c in (*_TEXT, *_STATE, *_ASK))
-    return f"kind string, owner int, chunk long, ids array<{id_type}>, held array<boolean>, {binary}"
+_ROUND = "kind string, owner int, chunk long, " + ", ".join(f"{c} binary" for c in (*_WORDS, *_STATE, *_ASK))
 
 
 def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: int):
     """Take in a chunk's answers of depth ``d`` (0: its words' totals). Before the last depth:
-    the chunk's state and its questions of the next depth (after 0, also its text); then: scores."""
+    the chunk's state and its questions of the next depth (after 0, also its words); then: scores."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [one(left.slice(i, 1), right) for i in range(left.num_rows)]
@@ -288,29 +289,36 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
         starts = ends - lengths
         size = int(lengths.sum() + m)
         doc = np.repeat(np.arange(m), lengths + 1)
-
+        codes, vocab = _unpack(left["codes"][0].as_py(), np.int32), left["words"][0].as_py()
+        is_end = np.zeros(size, bool)
+        is_end[ends] = True
         if d == 0:
-            codes, vocab = _unpack(left["codes"][0].as_py(), np.int32), left["words"][0].as_py()
-            is_end = np.zeros(size, bool)
-            is_end[ends] = True
             count_of, name_of = np.zeros(max(1, vocab), np.int64), np.zeros(max(1, vocab), np.uint64)
             for places, totals, given in zip(*(right[c].to_pylist() for c in ("places", "totals", "names"))):
                 at = _unpack(places, np.int32)
                 count_of[at], name_of[at] = _unplanes(totals, np.int64), _unplanes(given, np.uint64)
-            names = np.full(size, _END, np.uint64)
-            names[~is_end] = name_of[codes]
+        else:
+            name_of = _unplanes(left["names"][0].as_py(), np.uint64)
+        names = np.full(size, _END, np.uint64)
+        names[~is_end] = name_of[codes]
+
+        def first_probabilities(count_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             count = np.full(size, texts, np.int64)
             count[~is_end] = count_of[codes]
-            p = (count + 0.5) / (n + 0.5 * (v + 1))
+            return count, (count + 0.5) / (n + 0.5 * (v + 1))
+
+        if d == 0:
+            count, p = first_probabilities(count_of)
             known = np.bincount(doc, weights=count > 0, minlength=m).astype(np.int64)
             base = np.bincount(doc, weights=np.log10(p), minlength=m)
             score, often, at = np.zeros(m), count >= least, np.arange(size)
         else:
-            names = _unplanes(left["names"][0].as_py(), np.uint64)
             p, bits, score, base, known = (_unpack(left[c][0].as_py(), kind) for c, kind in _STATE.items())
             asked = _Asked(names, starts, np.unpackbits(bits, count=size).astype(bool), d, owners)
             answers = right.sort_by("owner")
             at, often = asked.at, np.zeros(size, bool)
+            if d == 1:  # of the first depth, the words' totals say it all
+                p = first_probabilities(_unplanes(left["totals"][0].as_py(), np.int64))[1][at]
             if len(at):
                 seen, total, freed = (np.concatenate([_unplanes(x, np.int64) for x in answers[c].to_pylist()])
                                       for c in ("seen", "n", "freed"))
@@ -344,15 +352,14 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
                 "kind": "ask", "owner": o, "contexts": _planes(np.diff(context[heads], prepend=np.uint64(0))),
                 "runs": _planes(np.diff(np.append(heads, len(context))).astype(np.uint32)), "key": _planes(asked.key[q]),
                 "counts": _planes(counts[q]), "below": _pack(below[q])})
-        rows.append({"kind": "state"} | {c: _pack(x) for c, x in zip(_STATE, (p, np.packbits(often), score, base, known))})
+        left_over = p if d else p[:0]
+        rows.append({"kind": "state"} | {c: _pack(x) for c, x in zip(_STATE, (left_over, np.packbits(often), score, base, known))})
         if d == 0:
-            rows.append({"kind": "text", "names": _planes(names), "lengths": left["lengths"][0].as_py()})
-        listed = {c: pa.concat_arrays([pa.nulls(len(rows) - 1, left[c].type), left[c].combine_chunks()])
-                  if d == 0 else pa.nulls(len(rows), left[c].type) for c in ("ids", "held")}
+            rows.append({"kind": "words", "names": _planes(name_of), "totals": _planes(count_of)})
         return pa.table({
             "kind": pa.array([r["kind"] for r in rows], pa.string()), "owner": pa.array([r.get("owner") for r in rows], pa.int32()),
-            "chunk": pa.array([left["chunk"][0].as_py()] * len(rows), pa.int64()), **listed,
-            **{c: pa.array([r.get(c) for r in rows], pa.binary()) for c in (*_TEXT, *_STATE, *_ASK)}})
+            "chunk": pa.array([left["chunk"][0].as_py()] * len(rows), pa.int64()),
+            **{c: pa.array([r.get(c) for r in rows], pa.binary()) for c in (*_WORDS, *_STATE, *_ASK)}})
 
     return run
 
@@ -363,37 +370,38 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     scores are log10 probabilities. ``least``: occurrences from which a pair is told apart."""
     id_type = df.schema[id_col].dataType.simpleString()
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
-    chunks = written(df.select(F.col(id_col).alias("id"), (fold == held_out).alias("held"), F.col(text_col).alias("text"))
-                     .mapInArrow(_chunks, f"chunk long, ids array<{id_type}>, held array<boolean>, lengths binary, "
+    chunks = kept_by(df.select(F.col(id_col).alias("id"), (fold == held_out).alias("held"), F.col(text_col).alias("text"))
+                     .mapInArrow(_chunks, f"kind string, chunk long, ids array<{id_type}>, held array<boolean>, lengths binary, "
                                  "codes binary, vocab array<string>, counts binary, words long, tokens long, texts long"),
-                     "chunks")
-    size = chunks.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
+                     "chunk", "chunks", "kind")
+    text, vocab = chunks.filter("kind = 'text'"), chunks.filter("kind = 'vocab'")
+    size = text.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
     n, texts = size["tokens"] or 0, size["texts"] or 0
 
     word_owners = (size["words"] or 0) // WORDS_PER_OWNER + 1
-    asked = chunks.select("chunk", "vocab", "counts").mapInArrow(
+    asked = vocab.select("chunk", "vocab", "counts").mapInArrow(
         _ask_words(word_owners), "owner int, chunk long, words array<string>, counts binary, places binary")
     totals = written(asked.groupBy("owner").applyInArrow(
         _answer_words(word_owners), "chunk long, places binary, totals binary, names binary, distinct long"), "totals", free=True)
+    forget(chunks, folder="kind=vocab")
     v = (totals.agg(F.sum("distinct")).first()[0] or 0) + (texts > 0)
     owners = n // TOKENS_PER_OWNER + 1
 
-    left, old = chunks.select("chunk", "ids", "held", "lengths", "codes", "words"), [chunks, totals]
+    text = text.select("chunk", "ids", "held", "lengths", "codes", "words")
+    left, old = text, [totals]
     right = totals.filter("chunk IS NOT NULL").select("chunk", "places", "totals", "names")
-    text, schema = None, _round_schema(id_type)
     for d in range(depth):
         step = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
-            _step(d, depth, least, n, v, texts, owners), schema)
+            _step(d, depth, least, n, v, texts, owners), _ROUND)
         step = kept_by(step, "chunk", f"contexts-{d + 1}", "kind")
         forget(*old)
         sent = step.filter("kind = 'ask'").select("owner", "chunk", *_ASK)
         right = written(sent.groupBy("owner").applyInArrow(
             _answer_pairs(least), "chunk long, owner int, seen binary, n binary, freed binary"), f"answers-{d + 1}", free=True)
         forget(step, folder="kind=ask")
-        if d == 0:
-            text = step.filter("kind = 'text'").select("chunk", "ids", "held", *_TEXT)
+        if d == 0:  # the words stay with the first table
+            text = text.join(step.filter("kind = 'words'").select("chunk", *_WORDS), "chunk")
         left = text.join(step.filter("kind = 'state'").select("chunk", *_STATE), "chunk")
-        # The text stays with the first table; of later ones nothing is left once the next is written.
         old = [right, (step, "kind=state") if d == 0 else step]
     out = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
         _step(depth, depth, least, n, v, texts, owners), f"id {id_type}, held_out boolean, n_tokens long, n_known long, "
