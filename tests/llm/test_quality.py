@@ -68,3 +68,50 @@ def test_the_fit_is_not_cut_short(spark):
     fitted = Q.fit(docs, labels).stages[-1]
     assert fitted.getMaxIter() >= 100
     assert fitted.summary.totalIterations < fitted.getMaxIter()
+
+
+def shrinkage(rows):
+    """(host rate, path rate, score) per row of (host, path, evidence), in plain arithmetic."""
+    def weight(sites):  # (n, good, parent)
+        low, high = Q.PRIOR_WEIGHTS
+        total = sum(n for n, _, _ in sites)
+        if not total or len(sites) < 2:
+            return high
+        noise = sum(n * q * (1 - q) for n, _, q in sites) / total
+        spread = sum(n * (g / n - q) ** 2 for n, g, q in sites) - (len(sites) - 1) * noise
+        freedom = total - sum(n * n for n, _, _ in sites) / total
+        between = spread / freedom if freedom > 0 else 0.0
+        return high if between <= 0 else min(high, max(low, noise / between - 1))
+
+    def logit(p):
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    p = [1 / (1 + math.exp(-e)) for _, _, e in rows]
+    hosts, paths = {}, {}
+    for (h, w, _), x in zip(rows, p):
+        for table, key in ((hosts, h), (paths, (h, w))):
+            n, good = table.get(key, (0, 0.0))
+            table[key] = (n + 1, good + x)
+    rate = sum(p) / len(p)
+    k = weight([(n, g, rate) for n, g in hosts.values()])
+    host_rate = {h: (g + k * rate) / (n + k) for h, (n, g) in hosts.items()}
+    k = weight([(n, g, host_rate[h]) for (h, _), (n, g) in paths.items()])
+    out = []
+    for (h, w, e), x in zip(rows, p):
+        n, g = paths[h, w]
+        path = (g - x + k * host_rate[h]) / (n - 1 + k)  # without the row's own share
+        out.append((host_rate[h], path, 1 / (1 + math.exp(-(e + logit(path) - logit(rate))))))
+    return out
+
+
+def test_posteriors_against_plain_arithmetic(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "source", "lang")
+    got = Q.classify(docs, spark.read.parquet(f"{SF01}/labels.parquet")).selectExpr(
+        "coalesce(__row.source, '') AS host", "coalesce(__row.lang, '') AS path", "evidence", "host_rate", "path_rate", "score",
+        "accepted").collect()
+    want = shrinkage([(r["host"], r["path"], r["evidence"]) for r in got])
+    assert len(got) == 1000 and len({r["host"] for r in got}) > 2
+    for r, w in zip(got, want):
+        assert (r["host_rate"], r["path_rate"], r["score"]) == pytest.approx(w, rel=1e-9)
+        assert r["accepted"] == (r["score"] >= Q.ACCEPT)
