@@ -81,8 +81,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "do
     if ledger is not None:
         ledger = ledger.filter(F.col("rules_version") == rules_version).dropDuplicates(["blob"])
         unseen = written(paths.select("blob").distinct().join(ledger.select("blob"), "blob", "left_anti"), "unseen-blobs", free=True)
-        texts = texts.join(unseen.hint("shuffle_hash"), "blob", "left_semi")
+    # Copies collapse before anything is dealt by blob.
     one_each = texts.groupBy("blob").agg(F.first("text").alias("text"))
+    if ledger is not None:
+        one_each = one_each.join(unseen, "blob", "left_semi")
     new = written(scan_texts(one_each).select("blob", F.lit(rules_version).cast("int").alias("rules_version"), "spans"),
                   "secret-ledger", free=True)
     known = new.withColumn("scanned", F.lit(True))
