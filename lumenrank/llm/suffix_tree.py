@@ -38,6 +38,8 @@ an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,6 +58,8 @@ MIN_GAIN = 0.01
 #: Text bytes per chunk; distinct words, and tokens, per owner of an exchange.
 CHUNK_BYTES = 6 * 1024 * 1024
 WORDS_PER_OWNER, TOKENS_PER_OWNER = 300_000, 1_000_000
+#: Owners are asked in so many passes, so that only a part of the questions is shuffled at a time.
+PASSES = 4
 
 #: Names of a text's end, and of a context's pairs that are not told apart; words from 2 on.
 _END, _REST, _FIRST = np.uint64(1), np.uint64(0), np.uint64(2)
@@ -237,7 +241,7 @@ def _answer_pairs(least: int):
         count = np.concatenate([_unplanes(x, np.int32) for x in asked["counts"].to_pylist()])
         first, pair = _distinct(_mix(context, key))
         seen = np.bincount(pair, weights=count, minlength=len(first))
-        below = np.concatenate([_unpack(x, np.float32) for x in asked["below"].to_pylist()])[first].astype(np.float64)
+        below = np.concatenate([_unplanes(x, np.float32) for x in asked["below"].to_pylist()])[first].astype(np.float64)
         kept = (seen >= least) & (key[first] != _REST)
         where, of = _distinct(context[first])
         size = len(where)
@@ -349,9 +353,9 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
             q = slice(bounds[o], bounds[o + 1])
             context, heads = asked.context[q], _runs(asked.context[q])
             rows.append({
-                "kind": "ask", "owner": o, "contexts": _planes(np.diff(context[heads], prepend=np.uint64(0))),
+                "kind": f"ask-{o % PASSES}", "owner": o, "contexts": _planes(np.diff(context[heads], prepend=np.uint64(0))),
                 "runs": _planes(np.diff(np.append(heads, len(context))).astype(np.uint32)), "key": _planes(asked.key[q]),
-                "counts": _planes(counts[q]), "below": _pack(below[q])})
+                "counts": _planes(counts[q]), "below": _planes(below[q])})
         left_over = p if d else p[:0]
         rows.append({"kind": "state"} | {c: _pack(x) for c, x in zip(_STATE, (left_over, np.packbits(often), score, base, known))})
         if d == 0:
@@ -395,14 +399,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
             _step(d, depth, least, n, v, texts, owners), _ROUND)
         step = kept_by(step, "chunk", f"contexts-{d + 1}", "kind")
         forget(*old)
-        sent = step.filter("kind = 'ask'").select("owner", "chunk", *_ASK)
-        right = written(sent.groupBy("owner").applyInArrow(
-            _answer_pairs(least), "chunk long, owner int, seen binary, n binary, freed binary"), f"answers-{d + 1}", free=True)
-        forget(step, folder="kind=ask")
+        told = []
+        for part in range(min(PASSES, owners)):
+            sent = step.filter(f"kind = 'ask-{part}'").select("owner", "chunk", *_ASK)
+            told.append(written(sent.groupBy("owner").applyInArrow(
+                _answer_pairs(least), "chunk long, owner int, seen binary, n binary, freed binary"), f"answers-{d + 1}", free=True))
+            forget(step, folder=f"kind=ask-{part}")
+        right = reduce(DataFrame.unionByName, told)
         if d == 0:  # the words stay with the first table
             text = text.join(step.filter("kind = 'words'").select("chunk", *_WORDS), "chunk")
         left = text.join(step.filter("kind = 'state'").select("chunk", *_STATE), "chunk")
-        old = [right, (step, "kind=state") if d == 0 else step]
+        old = [*told, (step, "kind=state") if d == 0 else step]
     out = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
         _step(depth, depth, least, n, v, texts, owners), f"id {id_type}, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double")

@@ -168,4 +168,4 @@ def test_no_occurrence_count_rises_with_the_corpus(spark, monkeypatch):
     df = spark.createDataFrame([(i, "a b " * 50) for i in range(5)], "doc_id long, text string")
     monkeypatch.setattr(S, "documents", lambda *_: df.selectExpr("doc_id", "repeat(text, 5000) AS text"))
     S.op1(spark, SF01).count()
-    assert seen == [2] * S.DEPTH
+    assert set(seen) == {2} and S.DEPTH <= len(seen) <= S.PASSES * S.DEPTH
