@@ -147,3 +147,53 @@ def test_wrong_vectors_fail_and_null_vectors_are_skipped(spark):
     odd = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "doc_id long, embedding array<double>")
     with pytest.raises(Exception, match="vectors of length"):
         dense.knn_search(q, odd, k=5).collect()
+
+
+def test_a_tile_is_bounded_whatever_the_sides_and_the_planner_says(spark, monkeypatch):
+    """Groups follow the counted rows: a planner's estimate of encoded vectors is far too low."""
+    for n_q, n_d in ((40, 3_000_000), (13_000, 47_000), (360_000, 3_000_000), (615_000, 615_000), (1, 1)):
+        q, d = dense.tile_groups(n_q, n_d, 256, 200, 24, 32 << 20)
+        assert -(-n_q // q) * (8 * 256 + 24 * 200) <= 34 << 20 and -(-n_d // d) * 8 * 256 <= 65 << 20
+        assert q * d >= min(24, n_q) and q <= n_q
+    seen = []
+    real = dense.tile_groups
+    monkeypatch.setattr(dense, "tile_groups", lambda *a: seen.append(a) or real(*a))
+    docs = spark.createDataFrame([(i, f"a{i} b") for i in range(70)], "doc_id long, text string")
+    dense.knn_search(vec_df(spark, {1: np.ones(16)}, "qid"), dense.hash_encode(docs, dim=16), k=3).count()
+    assert seen[0][:2] == (1, 70)
+
+
+def test_top_k_holds_a_few_lists_and_is_exact_in_any_order():
+    """Rising, falling, tied and NaN scores, blocks smaller and larger than k."""
+    rng = np.random.default_rng(5)
+    for order in ("rise", "fall", "tie", "any"):
+        n, q, k = 4000, 3, 25
+        scores = {"rise": np.sort(rng.normal(size=(q, n))), "fall": -np.sort(rng.normal(size=(q, n))),
+                  "tie": np.round(rng.normal(size=(q, n)), 1), "any": rng.normal(size=(q, n)) * 1e-5}[order]
+        scores[:, 7] = np.nan
+        ids = rng.permutation(n)
+        top, i = dense._RunningTopK(q, k), 0
+        for m in (10, 400, 25, 1000, 2565):
+            top.add(ids[i:i + m], scores[:, i:i + m])
+            assert sum(len(x[0]) for x in top.kept) <= dense.MERGE_FACTOR * q * k
+            i += m
+        at, r, d = top.result()
+        for j in range(q):
+            want = sorted(((-round(s, 6) if s == s else np.inf, x) for s, x in zip(scores[j].tolist(), ids.tolist())))[:k]
+            assert sorted(zip((-r[at == j]).tolist(), d[at == j].tolist())) == want
+
+
+def test_encoder_works_on_a_few_rows_of_a_batch_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from lumenrank.functions import hashing as H
+
+    codes = [[2 * (i % 5), 3] * (i % 4) if i % 7 else None for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(100)), "c": pa.array(codes, pa.list_(pa.int32()))})
+    whole = [b for b in H.arrow_encoder(8, "c", "v")([batch])]
+    monkeypatch.setattr(H, "STEP_ROWS", 9)
+    monkeypatch.setattr(H, "STEP_TOKENS", 11)
+    parts = list(H.arrow_encoder(8, "c", "v")([batch]))
+    assert max(b.num_rows for b in parts) <= 9 and len(parts) > 12
+    assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches(whole).to_pydict()
+    assert list(H.steps(np.array([50, 0, 3, 8, 1]))) == [(0, 1), (1, 4), (4, 5)]
