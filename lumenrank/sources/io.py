@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from lumenrank.functions.text import parse_answers
 from lumenrank.operators.ids import row_ids_text
@@ -29,6 +29,7 @@ TRAINING_SOURCE_SCHEMA = (
 TRAINING_ROWS_SCHEMA = "query string, pos array<string>, neg array<string>"
 RUN_SCHEMA = "qid long, rank int, doc_id long, score double"
 
+FILE_BYTES = 64 * 1024 * 1024  # text of one file that only one task can read
 TSV = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
@@ -118,6 +119,14 @@ def read_bm25_index(spark: SparkSession, path: str | None):
 
 
 # ---------------------------------------------------------------- sinks
+def file_count(texts: DataFrame, least: int = 1) -> int:
+    """How many files ``texts`` (its string columns, measured) is written to where a reader
+    cannot split a file (``multiLine``): ``FILE_BYTES`` a file, so no task reads much more."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in texts.schema.fields if f.dataType == StringType()]
+    total = texts.agg(F.sum(sum(sizes, F.lit(0).cast("bigint"))).alias("n")).first()["n"] or 0
+    return max(least, -(-total // FILE_BYTES))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """K1 / K4: JSON lines, UTF-8 kept as is, null fields written (not dropped)."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -121,3 +121,21 @@ def test_training_file_to_training_rows(spark, tmp_path):
     io.write_jsonl(tr.drop("qid"), str(tmp_path / "rows"))
     back = io.read_training_rows(spark, str(tmp_path / "rows"))
     assert sorted(rows(back, "query")) == [(f"q{i}",) for i in range(5)] and back.select("qid").distinct().count() == 5
+
+
+def test_corpus_tsv_takes_as_many_files_as_its_text_fills(spark, tmp_path, monkeypatch):
+    """A multi-line file is one task's, so files are dealt by bytes; ids still follow the rows."""
+    from lumenrank.plans import catalog
+
+    texts = [f"text {i}\n\"second\" line" if i % 9 else None for i in range(300)]
+    docs = spark.createDataFrame([(i, "web", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(io, "FILE_BYTES", 500)
+    assert io.file_count(docs, 4) > 10 and io.file_count(docs.limit(0), 4) == 4
+    written = []
+    real = io.write_corpus_tsv
+    monkeypatch.setattr(io, "write_corpus_tsv", lambda df, path: (written.append(path), real(df, path)))
+    got = sorted(rows(catalog.q_roundtrip_tsv(spark, str(tmp_path)), "id", "text"))
+    assert got == [(i, t) for i, t in enumerate(texts)]
+    sizes = [os.path.getsize(f"{written[0].removeprefix('file:')}/{f}") for f in os.listdir(written[0].removeprefix("file:")) if f.endswith(".csv")]
+    assert len(sizes) > 10 and max(sizes) < 3000
