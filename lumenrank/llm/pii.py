@@ -104,7 +104,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             near = F.concat_ws("\n", *surrounding(f"raw_{kind}", s, CONTEXT))
             score = F.lit(prior) + F.when(F.lower(near).rlike(rf"\b(?:{context})\b"), CONTEXT_BONUS).otherwise(0.0)
             return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"),
-                            F.lit(kind).alias("kind"), s["found"].alias("found"), F.least(score, F.lit(1.0)).alias("score"))
+                            F.lit(kind).alias("kind"), s["found"].alias("found"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
         valid = F.filter(F.col(f"raw_{kind}"), lambda s: _valid(kind, s["found"]))
         df = df.withColumn(kind, F.transform(valid, scored)).drop(f"raw_{kind}", f"raw_{kind}_around")
