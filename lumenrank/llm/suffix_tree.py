@@ -13,9 +13,10 @@ text. The root state is the smoothed token distribution of the training part,
    (context, next) pairs with their training counts and the next token's probability so
    far, dealt by a hash of the context; owners add up, test, and answer each chunk. The
    tree is never in one place: an owner holds its contexts, a chunk the answers it needs.
-   Questions are sorted by context and packed as gaps, answers as counts; a chunk's text and
-   state stay where they are, in tables bucketed by chunk. What a depth no longer needs is
-   deleted once the next table is written.
+   Questions are sorted by context and packed as gaps, answers as counts, probabilities with
+   repeated ones once; an owner has a range of the hashes. A chunk's text and state stay where
+   they are, in tables bucketed by chunk. What a depth no longer needs is deleted once the
+   next table is written.
 4. Smoothing. A context's distribution discounts each pair's count by one and leaves the
    freed mass to its suffix's distribution. A pair seen once keeps nothing, so only pairs
    seen ``least`` = 2 times are told apart; the others of a context are one sum. That
@@ -92,7 +93,7 @@ def _chunks(batches):
                 "held": pa.concat_arrays([_one(held), pa.nulls(1, pa.list_(held.type))]),
                 "lengths": pa.concat_arrays([pa.array([_pack(lengths.astype(np.int64))], pa.binary()), none]),
                 "codes": pa.concat_arrays([pa.array([_pack(codes)], pa.binary()), none]),
-                "vocab": pa.concat_arrays([pa.nulls(1, pa.list_(pa.string())), _one(coded.dictionary.cast(pa.string()))]),
+                "vocab": pa.array([None, _pack_words(coded.dictionary)], pa.binary()),
                 "counts": pa.array([None, _pack(counts)], pa.binary()), "words": pa.array([len(counts), None], pa.int64()),
                 "tokens": pa.array([int(lengths[train].sum() + train.sum()), None], pa.int64()),
                 "texts": pa.array([int(train.sum()), None], pa.int64())})
@@ -125,9 +126,9 @@ def _unplanes(blob: bytes, kind) -> np.ndarray:
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places of the distinct values, and per value its distinct one."""
     coded = pa.array(x).dictionary_encode()
-    of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.empty(len(coded.dictionary), np.int64)
-    first[of[::-1]] = np.arange(len(x) - 1, -1, -1)
+    of, size = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+    first = np.empty(size, np.int32)
+    first[of[::-1]] = np.arange(len(x) - 1, -1, -1, dtype=np.int32)
     return first, of
 
 
@@ -136,6 +137,41 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], decompressed_size=n, codec="zstd"), kind) if n else np.zeros(0, kind)
 
 
+def _pack_words(words: pa.Array) -> bytes:
+    """Words have no white space, so one text holds them."""
+    if not len(words):
+        return b""
+    text = pc.binary_join(_one(words.cast(pa.string())), " ")[0].as_buffer()
+    return text.size.to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _unpack_words(blob: bytes) -> pa.Array:
+    if not blob:
+        return pa.array([], pa.large_string())
+    text = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd")
+    one = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, text.size], np.int64)), text)
+    return pc.split_pattern(one, " ").flatten()
+
+
+def _told(x: np.ndarray) -> bytes:
+    """Like ``_planes``, with repeated values once: a bit for each number that is new, the new ones, places of the others."""
+    first, of = _distinct(np.ascontiguousarray(x).view(f"u{x.itemsize}"))
+    new = np.zeros(len(x), bool)
+    new[first] = True
+    parts = [_pack(np.packbits(new)), _planes(x[first]), _planes(of[~new])]
+    return b"".join([len(x).to_bytes(8, "little"), *(len(p).to_bytes(8, "little") for p in parts), *parts])
+
+
+def _untold(blob: bytes, kind) -> np.ndarray:
+    n, *sizes = np.frombuffer(blob, "<i8", 4).tolist()
+    ends = np.cumsum([32, *sizes]).tolist()
+    bits, values, others = (blob[lo:hi] for lo, hi in zip(ends, ends[1:]))
+    new, values, out = np.unpackbits(_unpack(bits, np.uint8), count=n).astype(bool), _unplanes(values, kind), np.empty(n, kind)
+    out[new] = values
+    out[~new] = values[_unplanes(others, np.int32)]
+    return out
+
+
 def _word_hashes(vocab: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocab.to_pylist()), np.uint64, len(vocab))
 
@@ -145,7 +181,7 @@ def _ask_words(owners: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                vocab = b.column(1)[i].values
+                vocab = _unpack_words(b.column(1)[i].as_py())
                 if not len(vocab):
                     continue
                 owner = (_word_hashes(vocab) % np.uint64(owners)).astype(np.int64)
@@ -153,11 +189,11 @@ def _ask_words(owners: int):
                 bounds = np.searchsorted(owner[order], np.arange(owners + 1))
                 counts = _unpack(b.column(2)[i].as_py(), np.int64)[order]
                 sent = np.flatnonzero(np.diff(bounds))
-                offsets = pa.array([*bounds[sent].tolist(), len(order)], pa.int32())
+                vocab = vocab.take(pa.array(order))
                 parts = [slice(bounds[o], bounds[o + 1]) for o in sent]
                 yield pa.RecordBatch.from_pydict({
                     "owner": pa.array(sent, pa.int32()), "chunk": pa.array([b.column(0)[i].as_py()] * len(sent), pa.int64()),
-                    "words": pa.ListArray.from_arrays(offsets, vocab.take(pa.array(order))),
+                    "words": pa.array([_pack_words(vocab[p]) for p in parts], pa.binary()),
                     "counts": pa.array([_pack(counts[p]) for p in parts], pa.binary()),
                     "places": pa.array([_pack(order[p]) for p in parts], pa.binary())})
 
@@ -166,13 +202,14 @@ def _ask_words(owners: int):
 
 def _answer_words(owners: int):
     def run(asked: pa.Table) -> pa.Table:
-        lists = asked["words"].combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        lists = [_unpack_words(x) for x in asked["words"].to_pylist()]
+        ends = np.cumsum([len(x) for x in lists])
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        del lists
         codes = coded.indices.to_numpy(zero_copy_only=False)
         counts = np.concatenate([_unpack(x, np.int64) for x in asked["counts"].to_pylist()])
         totals = np.bincount(codes, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
         names = np.arange(len(totals), dtype=np.uint64) * np.uint64(owners) + np.uint64(asked["owner"][0].as_py()) + _FIRST
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         parts = [codes[e - n:e] for e, n in zip(ends, np.diff(ends, prepend=0))]
         rows = asked.num_rows
         return pa.table({
@@ -187,32 +224,41 @@ def _answer_words(owners: int):
 
 # ------------------------------------------------------- contexts: ask and answer
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B185EBCA87) + b
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+    x = a * np.uint64(0x9E3779B185EBCA87)
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 class _Asked:
-    """The distinct (context, next) pairs of depth ``d`` in a chunk, by owner and context.
+    """The distinct (context, next) pairs of depth ``d`` in a chunk, by context. An owner has a
+    range of contexts, so they are by owner too.
 
     ``often``: per token whether its pair of the depth above is told apart. A context is
     looked at where it is such a pair itself, its last token being the one before."""
 
-    def __init__(self, names: np.ndarray, starts: np.ndarray, often: np.ndarray, d: int, owners: int):
-        self.at = np.flatnonzero(_next(often, starts))
+    def __init__(self, names: np.ndarray, starts: np.ndarray, often: np.ndarray, d: int):
+        self.at = np.flatnonzero(_next(often, starts)).astype(np.int32)
         context = np.zeros(len(self.at), np.uint64)
         for j in range(1, d + 1):
             context = _mix(context, names[self.at - j])
-        key = np.where(often[self.at], names[self.at], _REST)
-        first, slot = _distinct(_mix(context, key))
-        owner = ((context[first] >> np.uint64(33)) % np.uint64(owners)).astype(np.int64)
-        order = np.lexsort((context[first], owner))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.slot = place[slot]
-        self.first = first[order]
-        self.context, self.key, self.owner = context[self.first], key[self.first], owner[order]
+        first, slot = _distinct(_mix(context, _keys(names, often, self.at)))
+        context = context[first]
+        order = np.argsort(context, kind="stable").astype(np.int32)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.slot, self.first, self.context = place[slot], first[order], context[order]
+
+    def owner(self, owners: int) -> np.ndarray:
+        return (((self.context >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int32)
+
+
+def _keys(names: np.ndarray, often: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.where(often[at], names[at], _REST)
 
 
 def _next(often: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -241,7 +287,7 @@ def _answer_pairs(least: int):
         count = np.concatenate([_unplanes(x, np.int32) for x in asked["counts"].to_pylist()])
         first, pair = _distinct(_mix(context, key))
         seen = np.bincount(pair, weights=count, minlength=len(first))
-        below = np.concatenate([_unplanes(x, np.float32) for x in asked["below"].to_pylist()])[first].astype(np.float64)
+        below = np.concatenate([_untold(x, np.float32) for x in asked["below"].to_pylist()])[first].astype(np.float64)
         kept = (seen >= least) & (key[first] != _REST)
         where, of = _distinct(context[first])
         size = len(where)
@@ -270,7 +316,8 @@ def _answer_pairs(least: int):
 
 #: A chunk's tables: its words' numbers and totals once, its state and its questions anew at each depth.
 _WORDS = ("names", "totals")
-_STATE = {"p": np.float64, "reached": np.uint8, "score": np.float64, "base": np.float64, "known": np.int64}
+_STATE = {"p": (_untold, _told, np.float64), "reached": (_unpack, _pack, np.uint8), "score": (_unpack, _pack, np.float64),
+          "base": (_unpack, _pack, np.float64), "known": (_unpack, _pack, np.int64)}
 _ASK = ("contexts", "runs", "key", "counts", "below")
 
 
@@ -292,7 +339,7 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
         size = int(lengths.sum() + m)
-        doc = np.repeat(np.arange(m), lengths + 1)
+        doc = np.repeat(np.arange(m, dtype=np.int32), lengths + 1)
         codes, vocab = _unpack(left["codes"][0].as_py(), np.int32), left["words"][0].as_py()
         is_end = np.zeros(size, bool)
         is_end[ends] = True
@@ -315,10 +362,11 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
             count, p = first_probabilities(count_of)
             known = np.bincount(doc, weights=count > 0, minlength=m).astype(np.int64)
             base = np.bincount(doc, weights=np.log10(p), minlength=m)
-            score, often, at = np.zeros(m), count >= least, np.arange(size)
+            score, often, at = np.zeros(m), count >= least, np.arange(size, dtype=np.int32)
+            del count
         else:
-            p, bits, score, base, known = (_unpack(left[c][0].as_py(), kind) for c, kind in _STATE.items())
-            asked = _Asked(names, starts, np.unpackbits(bits, count=size).astype(bool), d, owners)
+            p, bits, score, base, known = (take(left[c][0].as_py(), kind) for c, (take, _, kind) in _STATE.items())
+            asked = _Asked(names, starts, np.unpackbits(bits, count=size).astype(bool), d)
             answers = right.sort_by("owner")
             at, often = asked.at, np.zeros(size, bool)
             if d == 1:  # of the first depth, the words' totals say it all
@@ -327,13 +375,17 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
                 seen, total, freed = (np.concatenate([_unplanes(x, np.int64) for x in answers[c].to_pylist()])
                                       for c in ("seen", "n", "freed"))
                 heads = _runs(asked.context)  # owners differ in their contexts, so no run goes over two
-                run_of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(asked.context))))
-                total, freed = total[run_of], freed[run_of]
+                run_of = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(asked.context))))
                 state, kept = total > 0, seen > 0
-                own = np.where(state & kept, (seen - 1) / np.maximum(total, 1), 0.0)
-                factor = np.where(state, freed / np.maximum(total, 1), 1.0)
-                p = own[asked.slot] + factor[asked.slot] * p
+                total = np.maximum(total, 1)
+                factor = np.where(state, freed / total, 1.0)[run_of]
+                own = np.where(state[run_of] & kept, (seen - 1) / total[run_of], 0.0)
+                del seen, total, freed, state, run_of, heads
+                p = factor[asked.slot] * p
+                p += own[asked.slot]
                 often[at] = kept[asked.slot]
+                del factor, own, kept
+            del asked  # its arrays go before the next depth's are made
 
         more = _next(often, starts)[at] if d < depth else np.zeros(len(at), bool)
         score = score + np.bincount(doc[at[~more]], weights=np.log10(p[~more]), minlength=m)
@@ -343,21 +395,24 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
                 "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * m, pa.int64()),
                 "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
         p = p[more]
-        asked = _Asked(names, starts, often, d + 1, owners)
+        del at, more
+        asked = _Asked(names, starts, often, d + 1)
         train = ~held.to_numpy(zero_copy_only=False).astype(bool)[doc[asked.at]]
         counts = np.bincount(asked.slot, weights=train, minlength=len(asked.first)).astype(np.int32)
-        below = np.where(asked.key != _REST, p[asked.first], 0.0).astype(np.float32)
-        bounds = np.searchsorted(asked.owner, np.arange(owners + 1))
+        key = _keys(names, often, asked.at[asked.first])
+        below = np.where(key != _REST, p[asked.first], 0.0).astype(np.float32)
+        owner = asked.owner(owners)
+        bounds = np.searchsorted(owner, np.arange(owners + 1))
         rows: list[dict] = []
         for o in np.flatnonzero(np.diff(bounds)).tolist():
             q = slice(bounds[o], bounds[o + 1])
             context, heads = asked.context[q], _runs(asked.context[q])
             rows.append({
                 "kind": f"ask-{o % PASSES}", "owner": o, "contexts": _planes(np.diff(context[heads], prepend=np.uint64(0))),
-                "runs": _planes(np.diff(np.append(heads, len(context))).astype(np.uint32)), "key": _planes(asked.key[q]),
-                "counts": _planes(counts[q]), "below": _planes(below[q])})
+                "runs": _planes(np.diff(np.append(heads, len(context))).astype(np.uint32)), "key": _planes(key[q]),
+                "counts": _planes(counts[q]), "below": _told(below[q])})
         left_over = p if d else p[:0]
-        rows.append({"kind": "state"} | {c: _pack(x) for c, x in zip(_STATE, (left_over, np.packbits(often), score, base, known))})
+        rows.append({"kind": "state"} | {c: put(x) for (c, (_, put, _)), x in zip(_STATE.items(), (left_over, np.packbits(often), score, base, known))})
         if d == 0:
             rows.append({"kind": "words", "names": _planes(name_of), "totals": _planes(count_of)})
         return pa.table({
@@ -376,7 +431,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
     chunks = kept_by(df.select(F.col(id_col).alias("id"), (fold == held_out).alias("held"), F.col(text_col).alias("text"))
                      .mapInArrow(_chunks, f"kind string, chunk long, ids array<{id_type}>, held array<boolean>, lengths binary, "
-                                 "codes binary, vocab array<string>, counts binary, words long, tokens long, texts long"),
+                                 "codes binary, vocab binary, counts binary, words long, tokens long, texts long"),
                      "chunk", "chunks", "kind")
     text, vocab = chunks.filter("kind = 'text'"), chunks.filter("kind = 'vocab'")
     size = text.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
@@ -384,7 +439,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
     word_owners = (size["words"] or 0) // WORDS_PER_OWNER + 1
     asked = vocab.select("chunk", "vocab", "counts").mapInArrow(
-        _ask_words(word_owners), "owner int, chunk long, words array<string>, counts binary, places binary")
+        _ask_words(word_owners), "owner int, chunk long, words binary, counts binary, places binary")
     totals = written(asked.groupBy("owner").applyInArrow(
         _answer_words(word_owners), "chunk long, places binary, totals binary, names binary, distinct long"), "totals", free=True)
     forget(chunks, folder="kind=vocab")

@@ -1,9 +1,13 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +173,44 @@ def test_no_occurrence_count_rises_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(S, "documents", lambda *_: df.selectExpr("doc_id", "repeat(text, 5000) AS text"))
     S.op1(spark, SF01).count()
     assert set(seen) == {2} and S.DEPTH <= len(seen) <= S.PASSES * S.DEPTH
+
+
+def test_a_chunk_takes_few_bytes_a_token_in_a_task(monkeypatch):
+    """Two workers and the JVM share an executor: a step's arrays go as soon as they are used."""
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(S, "TaskContext", Context)
+    r = random.Random(7)
+    vocab = [f"w{int(r.paretovariate(0.8))}" for _ in range(200_000)]
+    texts = [" ".join(vocab[i:i + 400]) for i in range(0, len(vocab), 400)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "held": [i % 5 == 1 for i in range(len(texts))], "text": texts})
+    chunks = pa.Table.from_batches(list(S._chunks([batch])))
+    text, words = chunks.slice(0, 1), chunks.slice(1, 1)
+    n, size = text["tokens"][0].as_py(), len(vocab) + len(texts)
+    asked = pa.Table.from_batches(list(S._ask_words(1)(words.select(["chunk", "vocab", "counts"]).to_batches())))
+    answers = S._answer_words(1)(asked)
+    told = answers.filter(pc.is_valid(answers["chunk"]))
+    step = lambda d, left, right: S._step(d, 5, 2, n, len(set(vocab)) + 1, len(texts), 4)(left, right)
+    peaks = []
+    for d in range(2):
+        tracemalloc.start()
+        out = step(d, text, told)
+        peaks.append(tracemalloc.get_traced_memory()[1] / size)
+        tracemalloc.stop()
+        kinds = out["kind"].to_pylist()
+        told = pa.concat_tables(S._answer_pairs(2)(out.slice(i, 1)) for i, k in enumerate(kinds) if k.startswith("ask"))
+        for c in S._WORDS if d == 0 else ():
+            text = text.append_column(c, out.slice(kinds.index("words"), 1)[c])
+        for c in S._STATE:
+            text = text.append_column(c, out.slice(kinds.index("state"), 1)[c])
+    assert max(peaks) < 72, peaks
+
+
+def test_packed_words_and_numbers_come_back():
+    for words in ([], ["a"], ["é", "b\u00a0c", "日本", "x" * 1000, "a\u2003b", "\x1f"]):
+        assert S._unpack_words(S._pack_words(pa.array(words, pa.string()))).to_pylist() == words
+    for x in ([], [0.5], [0.25, 0.1, 0.25, 0.25, 0.7, 0.1], [1.0] * 1000):
+        for kind in (np.float32, np.float64):
+            assert S._untold(S._told(np.array(x, kind)), kind).tolist() == np.array(x, kind).tolist()
