@@ -27,9 +27,9 @@ text. The root state is the smoothed token distribution of the training part,
 6. Scoring. Per token the longest suffix state of its history gives the probability. A
    token whose context was seen once is done and is not asked for at greater depths.
 
-Contexts are named by 64-bit hashes. A hot word, pair or document group is one
-row per chunk; a hot context's distinct pairs per chunk meet at one owner. Nothing but
-the sums of a few counts reaches the driver.
+Contexts are named by 64-bit hashes, sums of their words' mixed numbers. A hot word, pair or
+document group is one row per chunk; a hot context's distinct pairs per chunk meet at one
+owner. Nothing but the sums of a few counts reaches the driver.
 
 Edge cases: a null text counts as empty, its only token is the end; a null id has the
 checksum of the empty string; repeated rows count and are scored each; a text of any length
@@ -64,6 +64,10 @@ PASSES = 4
 
 #: Names of a text's end, and of a context's pairs that are not told apart; words from 2 on.
 _END, _REST, _FIRST = np.uint64(1), np.uint64(0), np.uint64(2)
+#: A context's hash is the sum of its mixed names, the j-th before the token times this to the power of j.
+_TURN = 0x9E3779B185EBCA87
+#: Bytes of the longest word that is hashed together with others.
+_LONG = 64
 
 
 # ------------------------------------------------------------------ chunks
@@ -81,11 +85,12 @@ def _chunks(batches):
             flat, lengths = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
             keep = pc.not_equal(flat, "")  # white space at either end leaves an empty piece
             doc = np.repeat(np.arange(hi - lo), lengths)[keep.to_numpy(zero_copy_only=False)]
-            coded = flat.filter(keep).dictionary_encode()
+            coded = (flat if len(doc) == len(flat) else flat.filter(keep)).dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
             train = ~held.to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(codes, weights=train[doc], minlength=len(coded.dictionary)).astype(np.int64)
             lengths = np.bincount(doc, minlength=hi - lo)
+            codes = np.insert(codes, np.cumsum(lengths), np.int32(len(counts)))  # an end's number follows the words'
             none = pa.nulls(1, pa.binary())
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array(["text", "vocab"], pa.string()), "chunk": pa.array([(part << 32) | no] * 2, pa.int64()),
@@ -109,18 +114,21 @@ def _pack(x: np.ndarray) -> bytes:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Like ``_pack`` with the numbers' first bytes together, then their second ones and so on."""
+    """Like ``_pack`` with the numbers' first bytes together, then their second ones and so on,
+    as many as the largest has."""
     x = np.ascontiguousarray(x)
-    turned = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return len(x).to_bytes(8, "little") + pa.compress(turned.tobytes(), codec="zstd", asbytes=True)
+    width = (int(x.view(f"u{x.itemsize}").max()).bit_length() + 7) // 8 if len(x) else 0
+    turned = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width].T)
+    return len(x).to_bytes(8, "little") + bytes([width]) + pa.compress(turned, codec="zstd", asbytes=True)
 
 
 def _unplanes(blob: bytes, kind) -> np.ndarray:
-    n, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    turned = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * width, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(turned.reshape(width, n).T).view(kind).ravel()
+    n, width = int.from_bytes(blob[:8], "little"), blob[8]
+    out = np.zeros(n, kind)
+    if width:
+        turned = np.frombuffer(pa.decompress(blob[9:], decompressed_size=n * width, codec="zstd"), np.uint8)
+        out.view(np.uint8).reshape(n, out.itemsize)[:, :width] = turned.reshape(width, n).T
+    return out
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +140,51 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, of
 
 
+def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in order (of equal ones the earlier first), and the hashes in order. A
+    place takes the low bits of its hash, as numbers sort many times faster than an index of
+    them; the few hashes that differ in their low bits alone are put in order afterwards."""
+    low = np.uint64((1 << len(x).bit_length()) - 1)
+    packed = x & ~low
+    packed |= np.arange(len(x), dtype=np.uint64)
+    packed.sort()
+    packed &= low
+    order = packed.view(np.int64)
+    x = x.take(order)
+    wrong = np.flatnonzero(x[1:] < x[:-1])
+    if len(wrong):
+        group = np.zeros(len(x), np.int32)
+        group[1:] = np.cumsum((x[1:] ^ x[:-1]) > low)
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[wrong]] = True
+        at = np.flatnonzero(mixed[group])
+        again = np.argsort(x[at], kind="stable")
+        order[at], x[at] = order[at][again], x[at][again]
+    return order, x
+
+
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of hashes in order, for each of these the number of its distinct hash, and the
+    distinct ones' first places."""
+    order, x = _order(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return order, np.cumsum(new) - 1, order.compress(new)
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_distinct`` for many different hashes; the distinct ones are in order."""
+    order, number, first = _groups(x)
+    of = np.empty(len(x), np.int64)
+    of[order] = number
+    return first, of
+
+
+def _take(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``x[at]``, which takes twice as long with places of 32 bits."""
+    return x.take(at.astype(np.int64))
+
+
 def _unpack(blob: bytes, kind) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little") * np.dtype(kind).itemsize
     return np.frombuffer(pa.decompress(blob[8:], decompressed_size=n, codec="zstd"), kind) if n else np.zeros(0, kind)
@@ -173,7 +226,24 @@ def _untold(blob: bytes, kind) -> np.ndarray:
 
 
 def _word_hashes(vocab: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocab.to_pylist()), np.uint64, len(vocab))
+    """Eight bytes of all words at a time; words longer than ``_LONG`` bytes one by one."""
+    vocab = vocab.cast(pa.large_binary())
+    offsets = np.frombuffer(vocab.buffers()[1], np.int64, len(vocab) + 1, vocab.offset * 8)
+    size, out = np.diff(offsets), np.zeros(len(vocab), np.uint64)
+    short = np.flatnonzero(size <= _LONG)
+    text = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)
+    text[:-8] = np.frombuffer(vocab.buffers()[2], np.uint8, len(text) - 8, offsets[0])
+    eights = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    begin, left = offsets[short] - offsets[0], size[short]
+    out[short] = left
+    while len(short):
+        shift = (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+        out[short] = _mix(out[short], (eights[begin] << shift) >> shift)
+        more = left > 8
+        short, begin, left = short[more], begin[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(vocab[i].as_py())
+    return out
 
 
 # ------------------------------------------------------- token counts: ask and answer
@@ -241,26 +311,29 @@ class _Asked:
     ``often``: per token whether its pair of the depth above is told apart. A context is
     looked at where it is such a pair itself, its last token being the one before."""
 
-    def __init__(self, names: np.ndarray, starts: np.ndarray, often: np.ndarray, d: int):
-        self.at = np.flatnonzero(_next(often, starts)).astype(np.int32)
-        context = np.zeros(len(self.at), np.uint64)
+    def __init__(self, token: np.ndarray, mixed: np.ndarray, starts: np.ndarray, often: np.ndarray, d: int):
+        at = np.flatnonzero(_next(often, starts))
+        context = np.zeros(len(at), np.uint64)
         for j in range(1, d + 1):
-            context = _mix(context, names[self.at - j])
-        first, slot = _distinct(_mix(context, _keys(names, often, self.at)))
-        context = context[first]
-        order = np.argsort(context, kind="stable").astype(np.int32)
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        self.slot, self.first, self.context = place[slot], first[order], context[order]
+            context += _take(mixed, token.take(at - j)) * np.uint64(pow(_TURN, j, 1 << 64))
+        # No name's mixture is _REST, as the mixture can be undone.
+        pair = np.where(often.take(at), _take(mixed, token.take(at)), _REST)
+        self.at = at.astype(np.int32)
+        del at
+        pair += context
+        order, number, first = _groups(pair)
+        del pair
+        by, self.context = _order(context.take(first))
+        del context
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        self.slot, self.first = np.empty(len(order), np.int32), first.take(by)
+        self.slot[order] = place.take(number)
 
     def owner(self, owners: int) -> np.ndarray:
         return (((self.context >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int32)
 
 
-def _keys(names: np.ndarray, often: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.where(often[at], names[at], _REST)
-
-
 def _next(often: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Tokens after one that is ``often``, in the same text."""
     out = np.concatenate([[False], often[:-1]])[:len(often)]
@@ -285,11 +358,11 @@ def _answer_pairs(least: int):
         context = np.concatenate([np.repeat(np.cumsum(g, dtype=np.uint64), r) for g, r in zip(gaps, runs)])
         key = np.concatenate([_unplanes(x, np.uint64) for x in asked["key"].to_pylist()])
         count = np.concatenate([_unplanes(x, np.int32) for x in asked["counts"].to_pylist()])
-        first, pair = _distinct(_mix(context, key))
+        first, pair = _numbered(_mix(context, key))
         seen = np.bincount(pair, weights=count, minlength=len(first))
         below = np.concatenate([_untold(x, np.float32) for x in asked["below"].to_pylist()])[first].astype(np.float64)
         kept = (seen >= least) & (key[first] != _REST)
-        where, of = _distinct(context[first])
+        where, of = _numbered(context.take(first))
         size = len(where)
         n = np.bincount(of, weights=seen, minlength=size)
         freed = n - np.bincount(of, weights=np.where(kept, seen - 1, 0), minlength=size)
@@ -336,71 +409,66 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
         lengths = _unpack(left["lengths"][0].as_py(), np.int64)
         held = left["held"][0].values
         m = len(lengths)
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
+        starts = np.cumsum(lengths + 1) - 1 - lengths
         size = int(lengths.sum() + m)
-        doc = np.repeat(np.arange(m, dtype=np.int32), lengths + 1)
-        codes, vocab = _unpack(left["codes"][0].as_py(), np.int32), left["words"][0].as_py()
-        is_end = np.zeros(size, bool)
-        is_end[ends] = True
+        vocab = left["words"][0].as_py()
+        name_of, count_of = np.full(vocab + 1, _END, np.uint64), np.full(vocab + 1, texts, np.int64)  # the end comes last
         if d == 0:
-            count_of, name_of = np.zeros(max(1, vocab), np.int64), np.zeros(max(1, vocab), np.uint64)
             for places, totals, given in zip(*(right[c].to_pylist() for c in ("places", "totals", "names"))):
                 at = _unpack(places, np.int32)
                 count_of[at], name_of[at] = _unplanes(totals, np.int64), _unplanes(given, np.uint64)
         else:
-            name_of = _unplanes(left["names"][0].as_py(), np.uint64)
-        names = np.full(size, _END, np.uint64)
-        names[~is_end] = name_of[codes]
-
-        def first_probabilities(count_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            count = np.full(size, texts, np.int64)
-            count[~is_end] = count_of[codes]
-            return count, (count + 0.5) / (n + 0.5 * (v + 1))
+            name_of[:-1] = _unplanes(left["names"][0].as_py(), np.uint64)
+            if d == 1:  # of the first depth, the words' totals say it all
+                count_of[:-1] = _unplanes(left["totals"][0].as_py(), np.int64)
+        mixed, p_of = _mix(np.zeros(vocab + 1, np.uint64), name_of), (count_of + 0.5) / (n + 0.5 * (v + 1))
+        token = _unpack(left["codes"][0].as_py(), np.int32)
+        doc = np.repeat(np.arange(m, dtype=np.int32), lengths + 1)
 
         if d == 0:
-            count, p = first_probabilities(count_of)
-            known = np.bincount(doc, weights=count > 0, minlength=m).astype(np.int64)
-            base = np.bincount(doc, weights=np.log10(p), minlength=m)
-            score, often, at = np.zeros(m), count >= least, np.arange(size, dtype=np.int32)
-            del count
+            known = np.bincount(doc, weights=_take(count_of > 0, token), minlength=m).astype(np.int64)
+            base = np.bincount(doc, weights=_take(np.log10(p_of), token), minlength=m)
+            score, often, at = np.zeros(m), _take(count_of >= least, token), np.arange(size, dtype=np.int32)
+            p = _take(p_of, token)
         else:
             p, bits, score, base, known = (take(left[c][0].as_py(), kind) for c, (take, _, kind) in _STATE.items())
-            asked = _Asked(names, starts, np.unpackbits(bits, count=size).astype(bool), d)
+            asked = _Asked(token, mixed, starts, np.unpackbits(bits, count=size).astype(bool), d)
             answers = right.sort_by("owner")
             at, often = asked.at, np.zeros(size, bool)
-            if d == 1:  # of the first depth, the words' totals say it all
-                p = first_probabilities(_unplanes(left["totals"][0].as_py(), np.int64))[1][at]
+            if d == 1:
+                p = _take(p_of, _take(token, at))
             if len(at):
                 seen, total, freed = (np.concatenate([_unplanes(x, np.int64) for x in answers[c].to_pylist()])
                                       for c in ("seen", "n", "freed"))
                 heads = _runs(asked.context)  # owners differ in their contexts, so no run goes over two
-                run_of = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(asked.context))))
+                long = np.diff(np.append(heads, len(asked.context)))
                 state, kept = total > 0, seen > 0
                 total = np.maximum(total, 1)
-                factor = np.where(state, freed / total, 1.0)[run_of]
-                own = np.where(state[run_of] & kept, (seen - 1) / total[run_of], 0.0)
-                del seen, total, freed, state, run_of, heads
-                p = factor[asked.slot] * p
-                p += own[asked.slot]
-                often[at] = kept[asked.slot]
-                del factor, own, kept
+                factor = np.repeat(np.where(state, freed / total, 1.0), long)
+                own = np.where(np.repeat(state, long) & kept, (seen - 1) / np.repeat(total, long), 0.0)
+                del seen, total, freed, state, heads, long
+                slot = asked.slot.astype(np.int64)
+                p = factor.take(slot) * p
+                p += own.take(slot)
+                often[at] = kept.take(slot)
+                del factor, own, kept, slot
             del asked  # its arrays go before the next depth's are made
 
         more = _next(often, starts)[at] if d < depth else np.zeros(len(at), bool)
-        score = score + np.bincount(doc[at[~more]], weights=np.log10(p[~more]), minlength=m)
+        score = score + np.bincount(doc[at.compress(~more)], weights=np.log10(p.compress(~more)), minlength=m)
         if d == depth:
             return pa.table({
                 "id": left["ids"][0].values, "held_out": held, "n_tokens": pa.array(lengths + 1, pa.int64()),
                 "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * m, pa.int64()),
                 "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
-        p = p[more]
+        p = p.compress(more)
         del at, more
-        asked = _Asked(names, starts, often, d + 1)
-        train = ~held.to_numpy(zero_copy_only=False).astype(bool)[doc[asked.at]]
+        asked = _Asked(token, mixed, starts, often, d + 1)
+        train = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), lengths + 1)[asked.at]
         counts = np.bincount(asked.slot, weights=train, minlength=len(asked.first)).astype(np.int32)
-        key = _keys(names, often, asked.at[asked.first])
-        below = np.where(key != _REST, p[asked.first], 0.0).astype(np.float32)
+        at = _take(asked.at, asked.first)
+        key = np.where(often[at], _take(name_of, token[at]), _REST)
+        below = np.where(key != _REST, p.take(asked.first), 0.0).astype(np.float32)
         owner = asked.owner(owners)
         bounds = np.searchsorted(owner, np.arange(owners + 1))
         rows: list[dict] = []
@@ -414,7 +482,7 @@ def _step(d: int, depth: int, least: int, n: int, v: int, texts: int, owners: in
         left_over = p if d else p[:0]
         rows.append({"kind": "state"} | {c: put(x) for (c, (_, put, _)), x in zip(_STATE.items(), (left_over, np.packbits(often), score, base, known))})
         if d == 0:
-            rows.append({"kind": "words", "names": _planes(name_of), "totals": _planes(count_of)})
+            rows.append({"kind": "words", "names": _planes(name_of[:-1]), "totals": _planes(count_of[:-1])})
         return pa.table({
             "kind": pa.array([r["kind"] for r in rows], pa.string()), "owner": pa.array([r.get("owner") for r in rows], pa.int32()),
             "chunk": pa.array([left["chunk"][0].as_py()] * len(rows), pa.int64()),

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -214,3 +215,63 @@ def test_packed_words_and_numbers_come_back():
     for x in ([], [0.5], [0.25, 0.1, 0.25, 0.25, 0.7, 0.1], [1.0] * 1000):
         for kind in (np.float32, np.float64):
             assert S._untold(S._told(np.array(x, kind)), kind).tolist() == np.array(x, kind).tolist()
+
+
+def test_a_chunk_takes_little_time_in_a_task(monkeypatch):
+    """A chunk's questions, both times that they are made, and its words' owners: in units of one
+    index sort of as many hashes, so that a slow machine does not matter."""
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(S, "TaskContext", Context)
+    r = np.random.default_rng(7)
+    vocab = [f"w{i}" for i in (r.pareto(0.8, 200_000) * 100 + 1).astype(np.int64).tolist()]
+    texts = [" ".join(vocab[i:i + 400]) for i in range(0, len(vocab), 400)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "held": [i % 5 == 1 for i in range(len(texts))], "text": texts})
+    chunks = pa.Table.from_batches(list(S._chunks([batch])))
+    text, words = chunks.slice(0, 1), chunks.slice(1, 1).select(["chunk", "vocab", "counts"]).to_batches()
+    n, asking = text["tokens"][0].as_py(), S._ask_words(1)
+    told = S._answer_words(1)(pa.Table.from_batches(list(asking(words))))
+    told = told.filter(pc.is_valid(told["chunk"]))
+    step = lambda d, left, right: S._step(d, 5, 2, n, len(set(vocab)) + 1, len(texts), 4)(left, right)
+    out = step(0, text, told)
+    kinds = out["kind"].to_pylist()
+    answers = pa.concat_tables(S._answer_pairs(2)(out.slice(i, 1)) for i, k in enumerate(kinds) if k.startswith("ask"))
+    deep = text
+    for c in (*S._WORDS, *S._STATE):
+        deep = deep.append_column(c, out.slice(kinds.index("words" if c in S._WORDS else "state"), 1)[c])
+    hashes = r.integers(0, 1 << 63, len(vocab), np.uint64)
+
+    def seconds(f):
+        best = math.inf
+        for _ in range(7):
+            began = time.process_time()
+            f()
+            best = min(best, time.process_time() - began)
+        return best
+
+    unit = seconds(lambda: np.argsort(hashes, kind="stable"))
+    took = [seconds(f) / unit for f in (lambda: list(asking(words)), lambda: step(0, text, told), lambda: step(1, deep, answers))]
+    assert sum(took) < 8, took  # 10 to 12 while pairs were told apart by a hash table and words hashed one by one, now 6
+
+
+def test_hashes_in_order_and_their_groups():
+    r = np.random.default_rng(3)
+    for n, few in ((0, 1), (1, 1), (5000, 700), (5000, 10**9)):
+        x = r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        x = x[r.integers(0, min(n, few), n)] if n else x
+        x[: n // 3] = np.uint64(7 << 50) + x[: n // 3] % np.uint64(900)  # differ in bits that a place takes
+        order, values = S._order(x)
+        assert order.tolist() == np.argsort(x, kind="stable").tolist() and values.tolist() == sorted(x.tolist())
+        first, of = S._numbered(x)
+        assert x[first][of].tolist() == x.tolist() and len(first) == len(set(x.tolist()))
+        assert all(x.tolist().index(v) == at for at, v in list(zip(first.tolist(), x[first].tolist()))[:50])
+
+
+def test_words_hashes_depend_on_every_byte():
+    words = [w for k in (1, 7, 8, 9, 16, 17, S._LONG, S._LONG + 1, 1000) for w in ("a" * k, "a" * (k - 1) + "b", "b" + "a" * (k - 1), "a" * (k - 1) + "\0")]
+    words = [*dict.fromkeys([*words, "é", "日本"])]
+    got = S._word_hashes(pa.array(words, pa.large_string())).tolist()
+    assert len(set(got)) == len(words)
+    assert S._word_hashes(pa.array(["x", *words, "y"], pa.large_string()).slice(1, len(words))).tolist() == got
