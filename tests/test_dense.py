@@ -197,3 +197,43 @@ def test_encoder_works_on_a_few_rows_of_a_batch_at_a_time(monkeypatch):
     assert max(b.num_rows for b in parts) <= 9 and len(parts) > 12
     assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches(whole).to_pydict()
     assert list(H.steps(np.array([50, 0, 3, 8, 1]))) == [(0, 1), (1, 4), (4, 5)]
+
+
+def test_a_stored_run_is_exact_and_never_shuffles_the_corpus(spark, monkeypatch):
+    """Any number of query groups and corpus parts, ties, ids that come twice, either precision."""
+    rng = np.random.default_rng(8)
+    d = {i: np.round(rng.normal(size=5), 1) for i in range(300)}
+    q = {i: np.round(rng.normal(size=5), 1) for i in range(60)}
+    want, plans, real = brute(q, d, 9), [], dense.stored
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(dense, "stored", lambda df, name, **o: plans.append(
+        (name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name, **o))
+    for block, parts in ((1 << 20, None), (4000, 1), (4000, 3), (200, 1)):
+        got = dense.knn_run(vec_df(spark, q, "qid"), vec_df(spark, d, "doc_id").repartition(5), k=9, block_bytes=block, corpus_parts=parts)
+        assert sorted(rows(got, "qid", "rank", "doc_id", "score")) == want
+        plan = dict(plans)["run"]
+        assert "CartesianProduct" in plan and "CoGroup" not in plan
+        assert ("Exchange" in plan) == (parts != 1 and "Window" in plan)
+    twice = vec_df(spark, q, "qid").unionByName(vec_df(spark, {1: q[5]}, "qid"))
+    old = dense.knn_search(twice, vec_df(spark, d, "doc_id"), k=9)
+    assert sorted(rows(dense.knn_run(twice, vec_df(spark, d, "doc_id"), k=9))) == sorted(rows(old))
+    assert dense.knn_run(vec_df(spark, q, "qid").limit(0), vec_df(spark, d, "doc_id"), k=9).count() == 0
+
+
+def test_groups_of_a_stored_run_are_bounded_and_the_corpus_whole_for_many_queries():
+    for n_q, n_d in ((40, 3_000_000), (13_000, 47_000), (360_000, 3_000_000), (615_000, 615_000), (1, 1)):
+        q, parts = dense.stream_groups(n_q, n_d, 256, 200, 24, 32 << 20)
+        assert -(-n_q // q) * (8 * 256 + 4 * 24 * min(200, n_d)) <= 34 << 20 and 1 <= q <= n_q
+        assert parts == 1 or n_q < 24 * dense.GROUP_QUERIES
+
+
+def test_single_precision_only_tells_what_is_computed_in_full():
+    rng = np.random.default_rng(4)
+    left, right = rng.normal(size=(30, 64)), rng.normal(size=(5000, 64)) * rng.choice([1e-6, 1, 50], size=(5000, 1))
+    right[::7] = right[3] + rng.normal(size=64) * 1e-9  # scores that single precision can't tell apart
+    fast, plain = dense._RunningTopK(30, 20), dense._RunningTopK(30, 20)
+    for i in range(0, 5000, 500):
+        part, ids = right[i:i + 500], np.arange(i, i + 500)
+        fast.add_products(ids, left, part, left.astype(np.float32), part.astype(np.float32))
+        plain.add(ids, left @ part.T)
+    assert all((a == b).all() for a, b in zip(fast.result(), plain.result()))
