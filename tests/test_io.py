@@ -139,3 +139,24 @@ def test_corpus_tsv_takes_as_many_files_as_its_text_fills(spark, tmp_path, monke
     assert got == [(i, t) for i, t in enumerate(texts)]
     sizes = [os.path.getsize(f"{written[0].removeprefix('file:')}/{f}") for f in os.listdir(written[0].removeprefix("file:")) if f.endswith(".csv")]
     assert len(sizes) > 10 and max(sizes) < 3000
+
+
+def test_ids_of_training_rows_hold_without_a_copy_under_other_settings(spark, tmp_path):
+    import json
+
+    for f in range(3):
+        (tmp_path / f"part-{f}.json").write_text("".join(json.dumps({"query": f"{f}-{i}", "pos": ["p"]}) + "\n" for i in range(200)))
+    got = io.read_training_rows(spark, str(tmp_path))
+    assert "ExistingRDD" in got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert sorted((r["qid"], r["query"]) for r in got.collect()) == [(200 * f + i, f"{f}-{i}") for f in range(3) for i in range(200)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_parts_of_a_table_are_written_one_after_the_other(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for compression in ("none", "gzip"):
+        io.write_jsonl((spark.range(p * 10, p * 10 + 10) for p in range(3)), path, compression)
+        assert sorted(r[0] for r in spark.read.json(path).collect()) == list(range(30))
